@@ -194,3 +194,101 @@ def review_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"id": F.col("id") + 1_000_000_000, "created_at": F.col("created_at") + 1}
     )
     return requests.unionByName(repeats)
+
+
+LINE_ZONE = "Asia/Shanghai"
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit lines of every user turn, in eight shapes: aliases, dialects, quoting, masked keys, bad lines."""
+    key_of = tokens(spark, sf_dir).select(F.col("id").alias("token_id"), "key")
+    requests = review_requests(spark, sf_dir).filter(F.col("id") < 1_000_000_000).join(key_of, "token_id", "left")
+    rid, at, key, messages = F.col("id"), F.col("created_at"), F.col("key"), F.col("messages")
+    shape = (F.floor(rid / 100) + F.floor(rid % 100 / 2)) % 8
+    last = F.element_at(messages, -1)["content"]
+    stamp = F.timestamp_add("SECOND", at, F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
+    beijing = F.timestamp_add("SECOND", at + 8 * 3600, F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
+
+    def lit(text: str) -> Column:
+        return F.lit(text)
+
+    def part(kind: str):
+        return lambda m: F.struct(
+            m["role"].alias("role"),
+            F.array(F.struct(lit(kind).alias("type"), m["content"].alias("text"))).alias("content"),
+        )
+
+    contents = F.transform(
+        messages,
+        lambda m: F.struct(m["role"].alias("role"), F.array(F.struct(m["content"].alias("text"))).alias("parts")),
+    )
+    lines = [
+        F.to_json(
+            F.struct(
+                at.alias("time"),
+                lit("post").alias("method"),
+                lit("/v1/chat/completions").alias("path"),
+                lit("codex-tui/0.135.0 (Mac OS 26.2.0; arm64)").alias("user_agent"),
+                F.struct(
+                    _json("Bearer sk-", key).alias("Authorization"),
+                    F.array(lit("a"), rid.cast("string")).alias("X-Request-Id"),
+                ).alias("headers"),
+                F.struct(lit("gpt-4o").alias("model"), messages.alias("messages")).alias("body"),
+            )
+        ),
+        F.to_json(
+            F.struct(
+                (at * 1000).cast("string").alias("timestamp"),
+                lit("PoSt").alias("request_method"),
+                lit("/v1/responses").alias("uri"),
+                F.struct(
+                    lit("claude-cli/2.1.170 (external, cli, agent-sdk/0.2.123)").alias("user-agent"),
+                    key.alias("x-api-key"),
+                ).alias("headers"),
+                F.struct(
+                    lit(" claude-3 ").alias("model"), F.transform(messages, part("input_text")).alias("input")
+                ).alias("request_body"),
+            )
+        ),
+        F.to_json(
+            F.struct(
+                F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'.250Z'").alias("created_at"),
+                _json("req-", rid).alias("requestId"),
+                _json("/v1beta/x?alt=1&key=sk%2D", key, "#top").alias("path"),
+                F.struct(lit("[REDACTED]").alias("x-api-key")).alias("headers"),
+                F.to_json(F.struct(contents.alias("contents"))).alias("requestBody"),
+            )
+        ),
+        F.to_json(
+            F.struct(
+                F.date_format(beijing, "yyyy/MM/dd HH:mm:ss").alias("ts"),
+                _json("t", rid).alias("TRACE_ID"),
+                lit("get").alias("Method"),
+                F.struct(last.alias("prompt")).alias("body"),
+            )
+        ),
+        F.to_json(
+            F.struct(
+                lit("bad").alias("time"),
+                (at + 0.5).cast("double").alias("@timestamp"),
+                F.struct(lit("***").alias("authorization"), _json("unknown-", rid).alias("api-key")).alias("headers"),
+                F.struct(lit("Mozilla Claude-VSCode CLAUDE-CLI/1.0;x").alias("User-Agent")).alias("request_headers"),
+                F.struct(
+                    lit(" S\n").alias("system"), F.array().cast("array<string>").alias("messages")
+                ).alias("data"),
+            )
+        ),
+        lit("  \t"),
+        _json('{"time":', at, '} {"time":1}'),
+        _json('{"time":0,"n":', rid, ',"body":" not json <b> "}'),
+    ]
+    value = F.lit(None).cast("string")
+    for number, line in enumerate(lines):
+        value = F.when(shape == number, line).otherwise(value)
+    return requests.select(
+        _json("requests-", rid % 3, ".jsonl").alias("path"),
+        _json("file-", rid % 3, ":1").alias("source_id"),
+        rid.alias("line_no"),
+        (rid * 1000).alias("byte_offset"),
+        value.alias("value"),
+    ).withColumn("byte_length", F.octet_length("value").cast("long") + 1)

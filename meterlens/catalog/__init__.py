@@ -1,5 +1,5 @@
 """Every operator applied to the generated tables, by name."""
 
-from . import usage
+from . import audit, usage
 
-QUERIES = {**usage.QUERIES}
+QUERIES = {**usage.QUERIES, **audit.QUERIES}

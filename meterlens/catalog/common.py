@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 
+# Moves amounts that end exactly on half a unit off the tie, which engines round differently.
+NUDGE = 1.23456789e-10
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column, since sums of doubles depend on their order."""
     return df.select(
         *[
-            F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name)
+            F.round(F.col(f.name) + NUDGE, digits).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name)
             for f in df.schema.fields
         ]
     )

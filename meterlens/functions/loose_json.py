@@ -65,8 +65,15 @@ def loose_long(document: Column, key: str) -> Column:
 
 
 def json_kind(value: Column) -> Column:
-    """First character of the JSON form: '"' string, '{' object, '[' array, 't'/'f' bool, 'n' null, else number."""
-    return F.substring(F.to_json(value), 1, 1)
+    """'[' for a list, '{' for an object, '"' for a string, 'n' for null, '0' for other scalars."""
+    scalar = F.schema_of_variant(value)
+    return (
+        F.when(F.try_variant_get(value, "$", "array<variant>").isNotNull(), F.lit("["))
+        .when(F.try_variant_get(value, "$", "map<string,variant>").isNotNull(), F.lit("{"))
+        .when(scalar == "STRING", F.lit('"'))
+        .when(scalar == "VOID", F.lit("n"))
+        .when(value.isNotNull(), F.lit("0"))
+    )
 
 
 def strict_text(document: Column, key: str) -> Column:
