@@ -11,6 +11,7 @@ from meterlens import schemas
 
 from . import loose_json as lj
 from .audit_fields import canonical_variant
+from .stage import pinned
 from .text import trim
 
 # Stands for content that nests deeper than the expressions below go; such bodies take the Arrow path.
@@ -167,7 +168,7 @@ def with_messages(df: DataFrame, body: str = "body", out: str = "messages") -> D
     staged = staged.withColumn(out, F.coalesce(chosen, F.expr(NO_MESSAGES)))
     deep = F.exists("_said", lambda c: c["content"].contains(TOO_DEEP))
     staged = staged.withColumn("_deep", deep_messages(F.when(deep, F.col(body))))
-    return staged.withColumn(out, F.coalesce("_deep", out)).drop("_body", "_said", "_deep")
+    return staged.withColumn(out, pinned(F.coalesce("_deep", out))).drop("_body", "_said", "_deep")
 
 
 def _deep_text(value) -> str:

@@ -9,6 +9,7 @@ from meterlens.functions import audit_fields as af
 from meterlens.functions import loose_json as lj
 from meterlens.functions import text as tx
 from meterlens.functions.messages import with_messages
+from meterlens.functions.stage import pinned_all
 
 from .ranking import running_total
 
@@ -38,7 +39,7 @@ def parse_lines(lines: DataFrame, zone: str = "UTC") -> DataFrame:
         .when(F.col("_members").isNull(), "invalid")
         .otherwise("entry")
     )
-    staged = staged.withColumns(
+    fields = pinned_all(
         {
             "line_state": state,
             "created_at": af.first_timestamp("_members", zone),
@@ -53,7 +54,8 @@ def parse_lines(lines: DataFrame, zone: str = "UTC") -> DataFrame:
             ),
         }
     )
-    staged = lj.with_object(staged, "body", "_body").withColumns(
+    staged = lj.with_object(staged.withColumns(fields), "body", "_body")
+    fields = pinned_all(
         {
             "has_timestamp": F.col("created_at") > 0,
             "api_key": af.api_key(headers, F.col("request_path")),
@@ -61,7 +63,7 @@ def parse_lines(lines: DataFrame, zone: str = "UTC") -> DataFrame:
             **af.client_columns(F.col("user_agent")),
         }
     )
-    return staged.drop("_doc", "_members", "_members_lower", "_headers", "_body")
+    return staged.withColumns(fields).drop("_doc", "_members", "_members_lower", "_headers", "_body")
 
 
 def line_statistics(parsed: DataFrame, *keys: str) -> DataFrame:
