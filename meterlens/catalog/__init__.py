@@ -1,5 +1,5 @@
 """Every operator applied to the generated tables, by name."""
 
-from . import audit, usage
+from . import audit, review, usage
 
-QUERIES = {**usage.QUERIES, **audit.QUERIES}
+QUERIES = {**usage.QUERIES, **audit.QUERIES, **review.QUERIES}
