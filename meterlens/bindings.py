@@ -179,7 +179,7 @@ def review_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda t: t["turn"],
     )
     requests = talks.select("conv_id", F.explode(asked).alias("turn"), "turns").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+        (F.col("conv_id") * 100 + F.col("turn") + 1).alias("id"),
         (F.col("conv_id") % 5 + 1).alias("token_id"),
         (REVIEW_START + F.col("conv_id") * 7 + F.col("turn") * 60).alias("created_at"),
         F.when(F.col("conv_id") % 7 == 0, F.lit("other-model")).otherwise(F.lit("gpt-test")).alias("model"),
@@ -204,7 +204,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     key_of = tokens(spark, sf_dir).select(F.col("id").alias("token_id"), "key")
     requests = review_requests(spark, sf_dir).filter(F.col("id") < 1_000_000_000).join(key_of, "token_id", "left")
     rid, at, key, messages = F.col("id"), F.col("created_at"), F.col("key"), F.col("messages")
-    shape = (F.floor(rid / 100) + F.floor(rid % 100 / 2)) % 8
+    shape = (F.floor((rid - 1) / 100) + F.floor((rid - 1) % 100 / 2)) % 8
     last = F.element_at(messages, -1)["content"]
     stamp = F.timestamp_add("SECOND", at, F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
     beijing = F.timestamp_add("SECOND", at + 8 * 3600, F.expr("timestamp_ntz'1970-01-01 00:00:00'"))

@@ -66,7 +66,7 @@ chosen AS (SELECT * FROM tiers QUALIFY tier = min(tier) OVER (PARTITION BY log_i
 # What every shape of raw line should parse to, written from the shapes and not from the lines.
 LINES = r""",
 asked_turns AS (
-  SELECT conv_id * 100 + turn AS line_no, conv_id, turn, text, 1700000000 + conv_id * 7 + turn * 60 AS sent,
+  SELECT conv_id * 100 + turn + 1 AS line_no, conv_id, turn, text, 1700000000 + conv_id * 7 + turn * 60 AS sent,
     cast((conv_id + turn // 2) % 8 AS INTEGER) AS shape, conv_id % 5 + 1 AS token_id FROM conversations
   WHERE role = 'user'),
 lines AS (

@@ -11,16 +11,16 @@ WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || c
 CLEAN = f"trim(replace(text, chr(13) || chr(10), chr(10)), {WS})"
 
 REQUESTS = f"""
-said AS (
+said AS MATERIALIZED (
   SELECT conv_id, turn, lower(role) AS role, {CLEAN} AS content,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos,
     string_agg(lower(role) || chr(0) || {CLEAN}, chr(1)) OVER (PARTITION BY conv_id ORDER BY turn) AS prefix
   FROM conversations),
 first_sent AS (
-  SELECT conv_id * 100 + turn AS id, conv_id, turn, conv_id % 5 + 1 AS token_id, 1700000000 + conv_id * 7 + turn * 60 AS sent,
+  SELECT conv_id * 100 + turn + 1 AS id, conv_id, turn, conv_id % 5 + 1 AS token_id, 1700000000 + conv_id * 7 + turn * 60 AS sent,
     CASE WHEN conv_id % 7 = 0 THEN 'other-model' ELSE 'gpt-test' END AS model, pos AS len, prefix
   FROM said WHERE role = 'user'),
-requests AS (
+requests AS MATERIALIZED (
   SELECT * FROM first_sent
   UNION ALL SELECT id + 1000000000, conv_id, turn, token_id, sent + 1, model, len, prefix FROM first_sent WHERE id % 3 = 0)
 """
@@ -32,7 +32,7 @@ def plan(start: int, roles: str) -> str:
 anchors AS (
   SELECT id, token_id, sent AS created_at, row_number() OVER (PARTITION BY token_id ORDER BY sent DESC, id DESC) AS anchor_rank
   FROM requests WHERE sent < {start} QUALIFY anchor_rank <= 50),
-ordered AS (
+ordered AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY sent, id) AS seq FROM requests
   WHERE sent >= {start} OR id IN (SELECT id FROM anchors)),
 found AS (
@@ -53,7 +53,7 @@ added AS (
       AS content
   FROM started r JOIN said s ON s.conv_id = r.conv_id AND s.pos > r.delta_start AND s.pos <= r.len
   WHERE {roles} AND s.content <> '' GROUP BY r.id),
-plan AS (
+plan AS MATERIALIZED (
   SELECT cast(1 AS BIGINT) AS job_id, r.id AS audit_entry_id, token_id, sent AS created_at, model AS request_model,
     coalesce(parent, 0) AS parent_entry_id, delta_start, coalesce(n, 0) AS delta_message_count,
     coalesce(content, '') AS content, CASE WHEN content IS NULL THEN '' ELSE sha256(content) END AS content_hash,
@@ -74,7 +74,7 @@ results AS (
   SELECT *, v % 3 = 0 AND v < 254 AS known, v >= 254 AS failed,
     CASE WHEN v < 16 THEN '阻断' WHEN v < 48 THEN '复核' ELSE '通过' END AS decision,
     CASE WHEN v < 16 THEN 90 WHEN v < 48 THEN 60 ELSE 3 END AS score FROM units),
-outcome AS (
+outcome AS MATERIALIZED (
   SELECT p.*,
     CASE WHEN content_hash = '' THEN '通过' WHEN failed THEN '复核' ELSE decision END AS delta_decision,
     CASE WHEN content_hash = '' THEN 0 WHEN failed THEN 50 ELSE score END AS delta_risk_score,
