@@ -292,3 +292,151 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (rid * 1000).alias("byte_offset"),
         value.alias("value"),
     ).withColumn("byte_length", F.octet_length("value").cast("long") + 1)
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as polled accounts: every supplier is one poll of each provider."""
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("s"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("u")
+    )
+
+
+def _documents(polls: DataFrame, body: Column, *extra: Column) -> DataFrame:
+    s = F.col("s")
+    return polls.select(s.alias("snapshot"), (1_704_000_000 + s).alias("fetched_at"), body.alias("body"), *extra)
+
+
+def sub2api_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account lists: one in ten is an error, utilisations come as numbers, as text, or not at all."""
+    s, u = F.col("s"), F.col("u")
+    utilization = F.when(s % 3 == 0, _json('"session_window_utilization":', u / 10000, ",")).when(
+        s % 3 == 1, _json('"session_window_utilization":" ', u / 100, ' ",')
+    ).otherwise("")
+    name = F.when(s % 4 == 0, _json(" Ikun ", s)).otherwise(F.col("name"))
+    address = F.when(s % 4 == 1, "https://API.example/v1/").otherwise("")
+    mail = F.when(s % 2 == 0, "none").otherwise(_json("a", s, "@mail"))
+    body = _json(
+        '{"code":', F.when(s % 10 == 9, 500).otherwise(0), ',"message":"down","data":{"total":', s % 5,
+        ',"items":[{"id":', s, ',"name":"', name, '","platform":"p","type":"', F.when(s % 2 == 0, "OAuth").otherwise("key"),
+        '","status":"active","schedulable":true,"concurrency":', s % 7, ',"session_window_end":"E', s, '","extra":{',
+        utilization, '"passive_usage_7d_utilization":', u / 100, ',"passive_usage_7d_reset":', 1_700_000_000 + s,
+        ',"email":"x@extra"},"credentials":{"account":" ', mail, ' ","base_url":"', address,
+        '"},"groups":[{"name":"g', s % 3, '"},{"name":" "}],"proxy":', F.when(s % 2 == 0, '{"name":"px"}').otherwise("null"),
+        "}]}}",
+    )
+    return _documents(_suppliers(spark, sf_dir), body)
+
+
+def sub2api_usage_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, u = F.col("s"), F.col("u")
+    weekly = F.when(s % 2 == 0, "{}").otherwise(_json('{"utilization":"', u / 10000, '","remaining_seconds":', s, "}"))
+    body = _json(
+        '{"code":0,"data":{"updated_at":"now","five_hour":{"utilization":', u / 100, ',"resets_at":"R', s,
+        '","remaining_seconds":', s * 10, ',"window_stats":{"requests":', s, ',"tokens":', s * 1000, ',"cost":', u / 8,
+        '}},"seven_day":', weekly, "}}",
+    )
+    return _documents(_suppliers(spark, sf_dir), body, s.cast("string").alias("account_id"))
+
+
+def opencode_documents(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Account lists, prices, usage and refreshed usage; one account in six has no readable usage."""
+    s, u = F.col("s"), F.col("u")
+    polls = _suppliers(spark, sf_dir)
+    account = s.cast("string").alias("account_id")
+    accounts = _json(
+        '[{"id":"', s, '","name":"', F.col("name"), '","enabled":', F.when(s % 4 == 0, "false").otherwise("true"),
+        ',"account_type":"Managed","setup_step":"', F.when(s % 3 == 0, "READY").otherwise("new"),
+        '","last_error":"', F.when(s % 5 == 0, "late").otherwise(""), '","auth_error":"',
+        F.when(s % 10 == 0, "denied").otherwise(""), '"}]',
+    )
+    prices = _json('{"limits":{"window_5h":12,"window_week":', 10000 + s, ',"window_month":0}}')
+    fields = _json('"window_5h":', s % 20, ',"window_week":', u, ',"window_month":3,"resets_in_week":"W', s, '"')
+    usage = F.when(s % 6 == 5, "{broken").otherwise(_json("{", fields, "}"))
+    return {
+        "accounts": _documents(polls, accounts),
+        "prices": _documents(polls, prices),
+        "usage": _documents(polls, usage, account),
+        "refreshed": _documents(polls, _json('{"source":"live","usage":{', fields, "}}"), account),
+    }
+
+
+def pool_documents(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Auth files and probes; some files lack an index, some probes fail at either level."""
+    s, u = F.col("s"), F.col("u")
+    polls = _suppliers(spark, sf_dir)
+    index = F.when(s % 7 == 0, "").otherwise(_json(',"auth_index":"i', s, '"'))
+    files = _json(
+        '{"files":[{"type":"', F.when(s % 5 == 0, "gemini").otherwise("Codex"), '","name":"', F.col("name"), '.json"', index,
+        '},{"typo":"CODEX","id":"User', s, '@Mail.com.JSON","extra":{"account":"plain"},"accountId":"acc", "auth_index":',
+        s, "}]}",
+    )
+    reset = F.when(s % 4 == 0, _json('"reset_at":"2024-01-01T00:00:00Z",')).otherwise("")
+    second = F.when(s % 2 == 0, "null").otherwise('{"used_percent":50,"limit_window_seconds":-1,"reset_at":1704067200000}')
+    inner = _json(
+        '{"rate_limit":{"primary_window":{"used_percent":', u / 100, ',"limit_window_seconds":18000,', reset,
+        '"reset_after_seconds":60},"secondary_window":', second, "}}",
+    )
+    status = F.when(s % 6 == 1, 401).when(s % 6 == 2, 500).otherwise(200)
+    envelope = F.to_json(F.struct(status.alias("status_code"), inner.alias("body")))
+    down = s % 11 == 0
+    probes = _documents(
+        polls,
+        F.when(down, "bad \n gateway").otherwise(envelope),
+        _json("i", s).alias("auth_index"),
+        F.when(down, 502).otherwise(200).alias("http_status"),
+    )
+    return {"files": _documents(polls, files), "probes": probes}
+
+
+def xfyun_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, u = F.col("s"), F.col("u")
+    left = F.when(s % 2 == 0, _json(',"packageLeft":', 90000 - u)).otherwise("")
+    good = _json(
+        '{"code":0,"succeed":true,"data":{"rows":[{"appId":"a","name":"plan', s, '","codingPlanUsageDTO":{"channel":"c",'
+        '"packageLimit":90000,"packageUsage":', u, left, ',"rp5hLimit":0,"rp5hUsage":1,"rpwLimit":10000,"rpwUsage":', u,
+        "}}]}}",
+    )
+    body = (
+        F.when(s % 8 == 3, "oops")
+        .when(s % 8 == 4, '{"code":4001,"succeed":false,"message":" 请先登录 "}')
+        .when(s % 8 == 5, '{"code":7,"succeed":false,"message":"未登录状态"}')
+        .when(s % 8 == 6, '{"code":9,"succeed":true}')
+        .otherwise(good)
+    )
+    return _documents(
+        _suppliers(spark, sf_dir),
+        body,
+        s.alias("account_id"),
+        F.col("name").alias("account_name"),
+        (s % 9 != 0).alias("has_session"),
+        F.when(s % 13 == 0, 500).otherwise(200).alias("http_status"),
+    )
+
+
+def balance_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = _json(
+        '{"is_available":true,"balance_infos":[{"currency":"CNY","total_balance":"110.00","granted_balance":"10.00",'
+        '"topped_up_balance":"100.00"},{"currency":"USD","total_balance":"', F.col("s"), '.50"}]}',
+    )
+    return _documents(_suppliers(spark, sf_dir), body)
+
+
+def external_quota_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s")
+    body = _json(
+        '{"success":', F.when(s % 5 == 4, "false").otherwise("true"), ',"message":" busy ","data":{"id":', s,
+        ',"username":"u', s, '","quota":', 245_047_897 + s * 1_000_003, ',"used_quota":1204898553,"request_count":', s, "}}",
+    )
+    return _documents(_suppliers(spark, sf_dir), body)
+
+
+def snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polls of a few channels over time; a third of them succeed, and one channel holds half of the polls."""
+    s = F.col("s")
+    return _suppliers(spark, sf_dir).select(
+        F.when(s % 2 == 0, "deepseek").otherwise(_json("other-", s % 3)).alias("channel"),
+        s.alias("fetched_at"),
+        (s % 3 == 1).alias("ok"),
+        _json("error ", s).alias("error"),
+        F.col("name").alias("payload"),
+    )

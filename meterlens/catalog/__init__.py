@@ -1,5 +1,5 @@
 """Every operator applied to the generated tables, by name."""
 
-from . import audit, review, usage
+from . import audit, quota, review, usage
 
-QUERIES = {**usage.QUERIES, **audit.QUERIES, **review.QUERIES}
+QUERIES = {**usage.QUERIES, **audit.QUERIES, **review.QUERIES, **quota.QUERIES}
