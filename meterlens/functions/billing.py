@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import loose_json as lj
+from .stage import pinned
 
 # Settings used when the options table has no usable override.
 DEFAULT_QUOTA_PER_UNIT = 500000.0
@@ -44,42 +45,79 @@ def cache_write_from_split(total: Column, five_minutes: Column, one_hour: Column
     return F.when((split > 0) & (total < split), split).otherwise(total)
 
 
+# Members of `other` that bear on billing. The first three and `claude` are read as variants, because
+# their presence or type counts; of the others only the text does.
+REQUIRED_RATIOS = ["model_ratio", "group_ratio", "completion_ratio"]
+RATIOS = [
+    "cache_ratio",
+    "cache_creation_ratio",
+    "cache_creation_ratio_5m",
+    "cache_creation_ratio_1h",
+    "model_price",
+]
+TOKEN_COUNTS = [
+    "cache_tokens",
+    "cache_write_tokens",
+    "cache_creation_tokens",
+    "cache_creation_tokens_5m",
+    "cache_creation_tokens_1h",
+    "input_tokens_total",
+]
+FLAGS = ["usage_semantic", "billing_mode"]
+OTHER_DOCUMENT = ",".join(
+    [f"{name}:variant" for name in [*REQUIRED_RATIOS, "claude"]]
+    + [f"{name}:string" for name in [*RATIOS, *TOKEN_COUNTS, *FLAGS]]
+)
+
+
 def with_billing_meta(df: DataFrame, other: str = "other", out: str = "meta") -> DataFrame:
-    """Add the struct `out` with the billing fields of the JSON text in `other`; no object means all zero."""
-    doc = "_other_document"
-    parsed = lj.with_object(df, other, doc)
-    document = F.col(doc)
-    explicit_write = lj.loose_long(document, "cache_write_tokens")
-    total = lj.loose_long(document, "cache_creation_tokens")
-    write_5m = lj.loose_long(document, "cache_creation_tokens_5m")
-    write_1h = lj.loose_long(document, "cache_creation_tokens_1h")
+    """Add the struct `out` with the billing fields of the JSON text in `other`; no object means all zero.
+
+    The text is read in one pass with a fixed schema. It is read as the only item of a list, so that text after the
+    object makes it invalid. The numbers are read by one expression over a list, which keeps the generated code of
+    the row loop small enough to be compiled.
+    """
+    doc, ratios, counts = "_other_document", "_ratios", "_token_counts"
+    listed = F.from_json(F.concat(F.lit("["), F.col(other), F.lit("]")), f"array<struct<{OTHER_DOCUMENT}>>")
+    parsed = df.withColumn(doc, listed).withColumn(doc, F.when(F.size(doc) == 1, F.col(doc)[0]))
+
+    def member(name: str) -> Column:
+        return F.col(f"{doc}.{name}")
+
+    ratio_texts = [F.try_variant_get(member(name), "$", "string") for name in REQUIRED_RATIOS]
+    ratio_texts += [member(name) for name in RATIOS]
+    read = parsed.withColumns(
+        {
+            ratios: pinned(F.transform(F.array(*ratio_texts), lj.number_from_text)),
+            counts: pinned(F.transform(F.array(*[member(name) for name in TOKEN_COUNTS]), lj.long_from_text)),
+        }
+    )
+    ratio = dict(zip([*REQUIRED_RATIOS, *RATIOS], [F.col(ratios)[i] for i in range(len(REQUIRED_RATIOS + RATIOS))]))
+    count = dict(zip(TOKEN_COUNTS, [F.col(counts)[i] for i in range(len(TOKEN_COUNTS))]))
+    says_claude = F.when(
+        F.schema_of_variant(member("claude")) == "BOOLEAN", F.try_variant_get(member("claude"), "$", "boolean")
+    )
+    has_ratios = F.lit(True)
+    for name in REQUIRED_RATIOS:
+        has_ratios = has_ratios & member(name).isNotNull()
+    split_5m, split_1h = count["cache_creation_tokens_5m"], count["cache_creation_tokens_1h"]
+    written = F.when(count["cache_write_tokens"] != 0, count["cache_write_tokens"]).otherwise(
+        cache_write_from_split(count["cache_creation_tokens"], split_5m, split_1h)
+    )
     meta = F.struct(
-        lj.loose_number(document, "model_ratio").alias("model_ratio"),
-        lj.loose_number(document, "group_ratio").alias("group_ratio"),
-        lj.loose_number(document, "completion_ratio").alias("completion_ratio"),
-        lj.loose_number(document, "cache_ratio").alias("cache_ratio"),
-        lj.loose_number(document, "cache_creation_ratio").alias("cache_creation_ratio"),
-        lj.loose_number(document, "cache_creation_ratio_5m").alias("cache_creation_ratio_5m"),
-        lj.loose_number(document, "cache_creation_ratio_1h").alias("cache_creation_ratio_1h"),
-        lj.loose_long(document, "cache_tokens").alias("cache_read_tokens"),
-        F.when(explicit_write != 0, explicit_write)
-        .otherwise(cache_write_from_split(total, write_5m, write_1h))
-        .alias("cache_write_tokens"),
-        write_5m.alias("cache_creation_tokens_5m"),
-        write_1h.alias("cache_creation_tokens_1h"),
-        lj.loose_long(document, "input_tokens_total").alias("input_tokens_total"),
-        lj.loose_number(document, "model_price").alias("model_price"),
-        ((lj.strict_text(document, "usage_semantic") == "anthropic") | lj.strict_bool(document, "claude")).alias(
-            "anthropic_semantic"
-        ),
-        (lj.strict_text(document, "billing_mode") == "tiered_expr").alias("tiered"),
+        *[column.alias(name) for name, column in ratio.items()],
+        count["cache_tokens"].alias("cache_read_tokens"),
+        written.alias("cache_write_tokens"),
+        split_5m.alias("cache_creation_tokens_5m"),
+        split_1h.alias("cache_creation_tokens_1h"),
+        count["input_tokens_total"].alias("input_tokens_total"),
         (
-            lj.has_key(document, "model_ratio")
-            & lj.has_key(document, "group_ratio")
-            & lj.has_key(document, "completion_ratio")
-        ).alias("has_ratios"),
+            F.coalesce(member("usage_semantic") == "anthropic", F.lit(False)) | F.coalesce(says_claude, F.lit(False))
+        ).alias("anthropic_semantic"),
+        F.coalesce(member("billing_mode") == "tiered_expr", F.lit(False)).alias("tiered"),
+        has_ratios.alias("has_ratios"),
     )
-    return parsed.withColumn(out, meta).drop(doc)
+    return read.withColumn(out, meta).drop(doc, ratios, counts)
 
 
 def cache_write_quota(meta: Column) -> Column:

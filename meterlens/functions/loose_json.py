@@ -50,6 +50,11 @@ def number_from_text(text: Column) -> Column:
     return F.coalesce(F.when(trimmed.rlike(NUMERIC_TEXT), trimmed.try_cast("double")), F.lit(0.0))
 
 
+def long_from_text(text: Column) -> Column:
+    """Numeric text rounded half away from zero; whole numbers, by far the most, skip the decimal path."""
+    return F.coalesce(text.try_cast("long"), F.when(text.isNotNull(), round_to_long(number_from_text(text))), F.lit(0).cast("long"))
+
+
 def round_to_long(value: Column) -> Column:
     """Round half away from zero to a long; 0 when it does not fit."""
     return F.coalesce(F.round(value, 0).try_cast("long"), F.lit(0).cast("long"))
@@ -61,7 +66,7 @@ def loose_number(document: Column, key: str) -> Column:
 
 
 def loose_long(document: Column, key: str) -> Column:
-    return round_to_long(loose_number(document, key))
+    return long_from_text(raw_text(document, key))
 
 
 def json_kind(value: Column) -> Column:
