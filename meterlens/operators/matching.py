@@ -100,6 +100,15 @@ def _streams(model: Column) -> Column:
     return F.array_distinct(F.array(F.lit(ANY_MODEL), F.concat(F.lit("="), model)))
 
 
+def _model_mismatch() -> Column:
+    return F.when((F.col("model") == "") | (F.col("entry_model") == F.col("model")), 0).otherwise(1)
+
+
+def _seen_once() -> Column:
+    """False for the second sight of an entry: one of the asked model also comes in the stream of all models."""
+    return (F.col("stream") != ANY_MODEL) | (_model_mismatch() == 1) | (F.col("model") == "")
+
+
 def _neighbours(probes: DataFrame, hits: DataFrame, window: int, n: int) -> DataFrame:
     """For every probe the `n` hits at or before its centre and the `n` after it, per identity and stream.
 
@@ -147,9 +156,9 @@ def _neighbours(probes: DataFrame, hits: DataFrame, window: int, n: int) -> Data
             .withColumn("later", F.last("hit", ignorenulls=True).over(after))
             .filter(F.col("is_probe") == 1)
         )
-        return found.select("probe.*", F.explode(F.array_compact(F.array("earlier", "later"))).alias("hit")).select(
-            *PROBE, "hit.*"
-        )
+        return found.select(
+            "probe.*", "stream", F.explode(F.array_compact(F.array("earlier", "later"))).alias("hit")
+        ).select(*PROBE, "stream", "hit.*")
     both = chunked.select(
         *group, "t", F.lit(0).alias("is_probe"), F.col("entry_id").alias("tie"), *hit_columns
     ).unionByName(
@@ -185,7 +194,7 @@ def _neighbours(probes: DataFrame, hits: DataFrame, window: int, n: int) -> Data
         .select(*group, "probe.*", F.explode(wanted).alias("s"))
         .select(*group, *PROBE, "s.side", "s.position")
     )
-    return wished.join(offered, [*group, "side", "position"]).select(*PROBE, *hit_columns)
+    return wished.join(offered, [*group, "side", "position"]).select(*PROBE, "stream", *hit_columns)
 
 
 def nearest_lists(asked: DataFrame, entries: DataFrame, window: int, n: int) -> DataFrame:
@@ -197,13 +206,12 @@ def nearest_lists(asked: DataFrame, entries: DataFrame, window: int, n: int) ->
     usable = asked.filter((F.col("token_id") > 0) & (F.col("created_at") > 0) & (F.col("centre") > 0))
     probes = usable.select(*PROBE).distinct()
     near = _neighbours(probes, _as_hits(entries), window, n).filter(
-        F.abs(F.col("entry_created_at") - F.col("centre")) <= window
+        (F.abs(F.col("entry_created_at") - F.col("centre")) <= window) & _seen_once()
     )
-    mismatch = F.when((F.col("model") == "") | (F.col("entry_model") == F.col("model")), 0).otherwise(1)
+    mismatch = _model_mismatch()
     later_first = F.when(F.col("shifted") & (F.col("entry_created_at") > F.col("centre")), 0).otherwise(1)
     order = [mismatch, F.abs(F.col("entry_created_at") - F.col("centre")), later_first, F.desc("entry_id")]
-    distinct = near.dropDuplicates([*PROBE, "entry_id"])
-    return _hit_lists(top_per_group(distinct, PROBE, order, n), PROBE)
+    return _hit_lists(top_per_group(near, PROBE, order, n), PROBE)
 
 
 def request_id_lists(entries: DataFrame, n: int) -> DataFrame:
@@ -225,9 +233,35 @@ def latest_lists(asked: DataFrame, entries: DataFrame, n: int) -> DataFrame:
         "stream",
         F.explode(F.when(F.col("model") == "", F.array(F.lit(ANY_MODEL))).otherwise(_streams(F.col("model")))),
     )
-    mismatch = F.when((F.col("model") == "") | (F.col("entry_model") == F.col("model")), 0).otherwise(1)
-    found = wished.join(newest, ["identity", "stream"]).dropDuplicates([*SCOPE, "entry_id"])
-    return _hit_lists(top_per_group(found, SCOPE, [mismatch, F.desc("entry_id")], n), SCOPE)
+    found = wished.join(newest, ["identity", "stream"]).filter(_seen_once())
+    return _hit_lists(top_per_group(found, SCOPE, [_model_mismatch(), F.desc("entry_id")], n), SCOPE)
+
+
+def _only_relevant(
+    asked: DataFrame, entries: DataFrame, matches: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries by identity, entries by request id, and matches that a page of logs can need.
+
+    For a page, which holds at most 500 logs, so that what is broadcast has a fixed bound; the entry table is then
+    cut down while it is scanned instead of being ranked as a whole.
+    """
+
+    def some(rows: DataFrame, column: str, of: DataFrame, name: str) -> DataFrame:
+        wanted = F.broadcast(of.select(F.col(name).alias(column)).distinct())
+        return rows.join(wanted, column, "left_semi")
+
+    own = some(entries.filter(F.col("token_id") > 0), "token_id", asked, "token_id")
+    unresolved = some(entries.filter(F.col("token_id") == 0), "key_tail", asked, "key_tail")
+    named = some(entries, "request_id", asked.filter(F.col("request_id") != ""), "request_id")
+    return own.unionByName(unresolved), named, some(matches, "log_id", asked, "log_id")
+
+
+def _around(asked: DataFrame, entries: DataFrame, window: int) -> DataFrame:
+    """Entries in the time that the asked logs span, for partition pruning."""
+    timed = asked.filter(F.col("centre") > 0)
+    low = timed.select((F.min("centre") - window).alias("low")).scalar()
+    high = timed.select((F.max("centre") + window).alias("high")).scalar()
+    return entries.filter((F.col("created_at") >= low) & (F.col("created_at") <= high))
 
 
 def time_note(centre: Column, window: int) -> Column:
@@ -300,20 +334,28 @@ def match_tiered(
     matches: DataFrame,
     window: int = DEFAULT_WINDOW,
     limit: int = DEFAULT_HITS,
+    page: bool = False,
 ) -> DataFrame:
-    """The first tier that knows the log: remembered match, key and time, request id, newest of the key."""
+    """The first tier that knows the log: remembered match, key and time, request id, newest of the key.
+
+    `page` says that `logs` is one page of at most 500 logs.
+    """
     window = window if window > 0 else DEFAULT_WINDOW
     n = hit_limit(limit)
     asked = lookups(logs, tokens)
+    known, named, remembered = (
+        _only_relevant(asked, entries, matches) if page else (entries, entries, matches)
+    )
+    timed_entries = _around(asked, known, window) if page else known
 
     def tier(lists: DataFrame, name: str) -> DataFrame:
         return lists.withColumnRenamed("hits", f"{name}_hits")
 
     joined = (
-        asked.join(stored_lists(matches, entries), "log_id", "left")
-        .join(tier(nearest_lists(asked, entries, window, n), "time"), PROBE, "left")
-        .join(tier(request_id_lists(entries, n), "request"), "request_id", "left")
-        .join(tier(latest_lists(asked, entries, n), "latest"), SCOPE, "left")
+        asked.join(stored_lists(remembered, entries), "log_id", "left")
+        .join(tier(nearest_lists(asked, timed_entries, window, n), "time"), PROBE, "left")
+        .join(tier(request_id_lists(named, n), "request"), "request_id", "left")
+        .join(tier(latest_lists(asked, known, n), "latest"), SCOPE, "left")
     )
     stored, timed, requested = (F.col(f"{t}_hits").isNotNull() for t in ("stored", "time", "request"))
     labelled = joined.select(
@@ -358,10 +400,11 @@ CLIENT_FIELDS = ["client_name", "client_version", "client_variant", "user_agent"
 def best_client(
     logs: DataFrame, tokens: DataFrame, entries: DataFrame, matches: DataFrame, window: int = DEFAULT_WINDOW
 ) -> DataFrame:
-    """The client of every log: from its remembered match, else from the nearest entry."""
+    """The client of every log of a page: from its remembered match, else from the nearest entry."""
     asked = lookups(logs, tokens)
-    joined = asked.join(stored_lists(matches, entries), "log_id", "left").join(
-        nearest_lists(asked, entries, window, 1), PROBE, "left"
+    known, _, remembered = _only_relevant(asked, entries, matches)
+    joined = asked.join(stored_lists(remembered, entries), "log_id", "left").join(
+        nearest_lists(asked, _around(asked, known, window), window, 1), PROBE, "left"
     )
     hit = F.coalesce("stored_hits", "hits")[0]
     return joined.filter(hit.isNotNull()).select("log_id", *[hit[name].alias(name) for name in CLIENT_FIELDS])

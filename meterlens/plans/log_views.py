@@ -8,6 +8,7 @@ from meterlens.operators import matching, usage
 from meterlens.operators.filters import limit_or
 from meterlens.operators.ranking import page_of
 from meterlens.operators.usage import LogFilter
+from meterlens.session import cut_lineage
 
 
 def logs_with_client(
@@ -21,7 +22,8 @@ def logs_with_client(
 ) -> DataFrame:
     """One page of logs with the client that sent each request. Only the logs of the page are matched."""
     size = limit_or(f.page_size, 500, 100)
-    rows = page_of(usage.filter_logs(logs, tokens, f), [F.desc("id")], f.page, size)
+    # The page is used many times below; written once, the log table is scanned once.
+    rows = cut_lineage(page_of(usage.filter_logs(logs, tokens, f), [F.desc("id")], f.page, size))
     clients = matching.best_client(rows, tokens, entries, matches, window).withColumnRenamed("log_id", "id")
     shown = {name: F.coalesce(name, F.lit("")) for name in matching.CLIENT_FIELDS}
     return (
@@ -39,8 +41,8 @@ def log_audit(
     limit: int = matching.DEFAULT_HITS,
 ) -> DataFrame:
     """The audit entries of one log with their match labels, best first."""
-    one = logs.filter(F.col("id") == log_id)
-    found = matching.match_tiered(one, tokens, entries, matches, window, limit).select(
+    one = cut_lineage(logs.filter(F.col("id") == log_id))
+    found = matching.match_tiered(one, tokens, entries, matches, window, limit, page=True).select(
         "log_id", "rank", "matched_by", "matched_note", F.col("entry_id").alias("id")
     )
     return found.join(entries, "id").orderBy("rank")
