@@ -125,8 +125,12 @@ def resolve_keys(rows: DataFrame, tokens: DataFrame, key: str = "api_key") -> Da
 
 def audit_entries(lines: DataFrame, tokens: DataFrame, ingested_at: Column, zone: str = "UTC") -> DataFrame:
     """Entries of raw lines with resolved keys and messages; `id` is left to `assign_ids`."""
-    parsed = parse_lines(lines, zone).filter(F.col("line_state") == "entry")
-    resolved = resolve_keys(parsed, tokens)
+    return entries_of(parse_lines(lines, zone), tokens, ingested_at)
+
+
+def entries_of(parsed: DataFrame, tokens: DataFrame, ingested_at: Column) -> DataFrame:
+    """Entries of parsed lines."""
+    resolved = resolve_keys(parsed.filter(F.col("line_state") == "entry"), tokens)
     shaped = resolved.withColumns(
         {
             "source_path": F.col("path"),
@@ -141,15 +145,23 @@ def audit_entries(lines: DataFrame, tokens: DataFrame, ingested_at: Column, zone
 
 
 def assign_ids(entries: DataFrame, after: int = 0) -> DataFrame:
-    """Number entries in (source_path, source_line) order, going on after the id `after`."""
+    """Number entries in (source_path, source_line) order, going on after the id `after`.
+
+    Every source gets as many ids as its lines span, so only one row per source has to be ordered and the entries
+    themselves are neither sorted nor shuffled. Lines without an entry leave gaps.
+    """
+    spans = entries.groupBy("source_path", "source_id").agg(
+        F.min("source_line").alias("_first"), (F.max("source_line") - F.min("source_line") + 1).alias("_span")
+    )
     placed = running_total(
-        entries.withColumn("_all", F.lit(0)),
+        spans.withColumn("_all", F.lit(0)),
         ["_all"],
-        [F.col("source_path"), F.col("source_id"), F.col("source_line")],
-        F.lit(1).cast("long"),
-        "_position",
-    )
-    return placed.select((F.col("_position") + 1 + after).alias("id"), *entries.columns)
+        [F.col("source_path"), F.col("source_id")],
+        F.col("_span"),
+        "_before",
+    ).select("source_path", "source_id", "_first", "_before")
+    number = F.col("_before") + F.col("source_line") - F.col("_first") + 1 + after
+    return entries.join(placed, ["source_path", "source_id"]).select(number.alias("id"), *entries.columns)
 
 
 def new_entries(batch: DataFrame, stored: DataFrame) -> DataFrame:

@@ -285,7 +285,7 @@ def match_token_time(
     window = window if window > 0 else DEFAULT_WINDOW
     asked = lookups(logs, tokens)
     lists = nearest_lists(asked, entries, window, hit_limit(limit))
-    found = asked.join(lists, PROBE).withColumns(
+    found = asked.filter(F.col("token_id") > 0).join(lists, PROBE).withColumns(
         {"matched_by": F.lit("token_time"), "matched_note": time_note(F.col("centre"), window)}
     )
     return _exploded(found, ["log_id", "matched_by", "matched_note"])
@@ -299,7 +299,7 @@ def match_request_id(logs: DataFrame, tokens: DataFrame, entries: DataFrame, lim
 
 def match_latest(logs: DataFrame, tokens: DataFrame, entries: DataFrame, limit: int = DEFAULT_HITS) -> DataFrame:
     """The newest entries of the log's key, whatever their time."""
-    asked = lookups(logs, tokens)
+    asked = lookups(logs, tokens).filter(F.col("token_id") > 0)
     return _exploded(asked.join(latest_lists(asked, entries, hit_limit(limit)), SCOPE), ["log_id"])
 
 
@@ -327,6 +327,14 @@ def match_stored(matches: DataFrame, entries: DataFrame) -> DataFrame:
     return _exploded(found, ["log_id", "matched_by", "matched_note"])
 
 
+def _left_join(rows: DataFrame, lists: DataFrame, keys: list[str], usable: Column) -> DataFrame:
+    """Left join on unique `lists`. Rows that cannot match, say a third of all logs with a blank request id, would
+    meet in one task; they are given a key of their own instead and so spread over all tasks."""
+    own = F.when(~usable, F.col("log_id"))
+    spread = rows.withColumn("_own", F.coalesce(own, F.lit(-1).cast("long")))
+    return spread.join(lists.withColumn("_own", F.lit(-1).cast("long")), [*keys, "_own"], "left").drop("_own")
+
+
 def match_tiered(
     logs: DataFrame,
     tokens: DataFrame,
@@ -348,15 +356,14 @@ def match_tiered(
     )
     timed_entries = _around(asked, known, window) if page else known
 
-    def tier(lists: DataFrame, name: str) -> DataFrame:
-        return lists.withColumnRenamed("hits", f"{name}_hits")
+    def tier(rows: DataFrame, lists: DataFrame, name: str, keys: list[str], usable: Column) -> DataFrame:
+        return _left_join(rows, lists.withColumnRenamed("hits", f"{name}_hits"), keys, usable)
 
-    joined = (
-        asked.join(stored_lists(remembered, entries), "log_id", "left")
-        .join(tier(nearest_lists(asked, timed_entries, window, n), "time"), PROBE, "left")
-        .join(tier(request_id_lists(named, n), "request"), "request_id", "left")
-        .join(tier(latest_lists(asked, known, n), "latest"), SCOPE, "left")
-    )
+    has_key, has_request = F.col("token_id") > 0, tx.trim(F.col("request_id")) != ""
+    joined = asked.join(stored_lists(remembered, entries), "log_id", "left")
+    joined = tier(joined, nearest_lists(asked, timed_entries, window, n), "time", PROBE, has_key)
+    joined = tier(joined, request_id_lists(named, n), "request", ["request_id"], has_request)
+    joined = tier(joined, latest_lists(asked, known, n), "latest", SCOPE, has_key)
     stored, timed, requested = (F.col(f"{t}_hits").isNotNull() for t in ("stored", "time", "request"))
     labelled = joined.select(
         "log_id",
@@ -378,13 +385,16 @@ def match_tiered(
 REMEMBERED_TIERS = ["token_time", "request_id"]
 
 
-def new_matches(found: DataFrame, matches: DataFrame, matched_at: Column) -> DataFrame:
-    """First hits worth remembering for logs that have no remembered match; the first one stays for good."""
-    first = found.filter((F.col("rank") == 1) & F.col("matched_by").isin(REMEMBERED_TIERS))
+def new_matches(found: DataFrame, matches: DataFrame, matched_at: Column, rematch: bool = False) -> DataFrame:
+    """First hits worth remembering for logs that have no remembered match; the first one stays for good.
+
+    With `rematch` the hits are given for logs that have a match as well, for a caller that replaces the table.
+    """
+    first = found.filter((F.col("rank") == 1) & F.col("matched_by").isin(REMEMBERED_TIERS)).dropDuplicates(["log_id"])
+    if not rematch:
+        first = first.join(matches.select("log_id"), "log_id", "left_anti")
     return (
-        first.dropDuplicates(["log_id"])
-        .join(matches.select("log_id"), "log_id", "left_anti")
-        .select(
+        first.select(
             "log_id",
             F.col("entry_id").alias("audit_entry_id"),
             "matched_by",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterlens.functions.stage import pinned
 from meterlens.functions.text import trim
+from meterlens.session import cut_lineage
 
 from .filters import check_range, clean_ids, clean_models, limit_or
 from .ranking import running_total, top_per_group
@@ -124,23 +125,27 @@ def parents(entries: DataFrame, scope: ReviewScope) -> DataFrame:
     more than a slice, and no pairs are formed.
     """
     checked = scope.checked()
-    columns = ["id", "token_id", "created_at", "prefixes", "reviewed"]
     older = anchors(entries, checked).select("id", "token_id", "created_at", "messages", F.lit(False).alias("reviewed"))
     asked = in_scope(entries, checked).select(
         "id", "token_id", "created_at", "messages", F.lit(True).alias("reviewed")
     )
-    requests = (
+    # Hashing all text is the costly part: the digests are written once, and the order is found on ids alone.
+    requests = cut_lineage(
         older.unionByName(asked)
         .withColumn("prefixes", pinned(prefix_digests(F.col("messages"))))
-        .select(*columns)
+        .drop("messages")
         .filter(F.size("prefixes") > 0)
     )
-    ordered = running_total(
-        requests, ["token_id"], [F.col("created_at"), F.col("id")], F.lit(1).cast("long"), "seq"
-    )
-    length = F.size("prefixes")
+    places = running_total(
+        requests.select("id", "token_id", "created_at"),
+        ["token_id"],
+        [F.col("created_at"), F.col("id")],
+        F.lit(1).cast("long"),
+        "seq",
+    ).select("id", "seq")
+    ordered = requests.join(places, "id").withColumn("length", F.size("prefixes"))
     # Anchors are never asked about: of their prefixes only the whole request matters.
-    spread = ordered.withColumn("length", length).select(
+    spread = ordered.select(
         "id",
         "token_id",
         "seq",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meterlens.functions.decisions import DECISIONS, FAILED_REASON, FAILED_SCORE, OTHER_RISK, PASS, REVIEW
 from meterlens.functions.text import first_nonempty
+from meterlens.session import cut_lineage
 
 from .filters import limit_or
 from .ranking import page_of
@@ -46,10 +47,10 @@ def results_page(
 ) -> DataFrame:
     """One page of results, riskiest first, with own and effective result, first log, key name and labels.
 
-    Only the requests of the page are joined.
+    Only the requests of the page are joined; the page is written once, since four joins read it.
     """
     order = [F.desc("effective_risk_score"), F.desc("created_at"), F.desc("audit_entry_id")]
-    shown = page_of(filter_results(final, decision, token_id), order, page, limit_or(page_size, 200, 50))
+    shown = cut_lineage(page_of(filter_results(final, decision, token_id), order, page, limit_or(page_size, 200, 50)))
     logs = (
         matches.join(shown.select("audit_entry_id"), "audit_entry_id", "left_semi")
         .groupBy("audit_entry_id")

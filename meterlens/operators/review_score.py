@@ -68,7 +68,7 @@ def score_new(plan: DataFrame, cache: DataFrame, scorer: Scorer, config: str, ca
     `calls` bounds how many tasks talk to the review model at a time. The replies are written before they are used,
     so a lost executor or a second use of the result never asks the model again for what it has answered.
     """
-    units = unscored(plan, cache, config)
+    units = cut_lineage(unscored(plan, cache, config))
     intact = F.sha2("content", 256) == F.col("content_hash")
     asked = units.filter(intact).select("content_hash", "content").repartition(calls, "content_hash")
     replies = cut_lineage(scorer(asked).select(*REPLY_COLUMNS))
@@ -132,7 +132,14 @@ def outcomes(plan: DataFrame, cache: DataFrame, scored: DataFrame, config: str)
     results = cached.unionByName(fresh, allowMissingColumns=True).join(
         content_units(plan).select("content_hash", "first_entry_id"), "content_hash"
     )
-    rows = plan.drop("content").join(results, "content_hash", "left")
+    # Requests without new content may be most of the rows and match nothing: they stay out of the join.
+    has_content = F.col("content_hash") != ""
+    rows = plan.drop("content")
+    rows = (
+        rows.filter(has_content)
+        .join(results, "content_hash", "left")
+        .unionByName(rows.filter(~has_content), allowMissingColumns=True)
+    )
     failed = F.coalesce(F.col("error"), F.lit("")) != ""
     is_first = F.col("audit_entry_id") == F.col("first_entry_id")
     has_result = F.col("decision").isNotNull() & ~failed

@@ -202,24 +202,23 @@ def key_usage(
     limit: int = 100,
     show_full_keys: bool = False,
 ) -> DataFrame:
-    """Usage by key. Logs are aggregated before the key table is joined, so the join sees one row per key."""
+    """Usage by key. Logs are aggregated before the key table is joined, so the join sees one row per key.
+
+    The names are grouping columns of the first step and not its maxima: a maximum of text would make Spark sort the
+    fact rows instead of hashing them, and a key has few names.
+    """
     rows = usage_rows(logs, start, end)
     names = tokens.select(F.col("id").alias("token_id"), F.col("name").alias("_name"))
     if query.strip():
         rows = rows.join(names, "token_id", "left").filter(
             tx.matches_any(query, F.col("_name"), F.col("token_name"), F.col("username"), F.col("model_name"))
         )
-    per_model = rows.groupBy("token_id", "model_name").agg(
-        *_token_sums(),
-        F.max("token_name").alias("token_name"),
-        F.max("user_id").alias("user_id"),
-        F.max("username").alias("username"),
-    )
-    per_key = per_model.groupBy("token_id").agg(
+    per_name = rows.groupBy("token_id", "model_name", "token_name", "user_id", "username").agg(*_token_sums())
+    per_key = per_name.groupBy("token_id").agg(
         F.max("token_name").alias("token_name"),
         _zero(F.max("user_id")).alias("user_id"),
         F.coalesce(F.max("username"), F.lit("")).alias("username"),
-        F.count(F.nullif(F.col("model_name"), F.lit(""))).alias("model_count"),
+        F.countDistinct(F.nullif(F.col("model_name"), F.lit(""))).alias("model_count"),
         *[column.alias(name) for name, column in _summed_again().items()],
     )
     keys = tokens.select(F.col("id").alias("token_id"), "name", "key")

@@ -281,3 +281,19 @@ def stream_audit_lines(
         .option("maxLinesPerTrigger", max_lines)
         .load()
     )
+
+
+def file_progress(spark: SparkSession, paths: str, cursor_dir: str) -> DataFrame:
+    """One row per matched file: its size, the byte and line reached, and whether bytes are left behind them.
+
+    Bytes are left behind an unfinished last line, or when the line cap was hit.
+    """
+    reader = AuditLinesStreamReader({"path": paths, "cursorDir": cursor_dir})
+    rows = []
+    for path in expand_paths(paths):
+        identity, size = file_id(path)
+        state = reader.position.get(path)
+        same = state is not None and state["id"] == identity and state["offset"] <= size
+        offset, line = (state["offset"], state["line"]) if same else (0, 0)
+        rows.append((path, size, offset, line, size > offset))
+    return spark.createDataFrame(rows, "path string, size long, byte_offset long, line_no long, unread boolean")

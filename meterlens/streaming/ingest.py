@@ -35,10 +35,10 @@ def ingest_batch(
     """
     spark = lines.sparkSession
     stored = read_table(spark, entries_path, schemas.AUDIT_ENTRIES, except_batch=batch_id)
-    held = cut_lineage(lines.drop("split", "split_line"))
+    parsed = cut_lineage(ingest.parse_lines(lines.drop("split", "split_line"), zone))
     if stats_path:
-        write_batch(ingest.line_statistics(ingest.parse_lines(held, zone), "path"), stats_path, batch_id)
-    entries = cut_lineage(ingest.audit_entries(held, tokens, F.unix_timestamp(), zone))
+        write_batch(ingest.line_statistics(parsed, "path"), stats_path, batch_id)
+    entries = cut_lineage(ingest.entries_of(parsed, tokens, F.unix_timestamp()))
     fresh = ingest.new_entries(entries, _known_lines(stored, entries))
     last = stored.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).first()[0]
     write_batch(ingest.assign_ids(fresh, after=last), entries_path, batch_id)
