@@ -393,14 +393,12 @@ def new_matches(found: DataFrame, matches: DataFrame, matched_at: Column, rematc
     first = found.filter((F.col("rank") == 1) & F.col("matched_by").isin(REMEMBERED_TIERS)).dropDuplicates(["log_id"])
     if not rematch:
         first = first.join(matches.select("log_id"), "log_id", "left_anti")
-    return (
-        first.select(
-            "log_id",
-            F.col("entry_id").alias("audit_entry_id"),
-            "matched_by",
-            "matched_note",
-            matched_at.cast("long").alias("matched_at"),
-        )
+    return first.select(
+        "log_id",
+        F.col("entry_id").alias("audit_entry_id"),
+        "matched_by",
+        "matched_note",
+        matched_at.cast("long").alias("matched_at"),
     )
 
 

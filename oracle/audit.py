@@ -82,7 +82,32 @@ spoken AS (
   FROM lines l JOIN conversations c ON c.conv_id = l.conv_id AND c.turn <= l.turn WHERE shape IN (0, 1, 2))
 """
 
+
+def safe(text: str) -> str:
+    """JSON text of a value with the escapes of canonical JSON."""
+    escaped = f"cast(to_json({text}) AS VARCHAR)"
+    for character, code in (("<", "003c"), (">", "003e"), ("&", "0026")):
+        escaped = f"replace({escaped}, '{character}', '\\u{code}')"
+    return escaped
+
+
+BODIES = f""",
+bodies AS (
+  SELECT l.line_no,
+    string_agg('{{"content":' || {safe('c.text')} || ',"role":' || {safe('c.role')} || '}}', ',' ORDER BY c.turn) AS chat,
+    string_agg('{{"content":[{{"text":' || {safe('c.text')} || ',"type":"input_text"}}],"role":' || {safe('c.role')} || '}}', ','
+      ORDER BY c.turn) AS spoken,
+    string_agg('{{"parts":[{{"text":' || {safe('c.text')} || '}}],"role":' || {safe('c.role')} || '}}', ',' ORDER BY c.turn) AS parts
+  FROM lines l JOIN conversations c ON c.conv_id = l.conv_id AND c.turn <= l.turn GROUP BY 1)
+"""
+
 ORACLE = {
+    "canonical_json": f"""WITH {USAGE}{LINES}{BODIES} SELECT line_no, CASE shape
+        WHEN 0 THEN '{{"messages":[' || chat || '],"model":"gpt-4o"}}'
+        WHEN 1 THEN '{{"input":[' || spoken || '],"model":" claude-3 "}}'
+        WHEN 2 THEN '{{"contents":[' || parts || ']}}' WHEN 3 THEN '{{"prompt":' || {safe('text')} || '}}'
+        WHEN 4 THEN '{{"messages":[],"system":" S\\n"}}' ELSE 'not json <b>' END AS body
+        FROM lines JOIN bodies USING (line_no) WHERE is_entry""",
     "parse_audit": f"""WITH {USAGE}{LINES} SELECT line_no,
         CASE WHEN shape = 7 THEN 0 ELSE sent END AS created_at, shape <> 7 AS has_timestamp,
         CASE shape WHEN 0 THEN 'POST' WHEN 1 THEN 'POST' WHEN 3 THEN 'GET' ELSE '' END AS method,
