@@ -9,6 +9,7 @@ from meterlens.functions.decisions import BLOCK, PASS, REVIEW, with_decision
 from meterlens.operators import review_plan as rp, review_results as rr, review_score as rs
 from meterlens.operators.review_plan import ReviewScope
 from meterlens.plans.review_run import run_review
+from meterlens.session import cut_lineage
 
 from .common import rounded
 
@@ -73,7 +74,7 @@ def _plan(spark: SparkSession, sf: str, scope: ReviewScope = SCOPE) -> DataFrame
 
 
 def _run(spark: SparkSession, sf: str):
-    cache = stored_results(_plan(spark, sf))
+    cache = cut_lineage(stored_results(_plan(spark, sf)))
     return cache, run_review(
         b.review_requests(spark, sf), SCOPE, cache, scorer, CONFIG, F.lit(1_700_000_500)
     )

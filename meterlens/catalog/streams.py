@@ -11,7 +11,7 @@ from meterlens import bindings as b, schemas
 from meterlens.operators import ingest, review_score as rs
 from meterlens.session import ensure_checkpoint_dir
 from meterlens.sources.audit_lines import read_audit_lines, stream_audit_lines
-from meterlens.streaming.ingest import start_ingest
+from meterlens.streaming.ingest import scan_until_read, start_ingest
 from meterlens.streaming.match import start_matching
 from meterlens.streaming.review import start_review
 from meterlens.streaming.store import read_table
@@ -19,6 +19,9 @@ from meterlens.streaming.store import read_table
 from .audit import WINDOW
 from .review import CONFIG, SCOPE, scorer
 
+# Lines per scan; the scans are repeated until all lines are read.
+LINES_PER_SCAN = 50_000
+
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder next to the session's checkpoints."""
@@ -46,25 +49,36 @@ def _scan(spark: SparkSession, sf: str) -> DataFrame:
 
 def _tail(spark: SparkSession, sf: str) -> DataFrame:
     pattern, out = _written_lines(spark, b.raw_lines(spark, sf)), _folder(spark, "tailed")
-    lines = stream_audit_lines(spark, pattern, _folder(spark, "cursor"))
-    writer = lines.writeStream.format("parquet").option("checkpointLocation", _folder(spark, "checkpoint"))
-    writer.trigger(availableNow=True).start(out).awaitTermination()
+    cursor, checkpoint = _folder(spark, "cursor"), _folder(spark, "checkpoint")
+
+    def scan():
+        lines = stream_audit_lines(spark, pattern, cursor, LINES_PER_SCAN)
+        writer = lines.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start(out)
+
+    scan_until_read(spark, scan, pattern, cursor)
     return _summary(spark.read.schema(schemas.RAW_LINES).parquet(out))
 
 
 def _ingested(spark: SparkSession, sf: str, lines: DataFrame) -> str:
     """Stream the lines into an entry table and return its folder."""
-    entries = _folder(spark, "entries")
-    start_ingest(
-        spark,
-        _written_lines(spark, lines),
-        lambda: b.tokens(spark, sf),
-        entries,
-        _folder(spark, "checkpoint"),
-        zone=b.LINE_ZONE,
-        cursor_dir=_folder(spark, "cursor"),
-        once=True,
-    ).awaitTermination()
+    entries, pattern = _folder(spark, "entries"), _written_lines(spark, lines)
+    cursor, checkpoint = _folder(spark, "cursor"), _folder(spark, "checkpoint")
+
+    def scan():
+        return start_ingest(
+            spark,
+            pattern,
+            lambda: b.tokens(spark, sf),
+            entries,
+            checkpoint,
+            zone=b.LINE_ZONE,
+            max_lines=LINES_PER_SCAN,
+            cursor_dir=cursor,
+            once=True,
+        )
+
+    scan_until_read(spark, scan, pattern, cursor)
     return entries
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterlens.functions import text as tx
+from meterlens.session import cut_lineage
 
 from .ranking import top_per_group
 
@@ -350,7 +351,8 @@ def match_tiered(
     """
     window = window if window > 0 else DEFAULT_WINDOW
     n = hit_limit(limit)
-    asked = lookups(logs, tokens)
+    # Narrow rows that four tiers read: written once, the logs are scanned and joined to their keys once.
+    asked = cut_lineage(lookups(logs, tokens))
     known, named, remembered = (
         _only_relevant(asked, entries, matches) if page else (entries, entries, matches)
     )

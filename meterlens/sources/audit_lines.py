@@ -151,8 +151,8 @@ class AuditLinesStreamReader(DataSourceStreamReader):
 
     An offset holds, per path, the file's identity, its generation, and the byte and line reached. Another file under
     the same path starts over; the same file made shorter starts a new generation. The engine does not tell a reader
-    where it stood before a restart, so the position is also kept in `cursorDir`; if that lags, lines are delivered
-    again, and the entry sink drops them.
+    where it stood before a restart, so the end of every planned batch is also kept in `cursorDir`. That is safe: the
+    engine has logged the same end by then and repeats the batch itself if it fails.
     """
 
     def __init__(self, options) -> None:
@@ -228,12 +228,16 @@ class AuditLinesStreamReader(DataSourceStreamReader):
             if known and known["id"] == since["id"] and known["generation"] == since["generation"]:
                 if known["offset"] < since["offset"]:
                     self.position[path] = since
+        self._save(end)
         return parts
 
     def read(self, partition: LineRange) -> Iterator[pa.RecordBatch]:
         return read_range(partition)
 
     def commit(self, end: dict) -> None:
+        """Nothing to release: files are left as they are."""
+
+    def _save(self, end: dict) -> None:
         if self.cursor:
             os.makedirs(os.path.dirname(self.cursor), exist_ok=True)
             fresh = f"{self.cursor}.{uuid.uuid4().hex}"

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from meterlens import schemas
 from meterlens.operators import ingest
 from meterlens.session import cut_lineage
-from meterlens.sources.audit_lines import MAX_LINES_PER_TRIGGER, stream_audit_lines
+from meterlens.sources.audit_lines import MAX_LINES_PER_TRIGGER, file_progress, stream_audit_lines
 
 from .store import read_table, write_batch
 
@@ -58,7 +58,10 @@ def start_ingest(
     scan_seconds: int = SCAN_SECONDS,
     once: bool = False,
 ) -> StreamingQuery:
-    """Scan now and then every `scan_seconds`, or with `once` a single time; `tokens` is asked anew for every batch."""
+    """Scan now and then every `scan_seconds`, or with `once` a single time, up to the line cap each.
+
+    `tokens` is asked anew for every batch.
+    """
     lines = stream_audit_lines(spark, paths, cursor_dir, max_lines)
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -67,3 +70,15 @@ def start_ingest(
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": f"{scan_seconds} seconds"}
     return writer.trigger(**trigger).start()
+
+
+def scan_until_read(
+    spark: SparkSession, start: Callable[[], StreamingQuery], paths: str, cursor_dir: str
+) -> None:
+    """Repeat single scans, each up to the line cap, until no file has a complete line left."""
+    while True:
+        before = file_progress(spark, paths, cursor_dir)
+        start().awaitTermination()
+        after = file_progress(spark, paths, cursor_dir)
+        if after.filter("unread").isEmpty() or before.exceptAll(after).isEmpty():
+            return

@@ -3,7 +3,7 @@ import os
 
 from meterlens import schemas
 from meterlens.sources.audit_lines import AuditLinesStreamReader, expand_paths, file_progress, read_audit_lines, read_range
-from meterlens.streaming.ingest import ingest_batch, start_ingest
+from meterlens.streaming.ingest import ingest_batch, scan_until_read, start_ingest
 from meterlens.streaming.store import read_table
 
 KEYS = [(7, 1, "prod", "prod")]
@@ -62,7 +62,6 @@ def test_line_cap_and_restart(tmp_path):
     reader = AuditLinesStreamReader(options)
     first = reader.latestOffset()
     assert taken(reader, {}, first) == ["1", "2", "3", "1"]
-    reader.commit(first)
     restarted = AuditLinesStreamReader(options)
     second = restarted.latestOffset()
     assert taken(restarted, first, second) == ["2", "3"]
@@ -71,7 +70,7 @@ def test_line_cap_and_restart(tmp_path):
 def test_progress(spark, tmp_path):
     put(tmp_path / "a.jsonl", "1\n2\n3")
     reader = AuditLinesStreamReader({"path": str(tmp_path), "cursorDir": str(tmp_path / "cursor")})
-    reader.commit(reader.latestOffset())
+    taken(reader, {}, reader.latestOffset())
     row = file_progress(spark, str(tmp_path), str(tmp_path / "cursor")).first()
     assert (row.size, row.byte_offset, row.line_no, row.unread) == (5, 4, 2, True)
 
@@ -110,6 +109,22 @@ def test_ingest_appends_and_never_repeats(spark, tmp_path):
     assert stats == {"sum(processed_lines)": 5, "sum(blank_lines)": 1, "sum(invalid_lines)": 1}
 
 
+def test_scans_go_on_until_all_is_read(spark, tmp_path):
+    logs, out, cursor = tmp_path / "logs", str(tmp_path / "entries"), str(tmp_path / "cursor")
+    logs.mkdir()
+    put(logs / "a.jsonl", "".join(line(1000 + i) for i in range(5)) + "{unfinished")
+    keys = spark.createDataFrame(KEYS, schemas.TOKENS)
+
+    def scan():
+        return start_ingest(
+            spark, str(logs), lambda: keys, out, str(tmp_path / "checkpoint"), max_lines=2, cursor_dir=cursor, once=True
+        )
+
+    scan_until_read(spark, scan, str(logs), cursor)
+    entries = read_table(spark, out, schemas.AUDIT_ENTRIES)
+    assert sorted((r.id, r.created_at) for r in entries.collect()) == [(i + 1, 1000 + i) for i in range(5)]
+
+
 def test_repeated_batch_replaces_itself(spark, tmp_path):
     out = str(tmp_path / "entries")
     keys = spark.createDataFrame(KEYS, schemas.TOKENS)
