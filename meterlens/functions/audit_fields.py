@@ -64,7 +64,7 @@ def _first(values: Column) -> Column:
 
 def text_of(value: Column) -> Column:
     """The value if it is a JSON string, else NULL."""
-    return F.when(lj.json_kind(value) == '"', F.try_variant_get(value, "$", "string"))
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def first_text(members: str, field: str) -> Column:

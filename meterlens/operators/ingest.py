@@ -89,8 +89,11 @@ def resolve_keys(rows: DataFrame, tokens: DataFrame, key: str = "api_key") -> Da
     """Add `token_id`, `token_name` and `key_tail` of each row's key; an unknown key has token 0 and its own tail.
 
     The distinct keys are looked up first, so the key table meets a small table whatever the number of rows; the
-    answers then come back by key.
+    answers then come back by key. Rows without a key, which may be many, find no answer: they are spread by their
+    place in the input instead of meeting in one task.
     """
+    place = [name for name in ("path", "line_no") if name in rows.columns] or rows.columns[:1]
+    own = F.when(F.col(key) == "", F.xxhash64(*place)).otherwise(F.lit(0).cast("long"))
     known = tokens.groupBy(F.col("key").alias("_known")).agg(
         F.min(F.struct(F.col("id").alias("id"), F.coalesce("name", F.lit("")).alias("name"))).alias("_token")
     )
@@ -108,10 +111,12 @@ def resolve_keys(rows: DataFrame, tokens: DataFrame, key: str = "api_key") -> Da
             F.col("_best._token.id").alias("_id"),
             F.col("_best._token.name").alias("_name"),
             tx.key_tail(F.col("_best._known")).alias("_tail"),
+            F.lit(0).cast("long").alias("_own"),
         )
     )
     return (
-        rows.join(answers, key, "left")
+        rows.withColumn("_own", own)
+        .join(answers, [key, "_own"], "left")
         .withColumns(
             {
                 "token_id": F.coalesce("_id", F.lit(0).cast("long")),
@@ -119,7 +124,7 @@ def resolve_keys(rows: DataFrame, tokens: DataFrame, key: str = "api_key") -> Da
                 "key_tail": tx.first_nonempty(F.col("_tail"), tx.key_tail(tx.trim(F.col(key)))),
             }
         )
-        .drop("_id", "_name", "_tail")
+        .drop("_id", "_name", "_tail", "_own")
     )
 
 
