@@ -93,10 +93,8 @@ def _stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stream_match(spark: SparkSession, sf: str) -> DataFrame:
     entries, matches = _folder(spark, "entries"), _folder(spark, "matches")
-    known = b.audit_entries(spark, sf)
-    missing = [name for name in ("body",) if name not in known.columns]
-    filled = known.withColumns({name: F.lit("") for name in missing}).withColumn(
-        "messages", F.expr(f"cast(array() as {schemas.MESSAGES})")
+    filled = b.audit_entries(spark, sf).withColumns(
+        {"body": F.lit(""), "messages": F.expr(f"cast(array() as {schemas.MESSAGES})")}
     )
     filled.write.parquet(f"{entries}/batch_id=0")
     start_matching(

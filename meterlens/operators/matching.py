@@ -19,6 +19,8 @@ ONE_DAY = 86400
 # Width in windows of the time chunks in which neighbours are searched.
 CHUNK_WINDOWS = 30
 MAX_HITS, DEFAULT_HITS = 50, 10
+# Logs of one page; only pages are small enough to be broadcast.
+MAX_PAGE = 500
 
 # What a hit carries: enough to rank it, to show the client, and to fetch the entry by id.
 HIT_FIELDS = ["entry_id", "entry_created_at", "client_name", "client_version", "client_variant", "user_agent"]
@@ -243,9 +245,11 @@ def _only_relevant(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entries by identity, entries by request id, and matches that a page of logs can need.
 
-    For a page, which holds at most 500 logs, so that what is broadcast has a fixed bound; the entry table is then
-    cut down while it is scanned instead of being ranked as a whole.
+    For a page, which holds at most 500 logs: that is checked, so what is broadcast has a fixed bound. The entry table
+    is cut down while it is scanned instead of being ranked as a whole.
     """
+    if asked.limit(MAX_PAGE + 1).count() > MAX_PAGE:
+        raise ValueError(f"a page holds at most {MAX_PAGE} logs")
 
     def some(rows: DataFrame, column: str, of: DataFrame, name: str) -> DataFrame:
         wanted = F.broadcast(of.select(F.col(name).alias(column)).distinct())
@@ -411,7 +415,7 @@ def best_client(
     logs: DataFrame, tokens: DataFrame, entries: DataFrame, matches: DataFrame, window: int = DEFAULT_WINDOW
 ) -> DataFrame:
     """The client of every log of a page: from its remembered match, else from the nearest entry."""
-    asked = lookups(logs, tokens)
+    asked = cut_lineage(lookups(logs, tokens))
     known, _, remembered = _only_relevant(asked, entries, matches)
     joined = asked.join(stored_lists(remembered, entries), "log_id", "left").join(
         nearest_lists(asked, _around(asked, known, window), window, 1), PROBE, "left"

@@ -22,16 +22,17 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
 
 
 def read_usage_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Usage logs from Parquet; additive schema changes between files are merged."""
-    return conform(spark.read.option("mergeSchema", "true").parquet(path), schemas.USAGE_LOGS)
+    """Usage logs from Parquet. With the schema given no file has to be opened to plan the scan, and columns that
+    older files lack are NULL."""
+    return spark.read.schema(schemas.USAGE_LOGS).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    return conform(spark.read.parquet(path), schemas.TOKENS)
+    return spark.read.schema(schemas.TOKENS).parquet(path)
 
 
 def read_options(spark: SparkSession, path: str) -> DataFrame:
-    return conform(spark.read.parquet(path), schemas.OPTIONS)
+    return spark.read.schema(schemas.OPTIONS).parquet(path)
 
 
 # URL prefixes that name a database; other text with "@" or "host=" is a PostgreSQL or MySQL DSN.

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterlens.sources.usage import conform
-
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Write the rows of one batch into the batch's own folder, replacing an earlier attempt."""
@@ -16,11 +14,11 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def read_table(spark: SparkSession, path: str, schema: str, except_batch: int | None = None) -> DataFrame:
     """All rows written so far, without those of the batch that is being repeated; empty before the first batch."""
     try:
-        rows = spark.read.option("mergeSchema", "true").parquet(path)
+        rows = spark.read.schema(f"{schema}, batch_id long").parquet(path)
     except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
     if except_batch is not None:
         rows = rows.filter(F.col("batch_id") != except_batch)
-    return conform(rows, schema)
+    return rows.drop("batch_id")

@@ -191,3 +191,9 @@ def test_ids_follow_path_and_line(spark):
     frame = spark.createDataFrame(rows, "source_id string, source_path string, source_line long")
     ids = {(r.source_path, r.source_line): r.id for r in ingest.assign_ids(frame, after=10).collect()}
     assert ids == {("a", 1): 11, ("a", 2): 12, ("b", 1): 13}
+
+
+def test_a_page_is_checked(spark):
+    logs, keys, entries, none = tables(spark, [log(i, 1000, 0) for i in range(501)], [entry(5, 1000)])
+    with pytest.raises(ValueError):
+        m.match_tiered(logs, keys, entries, none, page=True)

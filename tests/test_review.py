@@ -9,7 +9,7 @@ from meterlens import schemas
 from meterlens.functions.decisions import BLOCK, PASS, REVIEW, with_decision
 from meterlens.operators import ingest, review_plan as rp, review_results as rr, review_score as rs
 from meterlens.operators.review_plan import ReviewScope
-from meterlens.plans.review_run import run_review
+from meterlens.plans.review_run import run_review, write_plan
 
 ENTRIES = f"id long, token_id long, created_at long, model string, messages {schemas.MESSAGES}"
 CONFIG = rs.config_hash("https://x/v1", "m", "p")
@@ -240,3 +240,17 @@ def test_ready_rows(spark):
         "audit_entry_id long, token_id long, created_at long, parent_entry_id long, status string",
     )
     assert sorted(r.audit_entry_id for r in rs.ready(rows).collect()) == [2, 4]
+
+
+def test_stored_plan_replaces_only_its_job(spark, tmp_path):
+    path = str(tmp_path / "plan")
+
+    def plan(job, ids):
+        rows = [(job, i, 1, 1000, "m", 0, 0, 1, "c", "h", 1) for i in ids]
+        return spark.createDataFrame(rows, "job_id long, " + schemas.REVIEW_PLAN)
+
+    write_plan(plan(1, [1, 2]), path)
+    write_plan(plan(2, [3]), path)
+    write_plan(plan(1, [4]), path)
+    stored = spark.read.parquet(path)
+    assert sorted((r.job_id, r.audit_entry_id) for r in stored.collect()) == [(1, 4), (2, 3)]
