@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterlens.llm import decontam, html_text, langid, licenses, minhash, packing, pii, secret_scan, topk
+from meterlens.llm import decontam, html_text, langid, licenses, minhash, packing, pii, secret_scan, tokenfile, topk
 from meterlens.llm.common import table
 
 #: Folder of the tokenizer files; without it the installed public_tokenizers package names the files.
@@ -35,6 +35,10 @@ def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": near_dedup,
     "op2_language_id": language,
     "op3_exact_topk": exact_topk,
+    "op4_token_files": token_files,
     "op5_html_text": page_text,
     "op6_packing": pack_sequences,
     "op7_decontamination": contamination,
