@@ -21,6 +21,7 @@ MEMORY_WORDS, MEMORY_PARTS = 1_000_000, 800_000
 PARTS = 256
 
 LETTERS, MARKS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,;:!?%&$*#|-"
+CONTROLS = "\x1c\x1d\x1e\x1f"
 PROBE = "Ab'll x,, 12y É. z\tß-q $5 &&& *** #a"
 
 
@@ -88,8 +89,10 @@ class Encoder:
         texts = [t or "" for t in texts]
         if not self.by_word:
             return [np.frombuffer(b, self.dtype) for b in self._encode(texts)]
-        # A special token's string is one token wherever it stands; the few texts that hold one are encoded whole.
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        # A special token's string is one token wherever it stands, and four control characters part words for Python
+        # only; the few texts that hold one are encoded whole.
+        odd = (*self.special, *CONTROLS)
+        whole = {i for i, t in enumerate(texts) if any(s in t for s in odd)}
         split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
         distinct: set[str] = set().union(*split)
         if len(self.words) + len(distinct) > MEMORY_WORDS:
