@@ -31,7 +31,8 @@ from meterlens.llm.tokens import Encoder
 from meterlens.session import ensure_checkpoint_dir
 
 MAGIC, VERSION = b"TKRC", 1
-HEAD = struct.Struct("<4sBBHIIQ")
+HEAD = "<4sBBHIIQ"
+HEAD_BYTES = struct.calcsize(HEAD)
 #: Ids of a block, and of a segment; a document is never split, so a segment with a very long one is longer.
 BLOCK, SEGMENT = 2048, 1 << 22
 
@@ -48,22 +49,22 @@ def to_bytes(documents: list[np.ndarray]) -> bytes:
     coded = coder.encode([b.astype(np.int64) for b in blocks], width // 2)
     lengths = np.array([len(d) for d in documents], "<u8").tobytes()
     table = np.array([(len(b), len(c), crc32(b.tobytes())) for b, c in zip(blocks, coded, strict=True)], "<u4").tobytes()
-    head = HEAD.pack(MAGIC, VERSION, width, 0, len(documents), len(blocks), len(ids))
+    head = struct.pack(HEAD, MAGIC, VERSION, width, 0, len(documents), len(blocks), len(ids))
     return b"".join([head, lengths, table, *coded])
 
 
 def from_bytes(data: bytes) -> list[np.ndarray]:
     """The ids of a segment's documents; raises `Corrupt` if a checksum or a size is wrong."""
-    if len(data) < HEAD.size:
+    if len(data) < HEAD_BYTES:
         raise Corrupt("too short")
-    magic, version, width, _, documents, blocks, total = HEAD.unpack_from(data)
+    magic, version, width, _, documents, blocks, total = struct.unpack_from(HEAD, data)
     if (magic, version) != (MAGIC, VERSION):
         raise Corrupt("not a segment of this version")
-    at = HEAD.size + 8 * documents
+    at = HEAD_BYTES + 8 * documents
     body = at + 12 * blocks
     if body > len(data):
         raise Corrupt("too short")
-    lengths = np.frombuffer(data, "<u8", documents, HEAD.size).astype(np.int64)
+    lengths = np.frombuffer(data, "<u8", documents, HEAD_BYTES).astype(np.int64)
     table = np.frombuffer(data, "<u4", 3 * blocks, at).reshape(blocks, 3).astype(np.int64)
     ends = body + np.cumsum(table[:, 1])
     if len(data) != (ends[-1] if blocks else body) or table[:, 0].sum() != total or lengths.sum() != total:
