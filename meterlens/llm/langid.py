@@ -84,7 +84,7 @@ def fit(counts: np.ndarray, labels: list[str], epochs: int = 30, seed: int = 7)
     spread = 1 / (np.sqrt(mean) + 0.002)
     embed = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (WIDTH, n)).astype(np.float32), np.zeros(n, np.float32)
-    batch = 64
+    batch = max(4, min(64, len(used) // 40))
     for epoch in range(epochs):
         rate = np.float32(0.5 * (1 - epoch / epochs))
         rng.shuffle(used)
