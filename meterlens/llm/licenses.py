@@ -189,10 +189,13 @@ def find_licenses(index: Index, words: np.ndarray, prints: np.ndarray) -> list[t
         while first <= last:
             upto = min(last, first + len(template) // 2 + BAND)
             base = max(0, first - BAND)
-            part = words[base : upto + BAND + len(template)]
-            matched, a, b = align(part, template, first - BAND - base, upto + BAND - base)
-            if matched >= COVERAGE * len(template):
+            part = words[base : upto + BAND + len(template)].copy()
+            while True:
+                matched, a, b = align(part, template, first - BAND - base, upto + BAND - base)
+                if matched < COVERAGE * len(template):
+                    break
                 out.append((owner, matched, base + a, base + b))
+                part[a:b] = 0  # what is taken is no word any more; the notice may stand here again
             beyond = [h[1] for h in hits[i:j] if h[1] > upto]
             first = beyond[0] if beyond else last + 1
         i = j
