@@ -60,15 +60,15 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, r
     return ranked.filter(F.col(rank) <= n)
 
 
-# Beyond this many leading rows a page is found by position instead of a top-k on the driver side.
-DEEP_PAGE_ROWS = 100_000
+def page_of(df: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:
+    """One page in a total order, as a top-k of the rows up to its end. `logs_after` reads on at any depth."""
+    return df.orderBy(*order).offset((max(page, 1) - 1) * page_size).limit(page_size)
 
 
-def page_of(df: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:
-    """One page in a total order. Shallow pages are a top-k; deep ones are cut out by global position."""
-    skip = (max(page, 1) - 1) * page_size
-    if skip + page_size <= DEEP_PAGE_ROWS:
-        return df.orderBy(*order).offset(skip).limit(page_size)
-    placed = running_total(df.withColumn("_all", F.lit(0)), ["_all"], order, F.lit(1).cast("long"), "_position")
-    wanted = (F.col("_position") >= skip) & (F.col("_position") < skip + page_size)
-    return placed.filter(wanted).drop("_all", "_position").orderBy(*order)
+def only_for(df: DataFrame, column: str, page: DataFrame, page_column: str) -> DataFrame:
+    """The rows of `df` that a page asks for, at most one for each row of the page: small enough to be broadcast.
+
+    A page that meets them is not shuffled, so it keeps its order.
+    """
+    asked = page.select(F.col(page_column).alias(column)).distinct()
+    return F.broadcast(df.join(F.broadcast(asked), column, "left_semi"))

@@ -9,7 +9,7 @@ from meterlens.functions.text import first_nonempty
 from meterlens.session import cut_lineage
 
 from .filters import limit_or
-from .ranking import page_of
+from .ranking import only_for, page_of
 
 # Labels of where a result comes from.
 INHERITED, NEW, CACHED, CALLED, FAILED = "继承", "新增", "缓存", "模型", "错误"
@@ -51,27 +51,26 @@ def results_page(
     """
     order = [F.desc("effective_risk_score"), F.desc("created_at"), F.desc("audit_entry_id")]
     shown = cut_lineage(page_of(filter_results(final, decision, token_id), order, page, limit_or(page_size, 200, 50)))
-    logs = (
-        matches.join(shown.select("audit_entry_id"), "audit_entry_id", "left_semi")
-        .groupBy("audit_entry_id")
-        .agg(F.min("log_id").alias("log_id"))
-    )
+    logs = only_for(matches, "audit_entry_id", shown, "audit_entry_id")
+    logs = F.broadcast(logs.groupBy("audit_entry_id").agg(F.min("log_id").alias("log_id")))
     keys = tokens.select(F.col("id").alias("token_id"), F.col("name").alias("_name"))
+    own = _result_of(cache, config, "own", "result_hash")
+    top = _result_of(cache, config, "top", "effective_result_hash")
     joined = (
-        shown.join(_result_of(cache, config, "own", "result_hash"), "result_hash", "left")
-        .join(_result_of(cache, config, "top", "effective_result_hash"), "effective_result_hash", "left")
+        shown.join(only_for(own, "result_hash", shown, "result_hash"), "result_hash", "left")
+        .join(only_for(top, "effective_result_hash", shown, "effective_result_hash"), "effective_result_hash", "left")
         .join(logs, "audit_entry_id", "left")
-        .join(keys, "token_id", "left")
+        .join(only_for(keys, "token_id", shown, "token_id"), "token_id", "left")
     )
     failed = F.col("status") == "error"
     no_names = F.expr("cast(array() as array<string>)")
     bare = F.coalesce(F.size("top_categories"), F.lit(0)) == 0
     fallback = failed & bare & (F.coalesce("top_reason", F.lit("")) == "")
 
-    def own(name: str, failed_value: Column, default: Column) -> Column:
+    def own_field(name: str, failed_value: Column, default: Column) -> Column:
         return F.when(failed, failed_value).otherwise(F.coalesce(f"own_{name}", default))
 
-    def top(name: str, failed_value: Column, default: Column) -> Column:
+    def top_field(name: str, failed_value: Column, default: Column) -> Column:
         return F.when(fallback, failed_value).otherwise(F.coalesce(f"top_{name}", default))
 
     other = F.array(F.lit(OTHER_RISK))
@@ -80,16 +79,16 @@ def results_page(
         {
             "log_id": F.coalesce("log_id", F.lit(0).cast("long")),
             "key_name": first_nonempty(F.col("_name"), F.concat(F.lit("Token #"), F.col("token_id").cast("string"))),
-            "delta_decision": own("decision", F.lit(REVIEW), F.lit(PASS)),
-            "delta_risk_score": own("risk_score", F.lit(FAILED_SCORE), F.lit(0)),
-            "delta_categories": own("categories", other, no_names),
-            "delta_reason": own("reason", F.lit(FAILED_REASON), F.lit("")),
-            "delta_confidence": own("confidence", zero, zero),
-            "result_decision": top("decision", F.lit(REVIEW), F.col("effective_decision")),
-            "result_risk_score": top("risk_score", F.lit(FAILED_SCORE), F.col("effective_risk_score")),
-            "result_categories": top("categories", other, no_names),
-            "result_reason": top("reason", F.lit(FAILED_REASON), F.lit("")),
-            "result_confidence": top("confidence", zero, zero),
+            "delta_decision": own_field("decision", F.lit(REVIEW), F.lit(PASS)),
+            "delta_risk_score": own_field("risk_score", F.lit(FAILED_SCORE), F.lit(0)),
+            "delta_categories": own_field("categories", other, no_names),
+            "delta_reason": own_field("reason", F.lit(FAILED_REASON), F.lit("")),
+            "delta_confidence": own_field("confidence", zero, zero),
+            "result_decision": top_field("decision", F.lit(REVIEW), F.col("effective_decision")),
+            "result_risk_score": top_field("risk_score", F.lit(FAILED_SCORE), F.col("effective_risk_score")),
+            "result_categories": top_field("categories", other, no_names),
+            "result_reason": top_field("reason", F.lit(FAILED_REASON), F.lit("")),
+            "result_confidence": top_field("confidence", zero, zero),
         }
     )
     origin = F.concat_ws(

@@ -19,8 +19,10 @@ from meterlens.functions.billing import (
 )
 from meterlens.functions.loose_json import NUMERIC_TEXT
 
-from .filters import ERROR, SUCCESS, limit_or, usage_rows
-from .ranking import page_of
+from meterlens.session import cut_lineage
+
+from .filters import ERROR, ID_BLOCK, SUCCESS, limit_or, usage_rows
+from .ranking import only_for, page_of
 
 
 def billing_settings(options: DataFrame) -> DataFrame:
@@ -408,8 +410,16 @@ def log_view(rows: DataFrame, tokens: DataFrame, options: DataFrame | None = Non
 
 def logs_page(logs: DataFrame, tokens: DataFrame, options: DataFrame | None, f: LogFilter) -> DataFrame:
     """One page of logs, newest id first. Only the rows of the page are joined and billed."""
-    rows = page_of(filter_logs(logs, tokens, f), [F.desc("id")], f.page, limit_or(f.page_size, 500, 100))
-    return log_view(rows, tokens, options).orderBy(F.desc("id"))
+    size = limit_or(f.page_size, 500, 100)
+    rows = cut_lineage(page_of(filter_logs(logs, tokens, f), [F.desc("id")], f.page, size))
+    return page_view(rows, tokens, options).orderBy(F.desc("id"))
+
+
+def page_view(rows: DataFrame, tokens: DataFrame, options: DataFrame | None) -> DataFrame:
+    """`log_view` of the rows of one page, with the page's own keys only."""
+    keys = tokens.withColumnRenamed("id", "token_id")
+    own = only_for(keys, "token_id", rows, "token_id")
+    return log_view(rows, own.withColumnRenamed("token_id", "id"), options)
 
 
 def logs_total(logs: DataFrame, tokens: DataFrame, f: LogFilter) -> DataFrame:
@@ -458,8 +468,11 @@ def logs_after(logs: DataFrame, created_at: int, log_id: int, limit: int = 200)
 
 
 def log_by_id(logs: DataFrame, tokens: DataFrame, options: DataFrame | None, log_id: int) -> DataFrame:
-    """One log row of any type."""
-    return log_view(logs.filter(F.col("id") == log_id), tokens, options).limit(1)
+    """One log row of any type; of a table in blocks of ids only one block is read."""
+    rows = logs.filter(F.col("id") == log_id)
+    if "id_block" in logs.columns:
+        rows = rows.filter(F.col("id_block") == log_id // ID_BLOCK)
+    return log_view(rows, tokens, options).limit(1)
 
 
 def token_options(tokens: DataFrame, query: str = "", limit: int = 500) -> DataFrame:

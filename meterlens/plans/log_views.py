@@ -25,9 +25,11 @@ def logs_with_client(
     # The page is used many times below; written once, the log table is scanned once.
     rows = cut_lineage(page_of(usage.filter_logs(logs, tokens, f), [F.desc("id")], f.page, size))
     clients = matching.best_client(rows, tokens, entries, matches, window).withColumnRenamed("log_id", "id")
+    # One row for each log of the page: broadcast, so that the page is not shuffled and stays in order.
+    clients = F.broadcast(clients)
     shown = {name: F.coalesce(name, F.lit("")) for name in matching.CLIENT_FIELDS}
     return (
-        usage.log_view(rows, tokens, options).join(clients, "id", "left").withColumns(shown).orderBy(F.desc("id"))
+        usage.page_view(rows, tokens, options).join(clients, "id", "left").withColumns(shown).orderBy(F.desc("id"))
     )
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote, unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from meterlens import schemas
+from meterlens.operators.filters import ID_BLOCK
 
 
 def conform(df: DataFrame, schema: str) -> DataFrame:
@@ -35,29 +39,60 @@ def read_options(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.OPTIONS).parquet(path)
 
 
-# URL prefixes that name a database; other text with "@" or "host=" is a PostgreSQL or MySQL DSN.
-JDBC_PREFIXES = {"postgres://": "postgresql", "postgresql://": "postgresql", "mysql://": "mysql", "sqlite://": "sqlite"}
+# URL prefixes that name a database.
+JDBC_PREFIXES = {
+    "postgres://": "postgresql", "postgresql://": "postgresql", "mysql://": "mysql", "sqlite://": "sqlite",
+    "sqlite3://": "sqlite", "file:": "sqlite",
+}
+MYSQL_DSN = re.compile(r"(?:(?P<user>[^:@/]*)(?::(?P<password>.*))?@)?(?:(?:tcp)\((?P<host>[^)]*)\))?/(?P<rest>[^/]*)")
+
 
+def jdbc_address(dsn: str) -> tuple[str, dict[str, str]]:
+    """The JDBC URL of a database address, and its user and password as reader options.
 
-def jdbc_url(dsn: str) -> str:
-    """The JDBC URL of a database address; a JDBC URL is kept as it is."""
+    Known are JDBC URLs, URLs of PostgreSQL, MySQL and SQLite, `key=value` lists of PostgreSQL,
+    `user:password@tcp(host:port)/name` of MySQL, and names of SQLite files (`file:` or ending in .db or .sqlite).
+    """
     text = dsn.strip()
     if text.startswith("jdbc:"):
-        return text
+        return text, {}
     for prefix, driver in JDBC_PREFIXES.items():
         if text.lower().startswith(prefix):
-            rest = text[len(prefix):]
-            return f"jdbc:{driver}:{rest}" if driver == "sqlite" else f"jdbc:{driver}://{rest.split('@')[-1]}"
-    raise ValueError("name the database as jdbc:..., postgres://..., mysql://... or sqlite://...")
+            rest = text[len(prefix) :]
+            if driver == "sqlite":
+                return f"jdbc:sqlite:{rest}", {}
+            login, _, place = rest.rpartition("@")
+            user, _, password = login.partition(":")
+            return f"jdbc:{driver}://{place}", _login(unquote(user), unquote(password))
+    if re.search(r"(^|\s)(host|dbname)\s*=", text):
+        found = {k.lower(): v[1:-1] if v[:1] == "'" else v for k, v in re.findall(r"(\w+)\s*=\s*('[^']*'|\S+)", text)}
+        known = ("host", "port", "dbname", "user", "password")
+        port = f":{found['port']}" if "port" in found else ""
+        more = "&".join(f"{k}={quote(v)}" for k, v in found.items() if k not in known)
+        url = f"jdbc:postgresql://{found.get('host', 'localhost')}{port}/{found.get('dbname', '')}"
+        return url + (f"?{more}" if more else ""), _login(found.get("user", ""), found.get("password", ""))
+    if re.search(r"\.(db|sqlite3?)$", text.lower()):
+        return f"jdbc:sqlite:{text}", {}
+    dsn_parts = MYSQL_DSN.fullmatch(text)
+    if dsn_parts and ("@" in text or dsn_parts["host"]):
+        login = _login(dsn_parts["user"] or "", dsn_parts["password"] or "")
+        return f"jdbc:mysql://{dsn_parts['host'] or 'localhost'}/{dsn_parts['rest']}", login
+    raise ValueError("name the database as jdbc:..., postgres://..., mysql://..., sqlite://..., a DSN or a SQLite file")
+
+
+def _login(user: str, password: str) -> dict[str, str]:
+    return {k: v for k, v in (("user", user), ("password", password)) if v}
 
 
 def read_usage_logs_jdbc(
     spark: SparkSession, dsn: str, first_id: int, last_id: int, partitions: int, **options: str
 ) -> DataFrame:
     """Usage logs from the gateway database, read in parallel id ranges; filters are pushed into its SQL."""
+    url, login = jdbc_address(dsn)
     reader = (
         spark.read.format("jdbc")
-        .option("url", jdbc_url(dsn))
+        .option("url", url)
+        .options(**login)
         .option("dbtable", "logs")
         .option("partitionColumn", "id")
         .option("lowerBound", first_id)
@@ -69,13 +104,16 @@ def read_usage_logs_jdbc(
 
 
 def write_usage_logs(logs: DataFrame, path: str) -> None:
-    """Append logs partitioned by day, so that time ranges prune folders."""
+    """Append logs in folders by day and block of ids: time ranges read only their days, a lookup only one block.
+
+    A folder holds at most `ID_BLOCK` rows, so files keep their size however many rows a day has.
+    """
     day = F.date_from_unix_date((F.floor(F.col("created_at") / 86400)).cast("int"))
     (
-        logs.withColumn("event_date", day)
-        .repartition("event_date", F.pmod(F.xxhash64("id"), F.lit(64)))
-        .sortWithinPartitions("token_id", "created_at")
+        logs.withColumns({"event_date": day, "id_block": F.floor(F.col("id") / ID_BLOCK).cast("long")})
+        .repartition("event_date", "id_block")
+        .sortWithinPartitions("event_date", "id_block", "token_id", "created_at")
         .write.mode("append")
-        .partitionBy("event_date")
+        .partitionBy("event_date", "id_block")
         .parquet(path)
     )

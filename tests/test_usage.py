@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 from meterlens import schemas
 from meterlens.functions.billing import with_billing_meta
 from meterlens.operators import usage as u
-from meterlens.operators.filters import clean_ids, clean_models
+from meterlens.operators.filters import clean_ids, clean_models, usage_rows
 from meterlens.operators.ingest import resolve_keys
 from meterlens.operators.usage import LogFilter
-from meterlens.sources.usage import jdbc_url
+from meterlens.sources.usage import jdbc_address
 
 KEYS = [(1, 10, "prod-key", "abcdef1234567890"), (2, 20, "test-key", "xyz9876543210000")]
 BUSY = (3, 30, "busy-key", "sortbyrequests0000")
@@ -110,14 +110,18 @@ def test_log_page_and_search(tables):
     assert u.logs_page(logs, keys, None, LogFilter(query="\\")).count() == 0
 
 
-def test_deep_page_equals_shallow_page(tables, monkeypatch):
-    from meterlens.operators import ranking
-
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_pages_are_in_order(spark, tables, threshold):
     logs, keys = tables(LOGS + MORE, KEYS)
-    shallow = [r.id for r in u.logs_page(logs, keys, None, LogFilter(page=2, page_size=2)).collect()]
-    monkeypatch.setattr(ranking, "DEEP_PAGE_ROWS", 0)
-    deep = [r.id for r in u.logs_page(logs, keys, None, LogFilter(page=2, page_size=2)).collect()]
-    assert shallow == deep == [4, 3]
+    ids = sorted((r.id for r in logs.filter("type in (2, 5)").collect()), reverse=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        for size in (1, 2):
+            for page in (1, 2, 3):
+                shown = [r.id for r in u.logs_page(logs, keys, None, LogFilter(page=page, page_size=size)).collect()]
+                assert shown == ids[(page - 1) * size : page * size]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_self_view_hides_identity(tables):
@@ -215,7 +219,50 @@ def test_argument_cleanup():
         clean_ids(range(1, 600))
 
 
-def test_jdbc_urls():
-    assert jdbc_url("postgres://user:pw@host:5432/db") == "jdbc:postgresql://host:5432/db"
-    assert jdbc_url("sqlite:///data/one.db") == "jdbc:sqlite:/data/one.db"
-    assert jdbc_url("jdbc:mysql://h/db") == "jdbc:mysql://h/db"
+def test_database_addresses():
+    login = {"user": "us er", "password": "p@w"}
+    for dsn, expected in {
+        "postgres://us%20er:p%40w@host:5432/db": ("jdbc:postgresql://host:5432/db", login),
+        "mysql://h/db": ("jdbc:mysql://h/db", {}),
+        "sqlite:///data/one.db": ("jdbc:sqlite:/data/one.db", {}),
+        "sqlite3:///data/one.db": ("jdbc:sqlite:/data/one.db", {}),
+        "file:one.db": ("jdbc:sqlite:one.db", {}),
+        "/data/two.db": ("jdbc:sqlite:/data/two.db", {}),
+        "jdbc:mysql://h/db": ("jdbc:mysql://h/db", {}),
+        "host=h port=5433 dbname=d user='us er' password=p@w sslmode=require": ("jdbc:postgresql://h:5433/d?sslmode=require", login),
+        "us er:p@w@tcp(h:3306)/db?charset=utf8": ("jdbc:mysql://h:3306/db?charset=utf8", login),
+    }.items():
+        assert jdbc_address(dsn) == expected
+    with pytest.raises(ValueError):
+        jdbc_address("nothing")
+
+
+def test_limits_are_refused_not_cut():
+    from meterlens.operators.filters import limit_or
+    from meterlens.operators.matching import MAX_HITS, hit_limit
+
+    assert (limit_or(0, 500, 100), limit_or(500, 500, 100), hit_limit(-1), hit_limit(MAX_HITS)) == (100, 500, 10, MAX_HITS)
+    for call in (lambda: limit_or(501, 500, 100), lambda: hit_limit(MAX_HITS + 1)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_days_and_blocks_are_pruned(spark, tmp_path):
+    from meterlens.operators.filters import ID_BLOCK
+    from meterlens.sources.usage import conform, read_usage_logs, write_usage_logs
+
+    rows = [(i * ID_BLOCK // 4, 1704067200 + i * 43200, 2, 1) for i in range(20)]
+    logs = conform(spark.createDataFrame(rows, "id long, created_at long, type int, token_id long"), schemas.USAGE_LOGS)
+    write_usage_logs(logs, str(tmp_path / "logs"))
+    written = read_usage_logs(spark, str(tmp_path / "logs"))
+    keys = spark.createDataFrame(KEYS, schemas.TOKENS)
+    start, end = 1704067200 + 2 * 86400, 1704067200 + 3 * 86400 - 1
+    assert u.usage_summary(written, start=start, end=end).first()[0] == 2
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "event_date" in plan(u.usage_summary(written, start=start, end=end)).split("PartitionFilters: [")[1].split("]")[0]
+    page = usage_rows(written, start, end)
+    assert "event_date" in plan(page).split("PartitionFilters: [")[1].split("]")[0]
+    one = written.filter((written.id == 5 * ID_BLOCK // 4) & (written.id_block == 1))
+    assert u.log_by_id(written, keys, None, 5 * ID_BLOCK // 4).count() == 1 and len(one.inputFiles()) > 0
+    lookup = plan(u.log_by_id(written, keys, None, 5 * ID_BLOCK // 4))
+    assert any("id_block" in part.split("]")[0] for part in lookup.split("PartitionFilters: [")[1:])
