@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from meterlens import bindings as b, schemas
-from meterlens.operators import ingest, review_score as rs
-from meterlens.session import ensure_checkpoint_dir
+from meterlens.operators import ingest, review_plan as rp
+from meterlens.session import cut_lineage, ensure_checkpoint_dir
 from meterlens.sources.audit_lines import read_audit_lines, stream_audit_lines
+from meterlens.sources.usage import conform
 from meterlens.streaming.ingest import scan_until_read, start_ingest
-from meterlens.streaming.match import start_matching
-from meterlens.streaming.review import start_review
-from meterlens.streaming.store import read_table
+from meterlens.streaming.match import current_matches, start_matching
+from meterlens.streaming.review import reviewed, start_review
+from meterlens.streaming.store import read_table, write_batch, write_days
 
 from .audit import WINDOW
-from .review import CONFIG, SCOPE, scorer
+from .review import CONFIG, SCOPE, scorer, stored_results
 
 # Lines per scan; the scans are repeated until all lines are read.
 LINES_PER_SCAN = 50_000
@@ -96,7 +96,7 @@ def _stream_match(spark: SparkSession, sf: str) -> DataFrame:
     filled = b.audit_entries(spark, sf).withColumns(
         {"body": F.lit(""), "messages": F.expr(f"cast(array() as {schemas.MESSAGES})")}
     )
-    filled.write.parquet(f"{entries}/batch_id=0")
+    write_days(filled, entries, 0)
     start_matching(
         spark,
         entries,
@@ -107,31 +107,24 @@ def _stream_match(spark: SparkSession, sf: str) -> DataFrame:
         window=WINDOW,
         once=True,
     ).awaitTermination()
-    return read_table(spark, matches, schemas.MATCHES).drop("matched_at")
-
-
-def _review_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """The review requests as chat lines, each sent with its key."""
-    keys = b.tokens(spark, sf).select(F.col("id").alias("token_id"), "key")
-    line = F.to_json(
-        F.struct(
-            F.col("created_at").alias("time"),
-            F.struct(F.concat(F.lit("Bearer sk-"), F.col("key")).alias("authorization")).alias("headers"),
-            F.struct("model", "messages").alias("body"),
-        )
-    )
-    return b.review_requests(spark, sf).join(keys, "token_id").select(F.lit("review.jsonl").alias("path"), line.alias("value"))
+    return current_matches(spark, matches).drop("matched_at")
 
 
 def _stream_review(spark: SparkSession, sf: str) -> DataFrame:
-    entries = _ingested(spark, sf, _review_lines(spark, sf))
-    final = _folder(spark, "final")
-    start_review(
-        spark, entries, replace(SCOPE, token_ids=[1, 2, 3, 4, 5]), scorer, CONFIG, _folder(spark, "results"), final,
-        _folder(spark, "checkpoint"), once=True,
-    ).awaitTermination()
-    rows = spark.read.parquet(final)
-    return rs.counters(rows).select("total_entries", "processed_entries", "error_entries")
+    """The review requests arrive in four batches that cut all conversations; the rows are those of one run."""
+    entries, results, final = (_folder(spark, name) for name in ("entries", "results", "final"))
+    fields = T.StructType.fromDDL(schemas.AUDIT_ENTRIES).fields
+    requests = conform(b.review_requests(spark, sf), schemas.AUDIT_ENTRIES).select(*[f.name for f in fields])
+    requests = cut_lineage(requests.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(4))))
+    checkpoint = _folder(spark, "checkpoint")
+    # The results of an earlier run under the same settings are there already.
+    write_batch(stored_results(rp.review_plan(b.review_requests(spark, sf), SCOPE)), results, -1)
+    for batch in range(4):
+        write_days(requests.filter(F.col("batch") == batch).drop("batch"), entries, batch)
+        start_review(spark, entries, SCOPE, scorer, CONFIG, results, final, checkpoint, once=True).awaitTermination()
+    return reviewed(spark, final).select(
+        "audit_entry_id", "parent_entry_id", "delta_decision", "effective_decision", "effective_risk_score", "inherited", "status"
+    )
 
 
 QUERIES = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,7 +13,7 @@ from meterlens.session import cut_lineage
 from .filters import check_range, clean_ids, clean_models, limit_or
 from .ranking import running_total, top_per_group
 
-# How many non-empty requests of a key can be parents, and how many older ones are looked at.
+# The defaults of a scope's history.
 BRANCH_HISTORY = 100
 ANCHOR_ENTRIES = 50
 USER_ROLES, TOOL_ROLES = ["user", "human", "input"], ["tool", "function"]
@@ -34,6 +34,9 @@ class ReviewScope:
     role_mode: str = "user"
     max_entry_id: int | None = None
     job_id: int = field(default=1)
+    # How many non-empty requests of a key can be parents, and how many older ones are looked at.
+    branch_history: int = BRANCH_HISTORY
+    anchor_entries: int = ANCHOR_ENTRIES
 
     def checked(self) -> "ReviewScope":
         ids, models = clean_ids(self.token_ids), clean_models(self.models)
@@ -43,7 +46,7 @@ class ReviewScope:
             raise ValueError("at least one request model is required")
         check_range(self.start, self.end)
         mode = self.role_mode if self.role_mode in ROLE_MODES else "user"
-        return ReviewScope(ids, models, self.start, self.end, mode, self.max_entry_id, self.job_id)
+        return replace(self, token_ids=ids, models=models, role_mode=mode)
 
 
 def _eligible(entries: DataFrame, scope: ReviewScope) -> DataFrame:
@@ -78,7 +81,7 @@ def anchors(entries: DataFrame, scope: ReviewScope) -> DataFrame:
     scope = scope.checked()
     earlier = _eligible(entries, scope).filter(F.col("created_at") < scope.start)
     newest = [F.desc("created_at"), F.desc("id")]
-    return top_per_group(earlier, ["token_id"], newest, ANCHOR_ENTRIES, "anchor_rank")
+    return top_per_group(earlier, ["token_id"], newest, scope.anchor_entries, "anchor_rank")
 
 
 def role_name(role: Column) -> Column:
@@ -115,18 +118,41 @@ def prefix_digests(messages: Column) -> Column:
     )
 
 
-def parents(entries: DataFrame, scope: ReviewScope) -> DataFrame:
+def reviewed_since(entries: DataFrame, scope: ReviewScope, since: DataFrame | None) -> DataFrame:
+    """The requests in scope; with `since`, which has one row per key, only those of its keys from `first` on."""
+    rows = in_scope(entries, scope)
+    if since is None:
+        return rows
+    return rows.join(since, "token_id").filter(F.struct("created_at", "id") >= F.col("first")).drop("first")
+
+
+def _history(entries: DataFrame, scope: ReviewScope, since: DataFrame | None) -> DataFrame:
+    """Requests that can be parents of reviewed ones without being reviewed themselves."""
+    older = anchors(entries, scope)
+    if since is None:
+        return older
+    before = in_scope(entries, scope).filter(F.size("messages") > 0).join(since, "token_id")
+    before = before.filter(F.struct("created_at", "id") < F.col("first")).drop("first")
+    newest = [F.desc("created_at"), F.desc("id")]
+    last = top_per_group(before, ["token_id"], newest, scope.branch_history, "anchor_rank")
+    return older.join(since.select("token_id"), "token_id", "left_semi").unionByName(last)
+
+
+def parents(entries: DataFrame, scope: ReviewScope, since: DataFrame | None = None) -> DataFrame:
     """(audit_entry_id, parent_entry_id, parent_length) of every request in scope that continues an earlier one.
 
     The parent is the longest of the key's last 100 non-empty requests that is a prefix of this one, the earliest
-    among equals. Every request is spread into its prefixes; requests sharing a prefix meet in one group, and a
+    among equals. With `since` (token_id, first) only requests of these keys from (created_at, id) on are asked about;
+    the ones before are history. Every request is spread into its prefixes; requests sharing a prefix meet in one group, and a
     window over their sequence numbers finds the earliest full request among the last 100. A group, for instance a
     system prompt that a third of all requests begin with, is cut into slices of the key's history, so no task sees
     more than a slice, and no pairs are formed.
     """
     checked = scope.checked()
-    older = anchors(entries, checked).select("id", "token_id", "created_at", "messages", F.lit(False).alias("reviewed"))
-    asked = in_scope(entries, checked).select(
+    older = _history(entries, checked, since).select(
+        "id", "token_id", "created_at", "messages", F.lit(False).alias("reviewed")
+    )
+    asked = reviewed_since(entries, checked, since).select(
         "id", "token_id", "created_at", "messages", F.lit(True).alias("reviewed")
     )
     # Hashing all text is the costly part: the digests are written once, and the order is found on ids alone.
@@ -155,7 +181,7 @@ def parents(entries: DataFrame, scope: ReviewScope) -> DataFrame:
     )
     prefix_length = F.when(F.col("reviewed"), F.col("pos") + 1).otherwise(F.col("length"))
     slice_of = F.floor(F.col("seq") / HISTORY_SLICE)
-    last_slice = F.floor((F.col("seq") + BRANCH_HISTORY) / HISTORY_SLICE)
+    last_slice = F.floor((F.col("seq") + checked.branch_history) / HISTORY_SLICE)
     placed = spread.select(
         "id",
         "token_id",
@@ -174,7 +200,7 @@ def parents(entries: DataFrame, scope: ReviewScope) -> DataFrame:
     history = (
         Window.partitionBy("token_id", "length", "digest", "slice")
         .orderBy("seq")
-        .rangeBetween(-BRANCH_HISTORY, -1)
+        .rangeBetween(-checked.branch_history, -1)
     )
     branch = F.when(F.col("whole"), F.struct("seq", "id"))
     matched = placed.withColumn("branch", F.min(branch).over(history)).filter(
@@ -191,14 +217,14 @@ def parents(entries: DataFrame, scope: ReviewScope) -> DataFrame:
     )
 
 
-def review_plan(entries: DataFrame, scope: ReviewScope) -> DataFrame:
-    """One row per request in scope: its parent, and the content that no earlier request had.
+def review_plan(entries: DataFrame, scope: ReviewScope, since: DataFrame | None = None) -> DataFrame:
+    """One row per request in scope (see `parents` for `since`): its parent, and the content no earlier request had.
 
     Without a parent only the last reviewable message counts, not the history before it.
     """
     scope = scope.checked()
-    found = parents(entries, scope)
-    requests = in_scope(entries, scope).select(
+    found = parents(entries, scope, since)
+    requests = reviewed_since(entries, scope, since).select(
         F.col("id").alias("audit_entry_id"), "token_id", "created_at", F.col("model").alias("request_model"), "messages"
     )
     messages = F.col("messages")

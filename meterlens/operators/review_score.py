@@ -22,6 +22,7 @@ from meterlens.session import cut_lineage
 Scorer = Callable[[DataFrame], DataFrame]
 REPLY_COLUMNS = ["content_hash", "reply", "prompt_tokens", "completion_tokens", "error"]
 REPLY_SCHEMA = "content_hash string, reply string, prompt_tokens long, completion_tokens long, error string"
+# Errors of a review.
 CHANGED = "request content changed during review"
 INVALID = "review model did not return a valid decision"
 
@@ -41,6 +42,13 @@ def legacy_config_hash(base_url: str, model: str, policy: str) -> str:
     return hashlib.sha256("\x00".join([base_url, model, policy, LEGACY_VERSION]).encode()).hexdigest()
 
 
+def with_legacy(cache: DataFrame, config: str, legacy: str) -> DataFrame:
+    """The result cache where results under the `legacy` settings hash also count under `config`, if that has none."""
+    own = cache.filter(F.col("config_hash") == config).select("content_hash")
+    older = cache.filter(F.col("config_hash") == legacy).join(own, "content_hash", "left_anti")
+    return cache.unionByName(older.withColumn("config_hash", F.lit(config)))
+
+
 def pandas_scorer(function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Scorer:
     """A scorer that runs user code over batches of rows, such as calls to a review model."""
     return lambda rows: rows.select("content_hash", "content").mapInPandas(function, REPLY_SCHEMA)
@@ -62,13 +70,19 @@ def unscored(plan: DataFrame, cache: DataFrame, config: str) -> DataFrame:
     return content_units(plan).join(known, "content_hash", "left_anti")
 
 
+# Contents that one task sends to the review model.
+UNITS_PER_TASK = 200
+
+
 def score_new(plan: DataFrame, cache: DataFrame, scorer: Scorer, config: str, calls: int = 10) -> DataFrame:
     """Results of the contents the cache does not know; `error` is set where there is no result.
 
-    `calls` bounds how many tasks talk to the review model at a time. The replies are written before they are used,
-    so a lost executor or a second use of the result never asks the model again for what it has answered.
+    Tasks are small, so a lost one asks the model again for few contents. `calls` is how many of them are wanted at
+    least; how many talk to the model at a time is the cluster's number of cores, or a limit in the scorer. The
+    replies are written before they are used, so a second use of the result never asks the model again.
     """
     units = cut_lineage(unscored(plan, cache, config))
+    calls = max(calls, -(-units.count() // UNITS_PER_TASK))
     intact = F.sha2("content", 256) == F.col("content_hash")
     asked = units.filter(intact).select("content_hash", "content").repartition(calls, "content_hash")
     replies = cut_lineage(scorer(asked).select(*REPLY_COLUMNS))
@@ -163,12 +177,13 @@ def outcomes(plan: DataFrame, cache: DataFrame, scored: DataFrame, config: str)
     )
 
 
-def inherit_risk(rows: DataFrame) -> DataFrame:
+def inherit_risk(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Add the effective decision of every request: the worst on its chain of parents, the latest among equals.
 
-    Pointer doubling: each round every request joins the one its pointer names, takes over the worse decision and
-    that one's pointer, so a chain of a million links takes twenty rounds. A round reads the rows written by the one
-    before, and only requests whose chain goes on take part in the join.
+    `before` holds finished requests of earlier runs, where chains may begin; a request of both counts as it is in
+    `rows`. Pointer doubling: each round every request joins the one its pointer names, takes over the worse decision
+    and that one's pointer, so a chain of a million links takes twenty rounds. Requests whose chain has ended are
+    written once; a round writes only those that still climb.
     """
     best = F.struct(
         decision_rank(F.col("delta_decision")).alias("rank"),
@@ -178,25 +193,41 @@ def inherit_risk(rows: DataFrame) -> DataFrame:
         F.col("result_hash").alias("result_hash"),
         F.col("delta_decision").alias("decision"),
     )
-    nodes = cut_lineage(
-        rows.select(
-            F.col("audit_entry_id").alias("node"),
-            F.when(F.col("parent_entry_id") > 0, F.col("parent_entry_id")).alias("up"),
-            best.alias("worst"),
-        )
+    nodes = rows.select(
+        F.col("audit_entry_id").alias("node"),
+        F.when(F.col("parent_entry_id") > 0, F.col("parent_entry_id")).alias("up"),
+        best.alias("worst"),
     )
-    while not nodes.filter(F.col("up").isNotNull()).isEmpty():
-        above = nodes.select(F.col("node").alias("up"), F.col("up").alias("next_up"), F.col("worst").alias("above"))
-        climbing = (
-            nodes.filter(F.col("up").isNotNull())
-            .join(above, "up", "left")
-            .select(
+    if before is not None:
+        known = before.join(rows.select("audit_entry_id"), "audit_entry_id", "left_anti")
+        # Of an earlier request only its standing counts: it is older than all that follow it, so ties go to these.
+        standing = F.struct(
+            decision_rank(F.col("effective_decision")).alias("rank"),
+            F.col("effective_risk_score").alias("score"),
+            F.col("created_at").alias("created_at"),
+            F.col("audit_entry_id").alias("entry"),
+            F.col("effective_result_hash").alias("result_hash"),
+            F.col("effective_decision").alias("decision"),
+        )
+        ended = known.select(F.col("audit_entry_id").alias("node"), F.lit(None).cast("long").alias("up"), standing.alias("worst"))
+        nodes = nodes.unionByName(ended)
+    nodes = cut_lineage(nodes)
+    done = nodes.filter(F.col("up").isNull())
+    climbing = nodes.filter(F.col("up").isNotNull())
+    while not climbing.isEmpty():
+        above = done.unionByName(climbing).select(
+            F.col("node").alias("up"), F.col("up").alias("next_up"), F.col("worst").alias("above")
+        )
+        moved = cut_lineage(
+            climbing.join(above, "up", "left").select(
                 "node",
                 F.col("next_up").alias("up"),
                 F.greatest(F.col("worst"), F.coalesce("above", "worst")).alias("worst"),
             )
         )
-        nodes = cut_lineage(nodes.filter(F.col("up").isNull()).unionByName(climbing))
+        done = done.unionByName(moved.filter(F.col("up").isNull()))
+        climbing = moved.filter(F.col("up").isNotNull())
+    nodes = done
     own = F.struct(
         decision_rank(F.col("delta_decision")).alias("rank"), F.col("delta_risk_score").alias("score")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,11 +29,21 @@ def run_review(
     config: str,
     created_at: Column | None = None,
     calls: int = 10,
+    since: DataFrame | None = None,
+    finished: Callable[[DataFrame], DataFrame] | None = None,
 ) -> ReviewRun:
-    """Review the requests of a scope. The plan is written once, since scoring and the results both read it."""
-    plan = cut_lineage(review_plan(entries, scope))
+    """Review the requests of a scope. The plan is written once, since scoring and the results both read it.
+
+    With `since` (see `parents`) only the later requests of some keys are reviewed; `finished` then gives, for rows
+    with `audit_entry_id`, those requests as they were decided before, where the chains of parents go on.
+    """
+    plan = cut_lineage(review_plan(entries, scope, since))
     scored = cut_lineage(rs.score_new(plan, cache, scorer, config, calls))
-    final = rs.inherit_risk(rs.outcomes(plan, cache, scored, config))
+    before = None
+    if finished is not None:
+        asked = plan.filter("parent_entry_id > 0").select(F.col("parent_entry_id").alias("audit_entry_id")).distinct()
+        before = finished(asked.join(plan.select("audit_entry_id"), "audit_entry_id", "left_anti"))
+    final = rs.inherit_risk(rs.outcomes(plan, cache, scored, config), before)
     stamp = F.unix_timestamp() if created_at is None else created_at
     return ReviewRun(plan, final, rs.new_results(scored, cache, stamp))
 

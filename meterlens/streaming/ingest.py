@@ -12,36 +12,33 @@ from meterlens.operators import ingest
 from meterlens.session import cut_lineage
 from meterlens.sources.audit_lines import MAX_LINES_PER_TRIGGER, file_progress, stream_audit_lines
 
-from .store import read_table, write_batch
+from .store import days_in, read_table, write_batch, write_days
 
 SCAN_SECONDS = 10
 
 
-def _known_lines(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored rows that the batch could repeat: same source, line not before the batch's first."""
-    firsts = batch.groupBy("source_id").agg(F.min("source_line").alias("_first"))
-    return stored.select("source_id", "source_line").join(firsts, "source_id").filter(
-        F.col("source_line") >= F.col("_first")
-    )
+# Ids that a batch may give out: far more than lines come in one.
+IDS_PER_BATCH = 1 << 40
 
 
 def ingest_batch(
     lines: DataFrame, batch_id: int, tokens: DataFrame, entries_path: str, stats_path: str = "", zone: str = "UTC"
 ) -> None:
-    """Append the entries of one batch of lines, each line once, with ids that go on after the stored ones.
+    """Append the entries of one batch of lines, each line once. Ids go up with the batches, with gaps between them.
 
     The lines are read and parsed once and written to the checkpoint folder; keys that are unknown now stay
-    unresolved. The batch has its own folder, so an attempt that failed half-way is replaced.
+    unresolved. A line that comes again has the same time, so only the days of this batch are looked through for it.
+    The batch has its own folders, so an attempt that failed half-way is replaced.
     """
     spark = lines.sparkSession
-    stored = read_table(spark, entries_path, schemas.AUDIT_ENTRIES, except_batch=batch_id)
     parsed = cut_lineage(ingest.parse_lines(lines.drop("split", "split_line"), zone))
     if stats_path:
         write_batch(ingest.line_statistics(parsed, "path"), stats_path, batch_id)
     entries = cut_lineage(ingest.entries_of(parsed, tokens, F.unix_timestamp()))
-    fresh = ingest.new_entries(entries, _known_lines(stored, entries))
-    last = stored.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).first()[0]
-    write_batch(ingest.assign_ids(fresh, after=last), entries_path, batch_id)
+    days = days_in(entries, F.col("created_at"))
+    stored = read_table(spark, entries_path, schemas.AUDIT_ENTRIES, except_batch=batch_id, days=days)
+    fresh = ingest.new_entries(entries, stored)
+    write_days(ingest.assign_ids(fresh, after=batch_id * IDS_PER_BATCH), entries_path, batch_id)
 
 
 def start_ingest(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,6 +16,29 @@ from meterlens.session import cut_lineage
 
 from .store import read_table, write_batch
 
+# What `reviewed` gives before the first batch: the columns that chains of parents need.
+FINAL = (
+    "audit_entry_id long, created_at long, effective_decision string, effective_risk_score int, "
+    "effective_result_hash string"
+)
+
+
+def reviewed(spark: SparkSession, final_path: str, wanted: DataFrame | None = None, except_batch: int | None = None) -> DataFrame:
+    """Every reviewed request once, as the last batch that reviewed it left it; only those of `wanted` if given."""
+    try:
+        rows = spark.read.parquet(final_path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], FINAL)
+    if except_batch is not None:
+        rows = rows.filter(F.col("batch_id") != except_batch)
+    if wanted is not None:
+        rows = rows.join(wanted.select("audit_entry_id"), "audit_entry_id", "left_semi")
+    columns = [c for c in rows.columns if c not in ("audit_entry_id", "batch_id")]
+    last = rows.groupBy("audit_entry_id").agg(F.max_by(F.struct(*columns), "batch_id").alias("_last"))
+    return last.select("audit_entry_id", *[F.col(f"_last.{c}").alias(c) for c in columns])
+
 
 def review_batch(
     new: DataFrame,
@@ -26,18 +50,31 @@ def review_batch(
     results_path: str,
     final_path: str,
 ) -> None:
-    """One review run over the time that the new entries span, with the newest older entries as anchors.
+    """Review the new entries, and again what follows them in the history of their keys.
 
-    Contents that an earlier batch scored come from the result cache, so entries inside the span are not paid twice.
+    An entry that was reviewed before is new to nobody. One that comes late can be the parent of requests that were
+    reviewed without it, so the requests of its key from its time on are planned anew and replace their rows; requests
+    before it stand, and chains of parents go on from their stored decisions. So the rows are those of one run over all
+    entries, however these are cut into batches. Contents that were scored come from the result cache.
     """
     spark = new.sparkSession
-    bounds = in_scope(new, scope).agg(F.min("created_at"), F.max("created_at"), F.max("id")).first()
-    if bounds[0] is None:
+    fresh = in_scope(new, scope).select("id", "token_id", "created_at")
+    stored = reviewed(spark, final_path, fresh.withColumnRenamed("id", "audit_entry_id"), batch_id)
+    fresh = fresh.join(stored.select(F.col("audit_entry_id").alias("id")), "id", "left_anti")
+    since = cut_lineage(fresh.groupBy("token_id").agg(F.min(F.struct("created_at", "id")).alias("first")))
+    if since.isEmpty():
         return
-    span = replace(scope, start=bounds[0], end=bounds[1], max_entry_id=bounds[2], job_id=batch_id)
     cache = read_table(spark, results_path, schemas.REVIEW_RESULTS, except_batch=batch_id)
     entries = read_table(spark, entries_path, schemas.AUDIT_ENTRIES)
-    run = run_review(entries, span, cache, scorer, config)
+    run = run_review(
+        entries,
+        replace(scope, job_id=batch_id),
+        cache,
+        scorer,
+        config,
+        since=since,
+        finished=lambda wanted: reviewed(spark, final_path, wanted, batch_id),
+    )
     write_batch(cut_lineage(run.results), results_path, batch_id)
     write_batch(run.final, final_path, batch_id)
 
@@ -53,9 +90,11 @@ def start_review(
     checkpoint: str,
     *,
     once: bool = False,
+    files_per_batch: int = 1000,
 ) -> StreamingQuery:
-    """Follow the entry table and review every batch."""
-    entries = spark.readStream.schema(schemas.AUDIT_ENTRIES + ", batch_id long").parquet(entries_path)
+    """Follow the entry table and review every batch of new files; `reviewed` reads the results."""
+    stream = spark.readStream.schema(schemas.AUDIT_ENTRIES + ", event_date date, batch_id long")
+    entries = stream.option("maxFilesPerTrigger", files_per_batch).parquet(entries_path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         review_batch(batch, batch_id, scope, scorer, config, entries_path, results_path, final_path)

@@ -2,8 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from datetime import date, timedelta
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from meterlens.operators.filters import DAY
+
+
+def day_of(seconds: Column) -> Column:
+    """The UTC day of Unix seconds; rows without a time, whose seconds are 0, are of the first day."""
+    return F.date_from_unix_date(F.floor(F.coalesce(seconds, F.lit(0).cast("long")) / DAY).cast("int"))
+
+
+def days_in(df: DataFrame, seconds: Column, around: int = 0) -> list[date]:
+    """The days of the rows of one batch, which has no more days than rows, and `around` days on either side."""
+    found = [row[0] for row in df.select(day_of(seconds).alias("d")).distinct().collect()]
+    return widened(found, around)
+
+
+def widened(days: Iterable[date], around: int) -> list[date]:
+    return sorted({d + timedelta(days=n) for d in days for n in range(-around, around + 1)})
+
+
+def on_days(df: DataFrame, days: list[date], seconds: str = "created_at") -> DataFrame:
+    """Rows of the given days; a table in day folders reads only these."""
+    day = F.col("event_date") if "event_date" in df.columns else day_of(F.col(seconds))
+    return df.filter(day.isin(days))
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -11,14 +37,28 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def read_table(spark: SparkSession, path: str, schema: str, except_batch: int | None = None) -> DataFrame:
-    """All rows written so far, without those of the batch that is being repeated; empty before the first batch."""
+def write_days(df: DataFrame, path: str, batch_id: int, seconds: str = "created_at") -> None:
+    """Write the rows of one batch into folders by day, then batch. An attempt that is repeated has the same days."""
+    placed = df.withColumns({"event_date": day_of(F.col(seconds)), "batch_id": F.lit(batch_id).cast("long")})
+    writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("event_date", "batch_id").parquet(path)
+
+
+def read_table(
+    spark: SparkSession, path: str, schema: str, except_batch: int | None = None, days: list[date] | None = None
+) -> DataFrame:
+    """All rows written so far, without those of the batch that is being repeated; empty before the first batch.
+
+    Of a table in day folders only the folders of `days` are read, if given.
+    """
     try:
         rows = spark.read.schema(f"{schema}, batch_id long").parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+    if days is not None:
+        rows = on_days(rows, days)
     if except_batch is not None:
         rows = rows.filter(F.col("batch_id") != except_batch)
-    return rows.drop("batch_id")
+    return rows.drop("batch_id", "event_date")

@@ -25,6 +25,6 @@ ORACLE = {
         FROM r GROUP BY ALL""",
     "stream_match": f"""WITH {USAGE}{ENTRIES} SELECT log_id, id AS audit_entry_id, 'token_time' AS matched_by,
         {NOTE} AS matched_note FROM timed WHERE rank = 1""",
-    "stream_review": f"""{RUN} SELECT count(*) AS total_entries, count(*) AS processed_entries,
-        count(*) FILTER (status = 'error') AS error_entries FROM final""",
+    "stream_review": f"""{RUN} SELECT audit_entry_id, parent_entry_id, delta_decision, effective_decision,
+        effective_risk_score, inherited, status FROM final""",
 }

@@ -1,10 +1,23 @@
 import json
 import os
+import random
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
 
 from meterlens import schemas
+from meterlens.operators.review_plan import ReviewScope
+from meterlens.operators.review_score import config_hash
+from meterlens.plans.review_run import run_review
 from meterlens.sources.audit_lines import AuditLinesStreamReader, expand_paths, file_progress, read_audit_lines, read_range
 from meterlens.streaming.ingest import ingest_batch, scan_until_read, start_ingest
-from meterlens.streaming.store import read_table
+from meterlens.sources.usage import conform, write_usage_logs
+from meterlens.streaming.match import current_matches, match_batch, start_log_matching
+from meterlens.streaming.review import reviewed, start_review
+from meterlens.streaming.store import days_in, read_table, widened, write_days
+
+from test_review import keyword_scorer
 
 KEYS = [(7, 1, "prod", "prod")]
 
@@ -96,7 +109,9 @@ def test_ingest_appends_and_never_repeats(spark, tmp_path):
             spark, str(logs), lambda: spark.createDataFrame(KEYS, schemas.TOKENS), out, str(tmp_path / "checkpoint"),
             stats_path=str(tmp_path / "stats"), cursor_dir=str(tmp_path / "cursor"), once=True,
         ).awaitTermination()
-        return sorted((r.id, r.created_at, r.source_line) for r in read_table(spark, out, schemas.AUDIT_ENTRIES).collect())
+        rows = read_table(spark, out, schemas.AUDIT_ENTRIES).orderBy("id").collect()
+        assert len({r.id for r in rows}) == len(rows)
+        return [(i + 1, r.created_at, r.source_line) for i, r in enumerate(rows)]
 
     assert scan() == [(1, 1000, 1)]
     put(logs / "a.jsonl", "\n")
@@ -122,7 +137,8 @@ def test_scans_go_on_until_all_is_read(spark, tmp_path):
 
     scan_until_read(spark, scan, str(logs), cursor)
     entries = read_table(spark, out, schemas.AUDIT_ENTRIES)
-    assert sorted((r.id, r.created_at) for r in entries.collect()) == [(i + 1, 1000 + i) for i in range(5)]
+    rows = entries.orderBy("id").collect()
+    assert [r.created_at for r in rows] == [1000 + i for i in range(5)] and len({r.id for r in rows}) == 5
 
 
 def test_repeated_batch_replaces_itself(spark, tmp_path):
@@ -136,4 +152,75 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     ingest_batch(both, 1, keys, out)
     ingest_batch(both, 1, keys, out)
     entries = read_table(spark, out, schemas.AUDIT_ENTRIES)
-    assert sorted((r.id, r.source_line, r.token_id) for r in entries.collect()) == [(1, 1, 7), (2, 2, 7), (3, 3, 7)]
+    rows = entries.orderBy("id").collect()
+    assert [(r.source_line, r.token_id) for r in rows] == [(1, 7), (2, 7), (3, 7)] and len({r.id for r in rows}) == 3
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_stored_tables_are_read_by_day(spark, tmp_path):
+    rows = [("a", "s", 0, i, i + 1, 10 * i, 10, line(1000 + i * 86400).strip()) for i in range(5)]
+    out = str(tmp_path / "entries")
+    ingest_batch(spark.createDataFrame(rows, schemas.RAW_LINES), 0, spark.createDataFrame(KEYS, schemas.TOKENS), out)
+    some = read_table(spark, out, schemas.AUDIT_ENTRIES, days=[date(1970, 1, 2), date(1970, 1, 5)])
+    assert sorted(r.created_at for r in some.collect()) == [87400, 346600]
+    assert "PartitionFilters: [event_date" in _plan(some)
+
+
+LOG = "id long, created_at long, use_time long, token_id long, model_name string, request_id string"
+
+
+def _entry_lines(times):
+    return [("a", "s", 0, i, i + 1, 10 * i, 10, line(t).strip()) for i, t in enumerate(times)]
+
+
+def test_wrong_clocks_and_late_logs(spark, tmp_path):
+    day, keys = 1_700_000_000, spark.createDataFrame(KEYS, schemas.TOKENS)
+    entries, matches, logs_path = (str(tmp_path / n) for n in ("entries", "matches", "logs"))
+    ingest_batch(spark.createDataFrame(_entry_lines([day, day + 500, 40_000_000]), schemas.RAW_LINES), 0, keys, entries)
+    new = read_table(spark, entries, schemas.AUDIT_ENTRIES)
+    logs = conform(spark.createDataFrame([(1, day + 3, 0, 7, "m", "")], LOG), schemas.USAGE_LOGS)
+    asked = widened(days_in(new, F.col("created_at")), 2)
+    assert len(asked) == 10 and date(1971, 4, 8) in asked
+    match_batch(new, 0, logs, keys, entries, matches)
+    match_batch(new, 0, logs, keys, entries, matches)
+    assert [r.log_id for r in current_matches(spark, matches).collect()] == [1]
+    # A log of the same time arrives a week later, when nobody looks at these entries any more.
+    late = conform(spark.createDataFrame([(1, day + 3, 0, 7, "m", ""), (2, day + 501, 0, 7, "m", "")], LOG), schemas.USAGE_LOGS)
+    write_usage_logs(late, logs_path)
+    for _ in range(2):
+        start_log_matching(spark, logs_path, lambda: keys, entries, matches, str(tmp_path / "c"), once=True).awaitTermination()
+    found = sorted((r.log_id, r.audit_entry_id) for r in current_matches(spark, matches).collect())
+    assert found == [(1, 1), (2, 2)]
+    assert read_table(spark, matches, schemas.MATCHES).count() == 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_streamed_review_equals_one_run(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    requests, at = [], 1000
+    for talk in range(7):
+        turns = [rng.choice(["hi", "危险请求", "more", "x" * 9]) + str(talk % 2) for _ in range(rng.randint(1, 5))]
+        for n in range(1, len(turns) + 1):
+            at += rng.randint(0, 2)
+            messages = [{"role": "user", "content": t} for t in turns[:n]]
+            requests.append((len(requests) + 1, talk % 2 + 1, at, "m", messages))
+    rng.shuffle(requests)
+    rows = [(i, k, t, m, x) for i, k, t, m, x in requests]
+    all_entries = conform(spark.createDataFrame(rows, f"id long, token_id long, created_at long, model string, messages {schemas.MESSAGES}"), schemas.AUDIT_ENTRIES)
+    scope = ReviewScope([1, 2], ["m"], 1, 10**9, branch_history=4)
+    config = config_hash("u", "m", "p")
+    single = run_review(all_entries, scope, spark.createDataFrame([], schemas.REVIEW_RESULTS), keyword_scorer(), config)
+    fields = ("audit_entry_id", "parent_entry_id", "delta_decision", "effective_decision", "effective_risk_score", "inherited")
+    expected = sorted(tuple(r[f] for f in fields) for r in single.final.collect())
+    entries, results, final = (str(tmp_path / n) for n in ("entries", "results", "final"))
+    cuts = sorted(rng.sample(range(1, len(rows)), 2))
+    for batch, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True)):
+        part = all_entries.filter(F.col("id").isin([r[0] for r in rows[a:b]]))
+        write_days(part, entries, batch)
+        start_review(spark, entries, scope, keyword_scorer(), config, results, final, str(tmp_path / "c"), once=True).awaitTermination()
+    got = sorted(tuple(r[f] for f in fields) for r in reviewed(spark, final).collect())
+    assert got == expected and len({r[0] for r in got}) == len(rows)
+    assert any(r[5] for r in got)
