@@ -24,13 +24,17 @@ MAX_PAGE = 500
 
 # What a hit carries: enough to rank it, to show the client, and to fetch the entry by id.
 HIT_FIELDS = ["entry_id", "entry_created_at", "client_name", "client_version", "client_variant", "user_agent"]
+# Notes of a match.
 LATEST_NOTE = (
     "audit log has no usable timestamp match; newest same-token candidates are shown with model match ranked first"
 )
 
 
 def hit_limit(limit: int) -> int:
-    return limit if 0 < limit <= MAX_HITS else DEFAULT_HITS
+    """Hits per log: the default for zero or less; more than `MAX_HITS` is refused."""
+    if limit > MAX_HITS:
+        raise ValueError(f"at most {MAX_HITS} hits per log")
+    return limit if limit > 0 else DEFAULT_HITS
 
 
 def request_start(created_at: Column, use_time: Column) -> Column:
@@ -145,59 +149,30 @@ def _neighbours(probes: DataFrame, hits: DataFrame, window: int, n: int) -> Data
         .withColumn("chunk", F.floor(F.col("centre") / width))
         .withColumn("t", F.col("centre"))
     )
-    if n == 1:
-        hit = F.struct(*[F.col(c) for c in hit_columns])
-        both = chunked.select(*group, "t", F.lit(0).alias("is_probe"), hit.alias("hit")).unionByName(
-            asked.select(*group, "t", F.lit(1).alias("is_probe"), F.struct(*PROBE).alias("probe")),
-            allowMissingColumns=True,
-        )
-        up_to_here = (Window.unboundedPreceding, Window.currentRow)
-        before = Window.partitionBy(*group).orderBy("t", "is_probe").rowsBetween(*up_to_here)
-        after = Window.partitionBy(*group).orderBy(F.desc("t"), F.desc("is_probe")).rowsBetween(*up_to_here)
-        found = (
-            both.withColumn("earlier", F.last("hit", ignorenulls=True).over(before))
-            .withColumn("later", F.last("hit", ignorenulls=True).over(after))
-            .filter(F.col("is_probe") == 1)
-        )
-        return found.select(
-            "probe.*", "stream", F.explode(F.array_compact(F.array("earlier", "later"))).alias("hit")
-        ).select(*PROBE, "stream", "hit.*")
+    hit = F.struct(*[F.col(c) for c in hit_columns])
     both = chunked.select(
-        *group, "t", F.lit(0).alias("is_probe"), F.col("entry_id").alias("tie"), *hit_columns
+        *group, "t", F.lit(0).alias("is_probe"), F.col("entry_id").alias("tie"), hit.alias("hit")
     ).unionByName(
         asked.select(*group, "t", F.lit(1).alias("is_probe"), F.struct(*PROBE).alias("probe")),
         allowMissingColumns=True,
     )
-    is_hit = F.col("is_probe") == 0
     rows_so_far = (Window.unboundedPreceding, Window.currentRow)
     rising = Window.partitionBy(*group).orderBy("t", "is_probe", "tie").rowsBetween(*rows_so_far)
     falling_ties = Window.partitionBy(*group).orderBy("t", "is_probe", F.desc("tie")).rowsBetween(*rows_so_far)
-    placed = both.withColumn("rising", F.count(F.when(is_hit, 1)).over(rising)).withColumn(
-        "falling", F.count(F.when(is_hit, 1)).over(falling_ties)
-    )
-    # Earlier hits: the last n positions counted with rising ties; later hits: the next n with falling ties.
-    sides = F.array(
-        F.struct(F.lit("earlier").alias("side"), F.col("rising").alias("position")),
-        F.struct(F.lit("later").alias("side"), F.col("falling").alias("position")),
-    )
-    offered = placed.filter(is_hit).select(*group, F.explode(sides).alias("s"), *hit_columns).select(
-        *group, "s.side", "s.position", *hit_columns
-    )
-    steps = F.sequence(F.lit(1), F.lit(n))
-    wanted = F.concat(
-        F.transform(
-            steps, lambda i: F.struct(F.lit("earlier").alias("side"), (F.col("rising") - i + 1).alias("position"))
-        ),
-        F.transform(
-            steps, lambda i: F.struct(F.lit("later").alias("side"), (F.col("rising") + i).alias("position"))
-        ),
+    seen = F.count("hit")
+    placed = both.withColumn("rising", seen.over(rising)).withColumn("falling", seen.over(falling_ties))
+    # A probe has seen k hits: the last n of them are counted k - n + 1 to k with rising ties, the next n are counted
+    # k + 1 to k + n with falling ones.
+    last = Window.partitionBy(*group).orderBy("rising").rangeBetween(-(n - 1), 0)
+    following = Window.partitionBy(*group).orderBy("falling").rangeBetween(1, n)
+    found = (
+        placed.withColumn("earlier", F.collect_list("hit").over(last))
+        .withColumn("later", F.collect_list("hit").over(following))
+        .filter(F.col("is_probe") == 1)
     )
-    wished = (
-        placed.filter(~is_hit)
-        .select(*group, "probe.*", F.explode(wanted).alias("s"))
-        .select(*group, *PROBE, "s.side", "s.position")
+    return found.select("probe.*", "stream", F.explode(F.concat("earlier", "later")).alias("hit")).select(
+        *PROBE, "stream", "hit.*"
     )
-    return wished.join(offered, [*group, "side", "position"]).select(*PROBE, "stream", *hit_columns)
 
 
 def nearest_lists(asked: DataFrame, entries: DataFrame, window: int, n: int) -> DataFrame:
@@ -362,32 +337,36 @@ def match_tiered(
     )
     timed_entries = _around(asked, known, window) if page else known
 
-    def tier(rows: DataFrame, lists: DataFrame, name: str, keys: list[str], usable: Column) -> DataFrame:
-        return _left_join(rows, lists.withColumnRenamed("hits", f"{name}_hits"), keys, usable)
-
+    # Tier by tier: a log goes on only if no tier before has found it.
     has_key, has_request = F.col("token_id") > 0, tx.trim(F.col("request_id")) != ""
-    joined = asked.join(stored_lists(remembered, entries), "log_id", "left")
-    joined = tier(joined, nearest_lists(asked, timed_entries, window, n), "time", PROBE, has_key)
-    joined = tier(joined, request_id_lists(named, n), "request", ["request_id"], has_request)
-    joined = tier(joined, latest_lists(asked, known, n), "latest", SCOPE, has_key)
-    stored, timed, requested = (F.col(f"{t}_hits").isNotNull() for t in ("stored", "time", "request"))
-    labelled = joined.select(
-        "log_id",
-        F.when(stored, F.col("stored_by"))
-        .when(timed, "token_time")
-        .when(requested, "request_id")
-        .otherwise("token_latest")
-        .alias("matched_by"),
-        F.when(stored, F.col("stored_note"))
-        .when(timed, time_note(F.col("centre"), window))
-        .when(requested, "exact request_id match")
-        .otherwise(LATEST_NOTE)
-        .alias("matched_note"),
-        F.coalesce("stored_hits", "time_hits", "request_hits", "latest_hits").alias("hits"),
-    )
+    stored = cut_lineage(asked.join(stored_lists(remembered, entries), "log_id", "left"))
+    found = [
+        stored.filter(F.col("stored_hits").isNotNull()).select(
+            "log_id", F.col("stored_by").alias("matched_by"), F.col("stored_note").alias("matched_note"), F.col("stored_hits").alias("hits")
+        )
+    ]
+    open_logs = stored.filter(F.col("stored_hits").isNull()).select(*asked.columns)
+    tiers = [
+        ("token_time", time_note(F.col("centre"), window), PROBE, has_key, lambda rows: nearest_lists(rows, timed_entries, window, n)),
+        ("request_id", F.lit("exact request_id match"), ["request_id"], has_request, lambda rows: request_id_lists(_named(rows, named), n)),
+        ("token_latest", F.lit(LATEST_NOTE), SCOPE, has_key, lambda rows: latest_lists(rows, known, n)),
+    ]
+    for name, note, keys, usable, lists in tiers:
+        tried = cut_lineage(_left_join(open_logs, lists(open_logs), keys, usable))
+        hit = tried.filter(F.col("hits").isNotNull())
+        found.append(hit.select("log_id", F.lit(name).alias("matched_by"), note.alias("matched_note"), "hits"))
+        open_logs = tried.filter(F.col("hits").isNull()).select(*asked.columns)
+    labelled = found[0]
+    for part in found[1:]:
+        labelled = labelled.unionByName(part)
     return _exploded(labelled, ["log_id", "matched_by", "matched_note"])
 
 
+def _named(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries with a request id that is asked for."""
+    return entries.join(asked.select("request_id").distinct(), "request_id", "left_semi")
+
+
 REMEMBERED_TIERS = ["token_time", "request_id"]
 
 
