@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from meterlens import bindings as b
-from meterlens.functions.decisions import BLOCK, PASS, REVIEW, with_decision
+from meterlens.functions.decisions import BLOCK, PASS, REVIEW, reply_text, with_decision
 from meterlens.operators import review_plan as rp, review_results as rr, review_score as rs
 from meterlens.operators.review_plan import ReviewScope
 from meterlens.plans.review_run import run_review
@@ -149,6 +149,19 @@ def _decisions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _reply_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as the content of a reply: a string, a list of parts, or neither."""
+    text = F.col("text")
+    part = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"))
+    parts = F.to_json(F.array(part(text), part(F.lit("!")), part(F.lit(None).cast("string"))))
+    shape = F.col("doc_id") % 3
+    as_string = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    as_string = F.concat(F.lit('"'), F.replace(F.replace(as_string, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t")), F.lit('"'))
+    content = F.try_parse_json(F.when(shape == 0, as_string).when(shape == 1, parts).otherwise(F.lit("7")))
+    rows = b.table(spark, sf, "documents").withColumn("content", content)
+    return rows.select("doc_id", F.sha2(reply_text(F.col("content")), 256).alias("digest"))
+
+
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
     """A history with one run per customer."""
     runs = b.table(spark, sf, "customer").select(
@@ -181,4 +194,5 @@ QUERIES = {
     "review_pending": lambda spark, sf: rs.pending_count(_half_done(spark, sf)),
     "review_runs": _runs,
     "parse_decision": _decisions,
+    "reply_text": _reply_texts,
 }

@@ -57,22 +57,30 @@ def _json_part(reply: Column) -> Column:
     return F.nullif(F.regexp_extract(inner, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+def _member(document: Column, name: str) -> Column:
+    """A member of a variant object by its name, else by its name in other letters of case."""
+    members = F.try_variant_get(document, "$[0]", "map<string,variant>")
+    alike = F.map_values(F.map_filter(members, lambda key, _: F.lower(key) == name))
+    return F.coalesce(F.try_variant_get(document, lj.path(name), "variant"), F.try_element_at(alike, F.lit(1)))
+
+
 def with_decision(df: DataFrame, reply: str, out: str = "decision") -> DataFrame:
     """Add the decision struct read from a reply, NULL when the reply is not a valid decision.
 
-    A missing field has its zero value; a field of the wrong type makes the whole reply invalid.
+    A missing field has its zero value; a field of the wrong type makes the whole reply invalid. The case of the
+    members' names does not matter.
     """
     staged = lj.with_object(df.withColumn("_json", _json_part(F.col(reply))), "_json", "_reply")
     document = F.col("_reply")
 
     def typed(name: str, kinds: list[str], target: str, default: Column) -> tuple[Column, Column]:
-        value = F.try_variant_get(document, lj.path(name), "variant")
+        value = _member(document, name)
         absent = value.isNull() | F.is_variant_null(value)
         kind = F.schema_of_variant(value)
         fits = F.lit(False)
         for prefix in kinds:
             fits = fits | kind.startswith(prefix)
-        read = F.try_variant_get(document, lj.path(name), target)
+        read = F.try_variant_get(value, "$", target)
         return F.coalesce(absent | (fits & read.isNotNull()), F.lit(True)), F.coalesce(read, default)
 
     no_names = F.expr("cast(array() as array<string>)")
@@ -80,7 +88,7 @@ def with_decision(df: DataFrame, reply: str, out: str = "decision") -> DataFrame
     ok_score, score = typed("risk_score", ["BIGINT"], "long", F.lit(0).cast("long"))
     ok_reason, reason = typed("reason", ["STRING"], "string", F.lit(""))
     ok_confidence, confidence = typed("confidence", ["BIGINT", "DECIMAL", "DOUBLE"], "double", F.lit(0.0))
-    items = F.try_variant_get(document, lj.path("categories"), "array<variant>")
+    items = F.try_variant_get(_member(document, "categories"), "$", "array<variant>")
     ok_items, _ = typed("categories", ["ARRAY"], "array<variant>", F.expr("cast(array() as array<variant>)"))
     all_text = F.forall(
         F.coalesce(items, F.expr("cast(array() as array<variant>)")),

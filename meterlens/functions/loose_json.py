@@ -35,11 +35,6 @@ def is_object(document: Column) -> Column:
     return F.coalesce(F.try_variant_get(document, "$[0]", "map<string,variant>").isNotNull(), F.lit(False))
 
 
-def has_key(document: Column, key: str) -> Column:
-    """Presence by key: a key with a null value is present."""
-    return F.try_variant_get(document, path(key), "variant").isNotNull()
-
-
 def raw_text(document: Column, key: str) -> Column:
     return F.try_variant_get(document, path(key), "string")
 

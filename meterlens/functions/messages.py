@@ -12,7 +12,7 @@ from meterlens import schemas
 from . import loose_json as lj
 from .audit_fields import canonical_variant
 from .stage import pinned
-from .text import trim
+from .text import WHITE_SPACE, trim
 
 # Stands for content that nests deeper than the expressions below go; such bodies take the Arrow path.
 TOO_DEEP = "\x00too deep\x00"
@@ -183,11 +183,11 @@ def _deep_text(value) -> str:
     if value is None:
         return ""
     if isinstance(value, str):
-        return value.strip()
+        return value.strip(WHITE_SPACE)
     if isinstance(value, list):
         return "\n".join(text for text in map(_deep_text, value) if text)
     if isinstance(value, dict):
-        own = [value[f].strip() for f in TEXT_FIELDS if isinstance(value.get(f), str) and value[f].strip()]
+        own = [value[f].strip(WHITE_SPACE) for f in TEXT_FIELDS if isinstance(value.get(f), str) and value[f].strip(WHITE_SPACE)]
         if own:
             return own[0]
         if "image_url" in value:
@@ -206,7 +206,7 @@ def _deep_body(body: str) -> list[dict]:
     def spoken(items, roles, default, fields):
         for item in items if isinstance(items, list) else []:
             if isinstance(item, dict):
-                role = next((item[r].strip() for r in roles if isinstance(item.get(r), str) and item[r].strip()), default)
+                role = next((item[r].strip(WHITE_SPACE) for r in roles if isinstance(item.get(r), str) and item[r].strip(WHITE_SPACE)), default)
                 content = next(filter(None, (_deep_text(item.get(f)) for f in fields)), "")
                 if content:
                     yield {"role": role, "content": content}
@@ -218,8 +218,8 @@ def _deep_body(body: str) -> list[dict]:
     dialects = [
         ([{"role": "system", "content": system}] if system else [])
         + list(spoken(document.get("messages"), ["role"], "message", ["content", "tool_calls"])),
-        [{"role": "user", "content": given.strip()}]
-        if isinstance(given, str) and given.strip()
+        [{"role": "user", "content": given.strip(WHITE_SPACE)}]
+        if isinstance(given, str) and given.strip(WHITE_SPACE)
         else list(spoken(given, ["role", "type"], "input", ["content"])),
         list(spoken(document.get("contents"), ["role"], "user", ["parts"])),
         [{"role": "user", "content": prompt}] if prompt else [],

@@ -519,9 +519,11 @@ def attach_quota(
     by_address = (own_address != "") & (own_address == base_url.strip().lower().rstrip("/"))
     by_name = F.lower(trim(F.col("account_name"))).contains(key) if key else F.lit(False)
     matches = F.col("account_id") == account_id if account_id > 0 else by_name | by_address
-    poll = F.when(matches, F.col("snapshot"))
-    keyed = quotas.drop("fetched_at").withColumnRenamed("snapshot", "_poll")
-    return accounts.withColumn("_poll", poll).join(keyed, "_poll", "left").drop("_poll")
+    keyed = quotas.drop("fetched_at")
+    used = F.coalesce(matches, F.lit(False))
+    # Accounts that use no external quota stay out of the join.
+    found = accounts.filter(used).join(keyed, "snapshot", "left").select(*accounts.columns, *[c for c in keyed.columns if c != "snapshot"])
+    return found.unionByName(accounts.filter(~used), allowMissingColumns=True)
 
 
 def account_totals(accounts: DataFrame) -> DataFrame:

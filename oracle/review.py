@@ -165,4 +165,6 @@ ORACLE = {
           CASE shape WHEN 0 THEN '提示词注入,其他风险' WHEN 1 THEN '' WHEN 2 THEN '' WHEN 5 THEN '' END AS categories,
           CASE shape WHEN 0 THEN '可疑' WHEN 1 THEN '' WHEN 2 THEN '' WHEN 5 THEN repeat('长', 500) END AS reason,
           cast(CASE shape WHEN 0 THEN 0.8 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 5 THEN 0 END AS DOUBLE) AS confidence FROM d""",
+    "reply_text": """SELECT doc_id, sha256(CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN text || '!' ELSE '' END) AS digest
+        FROM documents""",
 }

@@ -197,3 +197,12 @@ def test_a_page_is_checked(spark):
     logs, keys, entries, none = tables(spark, [log(i, 1000, 0) for i in range(501)], [entry(5, 1000)])
     with pytest.raises(ValueError):
         m.match_tiered(logs, keys, entries, none, page=True)
+
+
+def test_deep_contents_are_trimmed_like_plain_ones(spark):
+    from meterlens.functions.messages import with_messages
+
+    text = "\u001c x \u00a0"
+    bodies = [json.dumps({"messages": [{"content": c}]}) for c in (text, [[text]], [[[text]]])]
+    rows = with_messages(spark.createDataFrame([(i, x) for i, x in enumerate(bodies)], "i int, body string")).orderBy("i").collect()
+    assert [r.messages[0].content for r in rows] == ["\u001c x"] * 3

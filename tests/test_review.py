@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterlens import schemas
-from meterlens.functions.decisions import BLOCK, PASS, REVIEW, with_decision
+from meterlens.functions.decisions import BLOCK, PASS, REVIEW, reply_text, with_decision
 from meterlens.operators import ingest, review_plan as rp, review_results as rr, review_score as rs
 from meterlens.operators.review_plan import ReviewScope
 from meterlens.plans.review_run import run_review, write_plan
@@ -113,6 +113,29 @@ def test_replies(spark):
     assert rows[2:3] + rows[4:] == [None] * 4
 
 
+def test_member_names_in_any_case(spark):
+    replies = ['{"Decision":"阻断","RISK_SCORE":90,"Categories":["欺诈"],"reason":"r"}', '{"decision":"通过","Decision":"阻断"}']
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, reply string")
+    rows = [r.decision for r in with_decision(frame, "reply").orderBy("i").collect()]
+    assert (rows[0].decision, rows[0].risk_score, rows[0].categories, rows[0].reason) == (BLOCK, 90, ["欺诈"], "r")
+    assert rows[1].decision == PASS
+
+
+def test_replies_in_parts(spark):
+    texts = ['"plain"', '[{"type":"text","text":"a"},{"text":1},{"x":2},{"text":"b"}]', "7", "null"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = frame.select("i", reply_text(F.parse_json("t")).alias("r")).orderBy("i").collect()
+    assert [r.r for r in rows] == ["plain", "ab", "", ""]
+
+
+def test_results_under_the_older_settings_hash(spark):
+    new, old = rs.config_hash("u", "m", "p"), rs.legacy_config_hash("u", "m", "p")
+    row = lambda content, config, score: (content, config, PASS, score, [], "", 0.5, 1, 1, 1)
+    cache = spark.createDataFrame([row("a", old, 1), row("b", old, 2), row("b", new, 3)], schemas.REVIEW_RESULTS)
+    found = rs.with_legacy(cache, new, old).filter(F.col("config_hash") == new).collect()
+    assert sorted((r.content_hash, r.risk_score) for r in found) == [("a", 1), ("b", 3)]
+
+
 def test_settings_hash():
     joined = "\x00".join(["u", "m", "p", "auto", "schema-v2"])
     assert rs.config_hash("u", "m", "p", "other") == hashlib.sha256(joined.encode()).hexdigest()
