@@ -8,7 +8,8 @@ sets, and confirmed links make groups.
 
 No group is expanded into all its pairs. Documents with equal sets become one class, and only its smallest doc_id goes
 on. In a band bucket every member is compared with the smallest member; the links found make components; only members
-of different components that still share a bucket are then compared with one another, by their bits inside the join.
+of different components that still share a bucket and are similar by their bits are then compared, and of these only the
+pairs that share one of their rarest shingles, which linked sets always do.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from meterlens.llm.common import Words, byte_classes, cut, grams, longs, numbers, prepare, text_buffers
 
@@ -29,6 +30,10 @@ LONGS = -(-ROWS * BANDS * BITS // 64)
 SEPARATORS = (0x20, *range(0x09, 0x0E))
 #: Estimates that lie lower than the limit by this much are not confirmed: five standard deviations of 150 minima.
 SLACK = 0.2
+#: Ids of eight bytes that a broadcast may hold.
+BROADCAST_IDS = 1_000_000
+#: Rarest shingles that are kept beside each of a set's rare shingles.
+HEAD = 16
 
 
 def shingles(words: Words, k: int) -> Iterator[np.ndarray]:
@@ -111,6 +116,14 @@ def estimate(a: str, b: str):
     return (1 - differ / F.lit(float(ROWS * BANDS)) - chance) / (1 - chance)
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the given distinct doc_ids. Up to `BROADCAST_IDS` of them are sent to every task, so that other
+    texts are left where they are read; more are joined by a shuffle."""
+    ids = cut(ids)
+    few = F.broadcast if ids.count() <= BROADCAST_IDS else lambda df: df
+    return docs.select("doc_id", "text").join(few(ids), "doc_id", "left_semi")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The links (a, b) of `pairs` (a, b, doc_a, doc_b) whose full sets have 100 * common >= percent * union.
 
@@ -130,11 +143,67 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
             links = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"])
             yield links.filter(pa.array(linked, pa.bool_()))
 
-    texts = docs.select("doc_id", "text")
+    pairs = cut(pairs)
+    texts = texts_of(docs, pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct())
     both = pairs.join(texts.toDF("doc_a", "text_a"), "doc_a").join(texts.toDF("doc_b", "text_b"), "doc_b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def sharing_rare(nodes: DataFrame, docs: DataFrame, words: int, percent: int, limit: float) -> DataFrame:
+    """The pairs (a, b, doc_a, doc_b) of `nodes` in different components that can be linked, by their rarest shingles.
+
+    Two sets of which one has n shingles share at least percent * n / 100 of them if they are linked. So if both are
+    sorted from rare to common among `nodes`, each has one of the shared ones within the first n + 1 minus that number.
+    A set that is only nearly similar to very many has more shingles of its own than that, and meets nobody here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = byte_classes(SEPARATORS)
+        for batch in batches:
+            sets = list(shingles(Words(*text_buffers(batch.column(1)), kind), words))
+            sets = [s if sum_of(s) == a else s[:0] for s, a in zip(sets, batch.column(0).to_numpy(), strict=True)]
+            sizes = [len(s) for s in sets]
+            columns = [np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(sizes, sizes), longs(np.concatenate([np.zeros(0, np.uint64), *sets]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "size", "shingle"])
+
+    texts = texts_of(docs, nodes.select("doc_id").distinct()).dropDuplicates(["doc_id", "text"])
+    texts = nodes.select("node", "doc_id").join(texts, "doc_id").select("node", "text")
+    spread = cut(texts.mapInArrow(run, "node long, size long, shingle long"))
+    common = spread.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = spread.join(common, "shingle")
+    own = Window.partitionBy("node")
+    needed = F.floor((F.lit(percent) * F.col("size") + 99) / 100)
+    # Shingles that no other node has come first and need not be looked at.
+    first = F.col("size") - needed + 1 - (F.col("size") - F.count("*").over(own))
+    rank = F.row_number().over(own.orderBy("df", "shingle"))
+    place = F.col("size") - F.count("*").over(own) + rank
+    prefix = shared.withColumns({"first": first, "rank": rank, "place": place}).filter("rank <= first")
+    prefix = cut(prefix.select("node", "size", "shingle", "place", "rank"))
+    # A pair is taken up at the first shingle that it shares, as far as the first `HEAD` of each tell which that is.
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "shingle")))
+    heads = prefix.filter(F.col("rank") <= HEAD).groupBy("node").agg(F.transform(ordered, lambda s: s["shingle"]).alias("head"))
+    prefix = prefix.drop("rank").join(heads, "node")
+    prefix = cut(prefix.join(nodes.select("node", "component"), "node"))
+    several = prefix.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    prefix = prefix.join(several.filter("low <> high").select("shingle"), "shingle").join(nodes.drop("component"), "node")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    near = (
+        (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.node") < F.col("y.node"))
+        & (F.col("x.component") != F.col("y.component"))
+        & (F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent)
+        # Nothing before the first shared shingle is shared, so enough must be left from it on in both sets.
+        & (
+            (1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))) * (100 + percent)
+            >= (F.col("x.size") + F.col("y.size")) * percent
+        )
+        & (estimate("x.bits", "y.bits") >= limit)
+        & (F.coalesce(F.get(F.array_intersect("x.head", "y.head"), F.lit(0)), F.col("x.shingle")) == F.col("x.shingle"))
+    )
+    ends = {"a": "x.node", "b": "y.node", "doc_a": "x.doc_id", "doc_b": "y.doc_id"}
+    return x.join(y, near).select(*[F.col(c).alias(name) for name, c in ends.items()]).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of `edges` (a, b): the smallest node reachable, by alternating stars.
 
@@ -182,10 +251,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     filled = base.filter("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = cut(filled.join(classes, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "doc_id", "bands", "bits"))
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("band", "key").agg(F.min("node").alias("center"), F.max("node").alias("last"))
+    # A band's number is part of its key.
+    rows = nodes.select("node", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last"))
     shared = shared.filter("center <> last").drop("last")
-    members = cut(rows.join(shared, ["band", "key"]))
+    members = cut(rows.join(shared, "key"))
     light = nodes.drop("bands")
     limit = percent / 100 - SLACK
 
@@ -198,27 +268,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     tested = with_documents(stars).filter(estimate("bits_a", "bits_b") >= limit).drop("bits_a", "bits_b")
     links = cut(confirm(tested, known, words, percent))
 
-    # Members of one bucket that lie in different components after the stars: these pairs are left to compare.
+    # Members of one bucket that lie in different components after the stars: these are left to compare.
     placed = members.join(components(links), "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = mixed.filter("low <> high").select("band", "key")
-    left = cut(placed.join(mixed, ["band", "key"]).filter("node <> center").drop("center").join(light, "node"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = mixed.filter("low <> high").select("key")
+    left = cut(placed.join(mixed, "key").drop("center").join(light, "node"))
     x, y = left.alias("x"), left.alias("y")
-    open_pairs = (
-        (F.col("x.band") == F.col("y.band"))
-        & (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.node") < F.col("y.node"))
+    partner = (
+        (F.col("x.key") == F.col("y.key"))
         & (F.col("x.component") != F.col("y.component"))
         & (estimate("x.bits", "y.bits") >= limit)
     )
-    again = x.join(y, open_pairs).select(
-        F.col("x.node").alias("a"),
-        F.col("y.node").alias("b"),
-        F.col("x.doc_id").alias("doc_a"),
-        F.col("y.doc_id").alias("doc_b"),
-    )
-    links = links.union(confirm(again.distinct(), known, words, percent))
+    undecided = x.join(y, partner, "left_semi").select("node", "doc_id", "component", "bits").distinct()
+    again = sharing_rare(cut(undecided), known, words, percent, limit)
+    links = links.union(confirm(again, known, words, percent))
     # A doc_id whose rows hold different sets ties them together.
     several = filled.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     ties = filled.join(several, "doc_id").select("a", F.col("node").alias("b"))
