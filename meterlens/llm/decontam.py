@@ -20,6 +20,8 @@ SPAN = 1 + max(m[-1] for m in MASKS)
 MATCHED, COVERAGE = 13, 0.8
 #: Items are sent to every task up to this many bytes of text; beyond it the join is shuffled.
 BROADCAST_BYTES = 8 << 20
+#: Diagonals (five numbers each) are sent to every task up to this many; beyond it the texts are shuffled to them.
+BROADCAST_ROWS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -41,14 +43,14 @@ def seed_rows(rows: DataFrame, *ids: str) -> DataFrame:
 
 
 def best_stretch(equal: Column) -> Column:
-    """(score, matched, start, end) of the best stretch of an array of booleans, the first of equal ones."""
+    """(score, matched, start, end) of the best stretch of an array of booleans; of equal ones the first to end, the longest."""
     zero = F.struct(*[F.lit(0).alias(c) for c in ("score", "matched", "start", "end")])
     begin = F.struct(F.lit(0).alias("at"), zero.alias("run"), zero.alias("best"))
 
     def step(acc: Column, same: Column) -> Column:
         run, best, at = acc["run"], acc["best"], acc["at"]
         gain = F.when(same, 1).otherwise(-3)
-        fresh = run["score"] <= 0
+        fresh = run["score"] < 0
         now = F.struct(
             (F.when(fresh, 0).otherwise(run["score"]) + gain).alias("score"),
             (F.when(fresh, 0).otherwise(run["matched"]) + F.when(same, 1).otherwise(0)).alias("matched"),
@@ -83,7 +85,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     diagonals = cut(hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.count("*").alias("hits")))
 
     # Texts of the documents that were hit are read again: words never travel with the seeds.
-    found = diagonals.join(texts, "doc_id").join(small(items), "item_id")
+    few = F.broadcast if diagonals.count() <= BROADCAST_ROWS else lambda df: df
+    found = texts.join(few(diagonals), "doc_id").join(small(items), "item_id")
     found = found.withColumn("words", words_of(F.col("text"))).drop("text")
     low = F.greatest(F.lit(0), -F.col("shift"))
     high = F.least(F.col("item_words"), F.size("words") - F.col("shift"))
