@@ -63,6 +63,7 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 FLAGS = re.compile(r"(?<![^\s\"'])hidden(?![^\s])")
 WORD = re.compile(r"[a-z]+|[0-9]+")
 DEEP = 64
+HOT_SHARE = 1000
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -205,6 +206,10 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
+#: Weight of a vote for the path without class words: it wins where the class words differ from page to page.
+BARE = 0.6
+
+
 def generalised(path: str) -> list[str]:
     """The paths that a container's path votes for: itself, and itself without class words."""
     bare = "/".join(part.split(".")[0] for part in path.split("/"))
@@ -293,7 +298,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     for general in generalised(path):
                         hosts.append(name)
                         paths.append(general)
-                        scores.append(round(score * 10_000))
+                        scores.append(round(score * (1 if general == path else BARE) * 10_000))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.int64())],
                 ["host", "path", "score"],
@@ -313,4 +318,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     schema = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"
-    return given.join(winner, "host", "left").select("page_id", "url", "html", "path").mapInArrow(texts, schema)
+    # A host with a share of 1/HOT_SHARE of all pages or more is hot; there are HOT_SHARE of these at most, so they are
+    # sent to every task. Their pages meet nobody in the shuffled join, where each has a key of its own.
+    counts = given.groupBy("host").agg(F.count("*").alias("n"))
+    hot = counts.filter(F.col("n") * HOT_SHARE >= F.lit(pages.count())).select("host")
+    hot = winner.join(F.broadcast(hot), "host", "left_semi").select("host", F.col("path").alias("hot_path"))
+    placed = given.join(F.broadcast(hot), "host", "left")
+    key = F.when(F.col("hot_path").isNotNull(), F.concat(F.lit("\x00"), F.xxhash64("page_id", "url", "html").cast("string")))
+    placed = placed.withColumn("key", F.coalesce(key, "host")).drop("host")
+    found = placed.join(winner.select(F.col("host").alias("key"), "path"), "key", "left")
+    found = found.select("page_id", "url", "html", F.coalesce("hot_path", "path").alias("path"))
+    return found.mapInArrow(texts, schema)
