@@ -17,6 +17,8 @@ from .store import days_in, read_table, write_batch, write_days
 SCAN_SECONDS = 10
 
 
+# A single scan has no next batch to leave lines to.
+NO_CAP = 1 << 62
 # Ids that a batch may give out: far more than lines come in one.
 IDS_PER_BATCH = 1 << 40
 
@@ -55,11 +57,11 @@ def start_ingest(
     scan_seconds: int = SCAN_SECONDS,
     once: bool = False,
 ) -> StreamingQuery:
-    """Scan now and then every `scan_seconds`, or with `once` a single time, up to the line cap each.
+    """Scan now and then every `scan_seconds`, at most `max_lines` in a batch; with `once` read all that is there.
 
     `tokens` is asked anew for every batch.
     """
-    lines = stream_audit_lines(spark, paths, cursor_dir, max_lines)
+    lines = stream_audit_lines(spark, paths, cursor_dir, NO_CAP if once else max_lines)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(batch, batch_id, tokens(), entries_path, stats_path, zone)

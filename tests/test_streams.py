@@ -135,6 +135,8 @@ def test_scans_go_on_until_all_is_read(spark, tmp_path):
             spark, str(logs), lambda: keys, out, str(tmp_path / "checkpoint"), max_lines=2, cursor_dir=cursor, once=True
         )
 
+    scan().awaitTermination()
+    assert read_table(spark, out, schemas.AUDIT_ENTRIES).count() == 5
     scan_until_read(spark, scan, str(logs), cursor)
     entries = read_table(spark, out, schemas.AUDIT_ENTRIES)
     rows = entries.orderBy("id").collect()
