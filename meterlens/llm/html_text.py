@@ -13,6 +13,7 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import pyarrow as pa
@@ -28,10 +29,9 @@ BLOCKS = frozenset(
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot "
     "th thead tr ul".split()
 )
-LEFT_OUT = frozenset(
-    "aside button canvas datalist dialog embed footer form head header iframe input label map menu nav noscript object "
-    "option script select style svg template textarea title".split()
-)
+LEFT_OUT = frozenset("canvas datalist embed iframe input noscript option script select style svg template textarea title".split())
+#: Left out as parts, unless they turn out to stand around the article.
+PART_TAGS = frozenset("aside button dialog footer form head header label map menu nav object".split())
 #: Class and id words of parts that are no article text.
 PART_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising aside banner banners breadcrumb breadcrumbs byline comment comments "
@@ -39,6 +39,8 @@ PART_WORDS = frozenset(
     "newsletter notice notices pagination pager popup promo promoted promotion related reply replies respond share sharing "
     "sidebar sidebars signup skip social sponsor sponsored subscribe tags teaser toc toolbar widget widgets".split()
 )
+#: Of these, parts that can be longer than the article beside them.
+LONG_PARTS = frozenset("aside comment comments consent cookie cookies disqus footer gdpr replies reply respond".split())
 PART_ROLES = frozenset("banner navigation complementary contentinfo search form dialog menu menubar alert".split())
 #: Elements that an opening tag closes, up to the nearest of the elements after the slash.
 CLOSES = {
@@ -64,16 +66,52 @@ FLAGS = re.compile(r"(?<![^\s\"'])hidden(?![^\s])")
 WORD = re.compile(r"[a-z]+|[0-9]+")
 DEEP = 64
 HOT_SHARE = 1000
+#: Characters outside links from which on a text is more than a title or a line of a menu.
+LONG = 80
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
 
+class Part:
+    """An element whose name says that it is no article text; the page itself stands as the outermost one.
+
+    `text` counts the characters outside links below it, `own` those in no inner part, `widest` those of the largest block of
+    these, `most` those of the largest article below it; `articles` counts the article and main elements with text, `longs` the
+    stories of `LONG` text, and `told` says whether any story has text.
+    """
+
+    __slots__ = ("above", "story", "long", "inner", "text", "own", "widest", "most", "articles", "longs", "told", "main", "out")
+
+    def __init__(self, above: "Part | None", story: "Story | None", long: bool):
+        self.above, self.story, self.long = above, story, long
+        self.inner: list[Part] = []
+        self.text = self.own = self.widest = self.most = self.articles = self.longs = 0
+        self.told = self.main = self.out = False
+
+
+class Story:
+    """An article or main element, or a container that is named so; `own` leaves out the text of parts below it.
+
+    `articles` and `longs` count it and the stories around it within its part, as in Part.
+    """
+
+    __slots__ = ("tag", "part", "above", "text", "own", "articles", "longs", "under_long")
+
+    def __init__(self, tag: str, part: Part, above: "Story | None"):
+        self.tag, self.part, self.above = tag, part, above
+        self.text = self.own = self.articles = self.longs = 0
+        self.under_long = False
+
+
 class Element:
     """An open element; `number` counts the containers of the page, `box` is the innermost container, itself included."""
 
-    __slots__ = ("tag", "path", "depth", "out", "link", "number", "box", "above")
+    __slots__ = ("tag", "path", "depth", "out", "link", "number", "box", "above", "part", "story")
 
-    def __init__(self, tag: str, path: str, out: bool, link: bool, number: int, above: "Element | None"):
+    def __init__(
+        self, tag: str, path: str, out: bool, link: bool, number: int, above: "Element | None", part: Part, story: Story | None
+    ):
         self.tag, self.path, self.out, self.link, self.number = tag, path, out, link, number
+        self.part, self.story = part, story
         outer = above.box if above else None
         self.above, self.box = outer, self if number else outer
         self.depth = (outer.depth if outer else 0) + bool(number)
@@ -102,25 +140,112 @@ def step(tag: str, given: dict[str, str]) -> str:
 
 
 def left_out(tag: str, given: dict[str, str]) -> bool:
+    """Whether an element is not shown or holds no text, whatever is below it."""
     if tag in LEFT_OUT:
         return True
     if not given or tag in ("html", "body", "article", "main"):
         return False
-    if given.get("role", "").lower() in PART_ROLES or given.get("aria-hidden", "").lower() == "true" or "hidden" in given:
-        return True
-    if re.search(r"display\s*:\s*none", given.get("style", "").lower()):
+    if given.get("aria-hidden", "").lower() == "true" or "hidden" in given:
         return True
+    return re.search(r"display\s*:\s*none", given.get("style", "").lower()) is not None
+
+
+def part_words(tag: str, given: dict[str, str]) -> set[str]:
+    """The words by which an element calls itself a part that is no article text."""
+    words = {tag} & PART_TAGS
+    if not given or tag in ("html", "body", "article", "main"):
+        return words
+    if given.get("role", "").lower() in PART_ROLES:
+        words.add(given["role"].lower())
     named = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{given.get('class', '')} {given.get('id', '')}").lower()
-    return not PART_WORDS.isdisjoint(WORD.findall(named))
+    return words.union(PART_WORDS.intersection(WORD.findall(named)))
+
+
+Piece = tuple[str, Part, Story | None, bool]
+
+
+def judge(lines: list[list[Piece]], parts: list[Part], stories: list[Story]) -> None:
+    """Decide which parts are out; `parts` and `stories` come from the outside in, the page first.
+
+    A part that stands around the article is judged by its inner parts instead. It does so if it holds main; or the largest
+    article among the parts, larger than the text outside of them; or half of the page's text outside links. For the last two
+    no article with text and no longer text that is named so may lie beside it. Comments, consent texts, footers and asides
+    may be longer than the article, so besides them there must be nothing but short lines that no article holds.
+    """
+    for line in lines:
+        sizes: dict[Part, int] = defaultdict(int)
+        for text, part, story, link in line:
+            if link:
+                continue
+            size = len(" ".join(entities.unescape(text).split()))
+            sizes[part] += size
+            if story:
+                story.text += size
+                story.own += size * (story.part is part)
+        for part, size in sizes.items():
+            part.text += size
+            part.own += size
+            part.widest = max(part.widest, size)
+    for story in reversed(stories):
+        if story.tag == "main":
+            story.part.main = story.part.main or story.text > 0
+        if story.tag == "article":
+            story.part.most = max(story.part.most, story.text)
+        if story.above:
+            story.above.text += story.text
+            story.above.own += story.own * (story.above.part is story.part)
+    for story in stories:
+        above = story.above if story.above and story.above.part is story.part else None
+        article = story.tag in ("article", "main") and story.own > 0
+        story.articles = (above.articles if above else 0) + article
+        story.longs = (above.longs if above else 0) + (story.own >= LONG)
+        story.under_long = (above is not None and above.under_long) or (article and story.own >= LONG)
+        story.part.articles += article
+        story.part.told = story.part.told or story.own > 0
+        story.part.longs += story.own >= LONG
+    for part in reversed(parts[1:]):
+        above = part.above
+        above.text += part.text
+        above.main = above.main or part.main
+        above.most = max(above.most, part.most)
+        above.inner.append(part)
+    total = parts[0].text
+    for scope in parts:
+        around = set() if scope.out else surrounding(scope, total)
+        for part in scope.inner:
+            part.out = part not in around
+
+
+def surrounding(scope: Part, total: int) -> set[Part]:
+    """The inner parts of `scope` that stand around the article."""
+    if mains := {p for p in scope.inner if p.main}:
+        return mains
+    most = max((p.most for p in scope.inner), default=0)
+    beside = max((p.text for p in scope.inner if not p.long and p.most < most), default=0)
+    most = most if 2 * most >= beside else 0  # articles in a side column are teasers
+    holders, large = set(), set()
+    for part in scope.inner:
+        over = part.story if part.story and part.story.part is scope else None
+        if scope.longs > (over.longs if over else 0) or scope.articles > (over.articles if over else 0):
+            continue
+        if part.long and (scope.told or scope.widest >= LONG):
+            continue
+        if total and 2 * part.text >= total:
+            large.add(part)
+        if most and part.most == most >= scope.own and not (over and over.under_long):
+            holders.add(part)
+    return large if large and most < LONG else holders or large
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page outside left-out parts, in page order: (text, innermost container, characters in links)."""
-    found: list[Block] = []
-    stack = [Element("#", "", False, False, 0, None)]
+    lines: list[list[Piece]] = []
+    boxes: list[Element | None] = []
+    parts = [Part(None, None, False)]
+    stories: list[Story] = []
+    stack = [Element("#", "", False, False, 0, None, parts[0], None)]
     open_tags: dict[str, int] = defaultdict(int)
-    pieces: list[str] = []
-    linked = 0
+    pieces: list[Piece] = []
     number = 0
     at = 0
 
@@ -134,20 +259,16 @@ def blocks(html: str) -> list[Block]:
         del stack[size:]
 
     def end_block() -> None:
-        nonlocal linked
+        nonlocal pieces
         if pieces:
-            text = " ".join(entities.unescape("".join(pieces)).split())
-            if text:
-                found.append((text, stack[-1].box, linked))
-            pieces.clear()
-        linked = 0
+            lines.append(pieces)
+            boxes.append(stack[-1].box)
+            pieces = []
 
     def put(text: str) -> None:
-        nonlocal linked
-        if not stack[-1].out:
-            pieces.append(text)
-            if stack[-1].link:
-                linked += len(text)
+        top = stack[-1]
+        if not top.out:
+            pieces.append((text, top.part, top.story, top.link))
 
     while at < len(html):
         jump = len(html)
@@ -187,11 +308,19 @@ def blocks(html: str) -> list[Block]:
                 given["hidden"] = ""
             above = stack[-1]
             out = above.out or left_out(tag, given)
+            part, story = above.part, above.story
+            if not out and (words := part_words(tag, given)):
+                part = Part(part, story, not LONG_PARTS.isdisjoint(words))
+                parts.append(part)
             if tag in CONTAINERS:
                 number += 1
-                push(Element(tag, deeper(above.box or above, step(tag, given)), out, above.link, number, above))
+                last = step(tag, given)
+                if not out and (tag in ("article", "main") or named(last)):
+                    story = Story(tag, part, story)
+                    stories.append(story)
+                push(Element(tag, deeper(above.box or above, last), out, above.link, number, above, part, story))
             else:
-                push(Element(tag, above.path, out, above.link or tag == "a", 0, above))
+                push(Element(tag, above.path, out, above.link or tag == "a", 0, above, part, story))
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.IGNORECASE).search(html, at)
                 if close is None:
@@ -203,6 +332,14 @@ def blocks(html: str) -> list[Block]:
                 put(html[at:])
         at = jump
     end_block()
+    if len(parts) > 1:
+        judge(lines, parts, stories)
+    found: list[Block] = []
+    for line, box in zip(lines, boxes, strict=True):
+        line = [piece for piece in line if not piece[1].out]
+        text = " ".join(entities.unescape("".join([piece[0] for piece in line])).split())
+        if text:
+            found.append((text, box, sum(len(t) for t, _, _, link in line if link)))
     return found
 
 
@@ -242,6 +379,7 @@ def container_scores(found: list[Block]) -> dict[str, float]:
     return scores
 
 
+@lru_cache(maxsize=10_000)
 def named(path: str) -> bool:
     """Whether the last element says itself that it holds the article."""
     last = path.rsplit("/", 1)[-1].split(".")

@@ -62,3 +62,26 @@ def test_long_and_broken_pages():
     deep = "<div>" * 500 + "text " * 50
     assert h.main_text(deep, None) == ("text " * 50).strip()
     assert max(len(p) for p in h.container_scores(h.blocks(deep))) < 500
+
+
+def test_wrappers_with_layout_words_keep_the_article():
+    first, second = "first words of the article, and more of them " * 4, "second paragraph of it, as long as the first " * 4
+    story = f"<h1>Title</h1><p>{first}</p><p>{second}</p>"
+    side = "<div class='sidebar'><p>side text of some words</p><article><p>teaser</p></article></div><footer><p>foot</p></footer>"
+    want = f"Title\n{first.strip()}\n{second.strip()}"
+    for wrap in ("div class='content-sidebar-wrap'", "div class='site right-sidebar'", "div id=page class=has-sidebar", "div class=nav-open",
+                 "div class='container widgets-on'", "div class='comments-open'", "form id=aspnetForm method=post", "div role=form"):
+        end = f"</{wrap.split()[0]}>"
+        for inner in (f"<article>{story}</article>", f"<main><p></p>{story}</main>", f"<div>{story}</div>", story, f"<div class=has-menu><article>{story}</article></div>"):
+            assert h.main_text(f"<body><{wrap}>{inner}{side}{end}<nav><a href=x>menu</a></nav></body>", None) == want, (wrap, inner)
+            assert h.main_text(f"<body><{wrap}>{inner}{side}", None) == want, (wrap, inner)
+            assert h.main_text(f"<body><form><{wrap}>{inner}{end}{side}</form>", None) == want, (wrap, inner)
+
+
+def test_parts_longer_than_the_article_stay_out():
+    short, long = "a short article of one paragraph that has somewhat more than eighty characters in it", "much talk of others " * 100
+    for start, end in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class=post>", "</div>")):
+        for part in (f"<div class=comments><article><p>{long}</p></article></div>", f"<div id=cookie-consent><p>{long}</p></div>", f"<footer><p>{long}</p></footer>"):
+            assert h.main_text(f"<body>{start}<p>{short}</p>{part}{end}", None) == short
+            assert h.main_text(f"<body>{start}<p>{short}</p>{end}{part}", None) == short
+        assert h.main_text(f"<body>{start}<p>{short}</p>{end}<aside><article><p>{long}</p></article></aside>", None) == short
