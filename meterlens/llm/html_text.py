@@ -117,7 +117,7 @@ class Element:
         self.depth = (outer.depth if outer else 0) + bool(number)
 
 
-Block = tuple[str, Element | None, int]
+Block = tuple[str, Element | None, int, bool]
 
 
 def deeper(above: Element, part: str) -> str:
@@ -238,9 +238,10 @@ def surrounding(scope: Part, total: int) -> set[Part]:
 
 
 def blocks(html: str) -> list[Block]:
-    """The text blocks of a page outside left-out parts, in page order: (text, innermost container, characters in links)."""
+    """The text blocks of a page outside left-out parts, in page order: (text, innermost container, characters in links,
+    whether it is in h1)."""
     lines: list[list[Piece]] = []
-    boxes: list[Element | None] = []
+    boxes: list[tuple[Element | None, bool]] = []
     parts = [Part(None, None, False)]
     stories: list[Story] = []
     stack = [Element("#", "", False, False, 0, None, parts[0], None)]
@@ -262,7 +263,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal pieces
         if pieces:
             lines.append(pieces)
-            boxes.append(stack[-1].box)
+            boxes.append((stack[-1].box, open_tags["h1"] > 0))
             pieces = []
 
     def put(text: str) -> None:
@@ -335,11 +336,11 @@ def blocks(html: str) -> list[Block]:
     if len(parts) > 1:
         judge(lines, parts, stories)
     found: list[Block] = []
-    for line, box in zip(lines, boxes, strict=True):
+    for line, (box, title) in zip(lines, boxes, strict=True):
         line = [piece for piece in line if not piece[1].out]
         text = " ".join(entities.unescape("".join([piece[0] for piece in line])).split())
         if text:
-            found.append((text, box, sum(len(t) for t, _, _, link in line if link)))
+            found.append((text, box, sum(len(t) for t, _, _, link in line if link), title))
     return found
 
 
@@ -353,29 +354,61 @@ def generalised(path: str) -> list[str]:
     return [path] if bare == path else [path, bare]
 
 
+#: A container beside a named one belongs to the article as well if it has this share of the text outside links.
+BELONGS = 0.1
+
+
 def container_scores(found: list[Block]) -> dict[str, float]:
     """The scores of the container paths of a page that hold half of its text or more, characters in links not counted.
 
-    A container scores its share of the text, a little for every level of depth, so that of containers with the same text
-    the inner one wins, and half a page for calling itself the article.
+    A container scores its share of the text. An article or main element scores half a page more; so does a container that
+    is named so, if it is in no article or main element and all that it would leave to the elements around it is links or
+    small containers that are neither named so nor hold the page's title. So no container wins over one around it that has
+    more of the article; of containers with the same blocks it does not matter which one wins.
     """
     size: dict[int, int] = defaultdict(int)
+    own: dict[int, int] = defaultdict(int)
     boxes: dict[int, Element] = {}
-    for text, box, linked in found:
+    titled: set[int] = set()
+    for text, box, linked, title in found:
         if box:
             size[box.number] += max(0, len(text) - 2 * linked)
+            own[box.number] += max(0, len(text) - 2 * linked)
+            if title:
+                titled.add(box.number)
             while box and box.number not in boxes:
                 boxes[box.number] = box
                 box = box.above
-    for number in sorted(boxes, reverse=True):  # containers are numbered from the outside in
-        if boxes[number].above:
-            size[boxes[number].above.number] += size[number]
-    total = sum(max(0, len(t) - 2 * k) for t, _, k in found)
+    order = sorted(boxes, reverse=True)  # containers are numbered from the outside in
+    for number in order:
+        if above := boxes[number].above:
+            size[above.number] += size[number]
+            if number in titled:
+                titled.add(above.number)
+    total = sum(max(0, len(t) - 2 * k) for t, _, k, _ in found)
+    # What a container has of the article besides each inner one: its own text, and inner containers that belong to it.
+    belongs: dict[int, int] = defaultdict(int)
+    share: dict[int, int] = {}
+    for number in order:
+        box = boxes[number]
+        if size[number] and (size[number] >= BELONGS * total or number in titled or named(box.path)):
+            share[number] = size[number]
+        if box.above:
+            belongs[box.above.number] += share.get(number, 0)
+    whole: dict[int, bool] = {}
     scores: dict[str, float] = {}
-    for number, box in boxes.items():
+    for number in reversed(order):
+        box, above = boxes[number], boxes[number].above
+        # Whether the elements around it have nothing more of the article.
+        whole[number] = not above or (
+            whole[above.number]
+            and above.tag not in ("article", "main")
+            and not own[above.number]
+            and belongs[above.number] == share.get(number, 0)
+        )
         if total and size[number] >= 0.5 * total:
-            score = size[number] / total + 0.02 * min(box.depth, DEEP) + 0.5 * named(box.path)
-            scores[box.path] = max(scores.get(box.path, 0.0), score)
+            bonus = box.tag in ("article", "main") or (whole[number] and named(box.path))
+            scores[box.path] = max(scores.get(box.path, 0.0), size[number] / total + 0.5 * bonus)
     return scores
 
 
@@ -398,7 +431,7 @@ def text_on(found: list[Block], path: str | None) -> list[str] | None:
     if path is None:
         return None
     known: dict[int, bool] = {}
-    for _, box, _ in found:
+    for _, box, _, _ in found:
         chain = []
         while box and box.number not in known:
             chain.append(box)
@@ -406,7 +439,7 @@ def text_on(found: list[Block], path: str | None) -> list[str] | None:
         inside = known[box.number] if box else False
         for b in reversed(chain):
             inside = known[b.number] = inside or path in generalised(b.path)
-    return [text for text, box, _ in found if box and known[box.number]] or None
+    return [text for text, box, _, _ in found if box and known[box.number]] or None
 
 
 def main_text(html: str, path: str | None) -> str:
@@ -414,7 +447,7 @@ def main_text(html: str, path: str | None) -> str:
     chosen = text_on(found, path)
     if chosen is None:
         chosen = text_on(found, best_path(found))
-    return "\n".join(chosen if chosen is not None else [text for text, _, _ in found])
+    return "\n".join(chosen if chosen is not None else [text for text, _, _, _ in found])
 
 
 def extract(pages: DataFrame) -> DataFrame:

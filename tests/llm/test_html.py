@@ -85,3 +85,24 @@ def test_parts_longer_than_the_article_stay_out():
             assert h.main_text(f"<body>{start}<p>{short}</p>{part}{end}", None) == short
             assert h.main_text(f"<body>{start}<p>{short}</p>{end}{part}", None) == short
         assert h.main_text(f"<body>{start}<p>{short}</p>{end}<aside><article><p>{long}</p></article></aside>", None) == short
+
+
+def test_inner_containers_do_not_cut_title_and_lead(spark):
+    body = "long text of the article " * 40
+    title, lead = "Title of it", "The lead paragraph."
+    outside = f"<h1>{title}</h1><p>{lead}</p>"
+    for page in (
+        f"<body><article>{outside}<div class='entry-content'><p>{body}</p></div></article><div class=x><p>more to read</p></div></body>",
+        f"<body><div>{outside}<div class='entry-content'><p>{body}</p></div></div></body>",
+        f"<body><div><div class='entry-head'><h1>{title}</h1></div><div class=lead><p>{lead}</p></div><div class=post-text><p>{body}</p></div></div></body>",
+    ):
+        assert h.main_text(page, None) == f"{title}\n{lead}\n{body.strip()}", page
+    half = f"<body><div class=a><div class=post><p>{body}{body}</p></div><div class=b><p>{body}</p></div></div></body>"
+    assert h.main_text(half, None) == f"{(body + body).strip()}\n{body.strip()}"
+
+    def page(n):
+        return f"<body><article>{outside}<div class='entry-content'><p>{'text ' * n}</p></div></article></body>"
+
+    rows = [(n, "http://h.example/", page(n), "x", 1, "y") for n in (5, 900, 901, 902)]
+    for r in h.extract(spark.createDataFrame(rows, PAGES)).collect():
+        assert r.text == f"{title}\n{lead}\n{('text ' * r.page_id).strip()}"
