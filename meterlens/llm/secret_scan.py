@@ -1,8 +1,8 @@
 """Secrets in texts: fixed patterns, and Shannon entropy in a sliding window over candidate strings.
 
-A candidate is a maximal run of token characters of at least `window` characters. For every character class (hex digits;
-letters and digits; the base64 alphabet) that covers the window, the entropy of the characters in the window is held
-against the class's threshold; counts change by one character in and one out, and so does the sum of n log n that the
+A candidate is a maximal run of token characters of at least `window` characters. The entropy of the characters in the window
+is held against the threshold of the narrowest character class that covers it (hex digits; letters of one case and digits;
+letters and digits; the base64 alphabet), which all but a hundredth of the random strings of the class reach; counts change by one character in and one out, and so does the sum of n log n that the
 entropy needs. Windows above the threshold that overlap are joined to one span of the kind `entropy`. Allow-listed
 strings (paths, plain words, numbers, repeated or counted-up characters, UUIDs, addresses) are suppressed, and spans that
 a fixed pattern covers are not reported again.
@@ -29,15 +29,21 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
-#: Bits for a window of 20 characters: the classes' alphabets allow 4, 4.32 and 4.32.
-THRESHOLDS = (("hex", 3.4), ("alnum", 3.8), ("base64", 3.9))
+#: Bits for a window of 20 characters: 0.01 quantiles of the entropy of random strings, rounded down. The second is for letters
+#: of one case: 3.34 for the alphabet of base32, 3.41 with all ten digits.
+THRESHOLDS = (("hex", 2.9), ("alnum", 3.34), ("base64", 3.64))
+#: The same for letters of both cases and digits.
+MIXED = 3.64
 ALLOWED = (
-    re.compile(r"[A-Za-z_=+/-]*"),  # words, constants, rules and paths without a digit
     re.compile(r"[0-9_=+/-]*"),  # numbers, dates and rules
-    re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"),
+    re.compile(r"(?i)[a-z_=+/-]*[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"),
     re.compile(r"(?:[a-z]+[_/-])*[a-z]+[0-9]{0,4}"),  # names in parts
     re.compile(r"(?:[A-Z]?[a-z]+|[0-9]{1,4})(?:[/_=-](?:[A-Z]?[a-z]+|[0-9]{1,4}))*"),
 )
+#: Words, constants and paths: letters, digits at the ends of parts only, and three letters to a word of a part.
+PARTS = re.compile(r"[A-Za-z]*[0-9]{0,4}(?:[_=+/-]+[A-Za-z]*[0-9]{0,4})*")
+PART_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+WORD_LETTERS = 3
 
 
 def classes_of(character: str) -> tuple[bool, bool, bool]:
@@ -49,6 +55,7 @@ def high_windows(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
     nlog = [0.0] + [n * log2(n) for n in range(1, window + 1)]
     count: dict[str, int] = {}
     held = [0, 0, 0]
+    upper = lower = 0
     total = 0.0
     out: list[tuple[int, int]] = []
     for i, new in enumerate(text):
@@ -57,6 +64,8 @@ def high_windows(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
         count[new] = n + 1
         for j, inside in enumerate(classes_of(new)):
             held[j] += inside
+        upper += new.isupper()
+        lower += new.islower()
         if i >= window:
             old = text[i - window]
             n = count[old]
@@ -64,9 +73,13 @@ def high_windows(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
             count[old] = n - 1
             for j, inside in enumerate(classes_of(old)):
                 held[j] -= inside
+            upper -= old.isupper()
+            lower -= old.islower()
         if i + 1 >= window:
             entropy = log2(window) - total / window
             need = next(bits for have, (_, bits) in zip(held, THRESHOLDS, strict=True) if have == window)
+            if held[1] == window and held[0] < window and upper and lower:
+                need = MIXED
             if entropy >= need:
                 start = i + 1 - window
                 if out and start <= out[-1][1]:
@@ -77,7 +90,12 @@ def high_windows(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
 
 
 def allowed(text: str) -> bool:
-    return any(p.fullmatch(text) for p in ALLOWED)
+    if any(p.fullmatch(text) for p in ALLOWED):
+        return True
+    if not PARTS.fullmatch(text):
+        return False
+    words = PART_WORD.findall(text)
+    return sum(map(len, words)) >= WORD_LETTERS * len(words)
 
 
 def find_secrets(text: str) -> list[Span]:

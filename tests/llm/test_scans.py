@@ -162,6 +162,26 @@ def test_entropy_finds_keys_and_leaves_words():
     assert found(f"token = {key}") == [("assign", f"token = {key}")]
 
 
+def test_random_secrets_are_found():
+    rng = random.Random(11)
+    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    kinds = {"HEX": digits + "ABCDEF", "hex": digits + "abcdef", "base32": lower.upper() + "234567", "lower": digits + lower,
+             "mixed": digits + lower + lower.upper(), "base64": digits + lower + lower.upper() + "+/"}
+    for kind, alphabet in kinds.items():
+        for size in (20, 24, 28, 31, 32, 40):
+            keys = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(1000)]
+            missed = sum(not ss.find_secrets(f"use {key} now") for key in keys)
+            assert missed <= (30 if size == 20 else 10), (kind, size, missed)
+
+
+def test_names_are_no_secrets():
+    for clean in (
+        "getUserByIdFromCacheOrDatabase", "src/main/java/com2/OrderService3/handlers", "id=6f1c2a90-52d1-4c3b-9b7e-aa0f6b1d2c3e",
+        "MAX_NUMBER_OF_OPEN_FILES_2", "InternationalizationProvider2024", "2024-05-17-release-notes-12", "20240517123456789012",
+    ):
+        assert ss.find_secrets(f"see {clean} there") == [], clean
+
+
 def test_scan_cases(spark):
     key = "zQ8vK2mXp4Lr9TdWc7Ys3HnB"
     rows = [(1, None, "x", 1), (2, "", "x", 1), (3, "é token = abcdefgh1 é", "x", 1), (3, "é token = abcdefgh1 é", "x", 1), (None, "a@b.cd", None, None)]
