@@ -6,6 +6,10 @@ subwords' embeddings; a linear softmax on it gives the languages. Embedding and
 gradient descent in numpy on a bounded sample of labelled rows, whose average subword counts are made by Spark tasks. A
 tenth of the sample is kept aside: on it a temperature makes the probabilities honest, and the rejection threshold is put
 below nearly all of the rows that were predicted correctly.
+
+A softmax is sure of texts in scripts and languages that it has never seen, so a second measure is calibrated on the same
+rows: how usual a text's subwords are in the predicted language, as their mean log-odds against subwords that are all equally
+frequent. The rows kept aside, measured in the best of the languages that are not theirs, stand for unknown languages.
 """
 
 from __future__ import annotations
@@ -24,6 +28,14 @@ BUCKETS, WIDTH = 4096, 16
 SAMPLE_ROWS = 4000
 #: Share of correctly predicted held-aside rows that the rejection threshold may lose.
 REJECT_QUANTILE = 0.001
+#: Rows kept aside from which on thresholds are set; fewer tell nothing of rare cases, and then only letterless texts go.
+LEAST_ASIDE = 50
+#: The least usual text lies above this quantile of texts in the wrong language, by this share of the way to the right ones.
+WRONG_QUANTILE, ABOVE_WRONG = 0.95, 0.25
+#: Subwords that say as much as one drawn by itself: those of a word depend on each other.
+SUBWORDS_ALIKE = 5
+#: Numbers of subwords for which the threshold is found from draws of held-aside rows, as short texts are told less surely.
+SIZES, DRAWS = (16, 64, 256, 1024), 8
 UNKNOWN = "und"
 #: Bytes of one text whose subwords are counted at once.
 SLICE_BYTES = 1 << 20
@@ -54,13 +66,34 @@ def subword_counts(text: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """`weights`: the softmax of each bucket's embedding, so that averaging these rows gives the logits."""
+    """`weights`: the softmax of each bucket's embedding, so that averaging these rows gives the logits.
+
+    `threshold` holds for long texts, `short` for ones of fewer subwords than the last of `SIZES` times four; shorter texts than
+    the first of them are not held against it. `usual`: for each language the log-odds of the buckets; `least`: the mean from which on a text is of the language, less
+    `slack` over the root of the number of subwords.
+    """
 
     languages: list[str]
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
+    short: tuple[float, ...] = ()
+    usual: np.ndarray | None = None
+    least: float = -np.inf
+    slack: float = 0.0
+
+    def rejects(self, counts: np.ndarray, language: int, probability: float) -> bool:
+        """Whether a text, by its subword counts, is told with too little confidence or has too unusual subwords."""
+        n = max(1, int(counts.sum()))
+        threshold = self.threshold
+        if self.short and n < 4 * SIZES[-1]:
+            threshold = max((t for size, t in zip(SIZES, self.short, strict=True) if size <= n), default=0.0)
+        if probability < threshold:
+            return True
+        if self.usual is None:
+            return False
+        return bool(counts @ self.usual[language] / n < self.least - self.slack / np.sqrt(n))
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
         logits = (counts @ self.weights / np.maximum(counts.sum(axis=1, keepdims=True), 1) + self.bias) / self.temperature
@@ -113,13 +146,46 @@ def fit(counts: np.ndarray, labels: list[str], epochs: int = 30, seed: int = 7)
     model.temperature = min((2.0**k for k in range(7)), key=loss)
     p = model.probabilities(counts[held])
     right = p.argmax(axis=1) == target[held]
-    if right.any():
-        # Never above an even chance among the languages twice over: a clean short text is still told apart.
-        lowest = float(np.quantile(p.max(axis=1)[right], REJECT_QUANTILE))
-        model.threshold = min(lowest, 1.2 / n)
+    if len(aside) >= LEAST_ASIDE and right.any():
+        model.threshold = float(np.quantile(p.max(axis=1)[right], REJECT_QUANTILE))
+        set_short(model, x, target, aside[right], rng)
+        set_usual(model, x, target, used, aside[right])
     return model
 
 
+def set_short(model: Model, x: np.ndarray, target: np.ndarray, held: np.ndarray, rng: np.random.Generator) -> None:
+    """Set the thresholds of short texts, from subwords drawn from the rows `held`."""
+    found = []
+    shares = x[held].astype(np.float64)
+    shares /= shares.sum(axis=1, keepdims=True).clip(1e-12)
+    there = shares.sum(axis=1) > 0.5
+    for size in SIZES:
+        best = []
+        for _ in range(DRAWS):
+            p = model.probabilities(rng.multinomial(max(1, size // SUBWORDS_ALIKE), shares[there]))
+            best.append(p.max(axis=1)[p.argmax(axis=1) == target[held][there]])
+        drawn = np.concatenate(best)
+        found.append(min(model.threshold, float(np.quantile(drawn, REJECT_QUANTILE))) if len(drawn) else 0.0)
+    model.short = tuple(found)
+
+
+def set_usual(model: Model, x: np.ndarray, target: np.ndarray, used: np.ndarray, held: np.ndarray) -> None:
+    """Set how usual the subwords of a text have to be, from rows `x` of subword shares."""
+    n = len(model.languages)
+    sums = np.array([x[used[target[used] == k]].sum(axis=0, dtype=np.float64) for k in range(n)])
+    # A row counts as 200 subwords: those of one row depend on each other.
+    odds = (200 * sums + 0.5) / (200 * sums.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
+    model.usual = np.log(odds * BUCKETS)
+    means = x[held].astype(np.float64) @ model.usual.T
+    rows = np.arange(len(held))
+    right = means[rows, target[held]]
+    means[rows, target[held]] = -np.inf
+    low, high = float(np.quantile(means.max(axis=1), WRONG_QUANTILE)), float(np.quantile(right, REJECT_QUANTILE))
+    model.least = min(high, low + ABOVE_WRONG * (high - low))
+    spread = np.einsum("ij,ij->i", x[held], (model.usual[target[held]] - right[:, None]) ** 2)
+    model.slack = 2 * float(np.sqrt(spread.mean() * SUBWORDS_ALIKE))
+
+
 def count_rows(docs: DataFrame, label: str) -> DataFrame:
     """The subword counts of each row as little-endian 32-bit integers, beside the label."""
 
@@ -152,7 +218,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Each row of `docs` with lang_pred, lang_score and lang_rejected.
 
     The prediction comes from the text alone. Texts without a letter (null, empty, digits only) get `und`, score 0, and are
-    rejected; so are texts whose calibrated probability lies below the model's threshold, but these keep their prediction.
+    rejected; so are texts whose calibrated probability lies below the model's threshold or whose subwords are too unusual in
+    the predicted language, but these keep their prediction.
     Repeated rows get equal results; an empty table gives an empty result; columns of `docs` with the new names are
     replaced. A model without a language predicts `und`.
     """
@@ -177,7 +244,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 k = int(p.argmax())
                 best.append(model.languages[k])
                 score.append(float(p[k]))
-                rejected.append(bool(p[k] < model.threshold))
+                rejected.append(model.rejects(counts, k, p[k]))
             columns = [pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*kept, *new])
 

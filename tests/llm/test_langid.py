@@ -87,3 +87,21 @@ def test_sample_is_bounded(spark):
     model = langid.train(df, rows=50)
     assert model.languages == ["de", "en"]
     assert langid.identify(df, model).filter("lang = lang_pred").count() == 500
+
+
+def test_foreign_and_junk_texts_are_rejected(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    model = langid.train(docs)
+    rng = random.Random(6)
+    clean = [r.text for r in docs.filter("length(text) > 300").orderBy("doc_id").limit(60).collect()]
+    shuffled = ["".join(rng.sample(t[:1500], len(t[:1500]))) for t in clean]
+    foreign = ["жук и мир это хорошо в городе", "中文文本没有空格的句子", "Il gatto dorme sul divano tutto il giorno e poi mangia il suo pesce"]
+    mixed = [" ".join(w for pair in zip("the of and that with in".split() * 30, "der und die nicht zu von".split() * 30, strict=True) for w in pair)]
+    short = ["the of and", "der und die nicht", "de la que los", "les des un que"]
+    junk = ["qwx zzkj xqv kkq wzx 11 zzq jjx vvk", "xq 1234 zk 5678 #### wj 99 kq vx zj"]
+    rows = [(k, t) for k, texts in enumerate((clean, shuffled, foreign + mixed + junk, short)) for t in texts]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    share = [np.mean([r.lang_rejected for r in found if r.doc_id == k]) for k in range(4)]
+    assert share[0] <= 0.02 and share[1] >= 0.95 and share[2] == 1 and share[3] == 0, [(r.text[:40], r.lang_score, r.lang_rejected) for r in found if r.doc_id in (2, 3)]
+    assert langid.identify(docs.filter("text rlike '[a-z]{3}'"), model).agg(F.avg(F.col("lang_rejected").cast("int"))).first()[0] <= 0.02
