@@ -62,6 +62,21 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
         assert ids == ({1, None, 5} if given else set())
 
 
+def test_repeated_and_missing_ids_are_rows_of_their_own(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    item = table(spark, SF, "benchmark").first().text
+    one, two, three = (" ".join(f"{w}{i}" for i in range(30)) for w in ("one", "two", "three"))
+    texts = [(7, one), (7, two), (7, one), (8, two), (None, one), (None, three), (None, three), (None, item), (7, f"so {item} it is"), (9, "!!"), (9, "!!")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], schema)
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    kept = cp.near_dedup(spark, docs, SF)
+    want = [(7, one), (7, two), (None, three), (9, "!!")]
+    rest = [p for p in pairs(kept) if item not in p[1]]
+    assert rest == sorted(want, key=str)
+    assert pairs(cp.decontamination(spark, docs, SF)) == sorted([p for p in texts if item not in p[1]], key=str)
+    assert pairs(cp.decontamination(spark, kept, SF)) == sorted(want, key=str)
+
+
 def test_library_works_without_the_package(tmp_path):
     """The entry module of a copy without the package still lists the other queries."""
     root = os.path.dirname(os.path.abspath(cp.__file__))
