@@ -34,4 +34,66 @@ SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FRO
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
 
-ORACLE = {"op1_minhash_dedup": OP1, "op3_exact_topk": OP3}
+#: The lattice row by row: the least (cost, audit) of each state after a row, from that before it by inserts and one edit.
+OP13 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM range(256) r(n))
+), d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(
+      string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS k
+  FROM conversations, crc
+), e AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM d WHERE k <> 0
+), f AS (
+  SELECT conv_id, turn, role, text, substr(role, 1, 1) AS s,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+    right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS z
+  FROM e
+), g AS (
+  SELECT *, CASE WHEN z = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN z NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    lag(s) OVER (PARTITION BY conv_id ORDER BY i) || s AS pair
+  FROM f
+), ins(q, p, ic, ia, io) AS (VALUES
+  (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+  (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']),
+  (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])
+), edit(p, s, letter, r, ec, role2) AS (VALUES
+  (0, 's', 'K', 1, 0, NULL), (0, 'u', 'K', 2, 0, NULL), (1, 'u', 'K', 2, 0, NULL), (3, 'u', 'K', 2, 0, NULL), (2, 'a', 'K', 3, 0, NULL),
+  (0, NULL, 'R', 2, 1, 'user'), (1, NULL, 'R', 2, 1, 'user'), (3, NULL, 'R', 2, 1, 'user'), (2, NULL, 'R', 3, 1, 'assistant'),
+  (0, NULL, 'D', 0, 2, NULL), (1, NULL, 'D', 1, 2, NULL), (2, NULL, 'D', 2, 2, NULL), (3, NULL, 'D', 3, 2, NULL)
+), walk(conv_id, i, q, c, a, o) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), '', CAST([] AS VARCHAR[]) FROM g
+  UNION ALL
+  SELECT conv_id, i, q, c, a, o FROM (
+    SELECT w.conv_id, g.i, edit.r AS q, w.c + ic + ec + CASE WHEN fault = 't' AND letter <> 'D' THEN 5 ELSE 0 END AS c, w.a || ia || letter AS a,
+      list_concat(w.o, io, CASE letter WHEN 'D' THEN [] ELSE [coalesce(role2, g.role) || ':' || g.text] END) AS o
+    FROM walk w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1 JOIN ins USING (q)
+      JOIN edit ON edit.p = ins.p AND (edit.s IS NULL OR edit.s = g.s) AND (letter = 'D' OR fault NOT IN ('b', 'd'))
+    QUALIFY row_number() OVER (PARTITION BY w.conv_id, edit.r ORDER BY w.c + ic + ec + CASE WHEN fault = 't' AND letter <> 'D' THEN 5 ELSE 0 END, w.a || ia || letter) = 1
+  )
+), last AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM g GROUP BY conv_id
+), best AS (
+  SELECT w.conv_id, w.c + ic AS c, w.a || ia AS a, list_concat(w.o, io) AS o, last.*
+  FROM walk w JOIN last ON last.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = last.n JOIN ins USING (q) WHERE ins.p IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.c + ic, w.a || ia) = 1
+)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(c, 0) AS BIGINT) AS cost, coalesce(a, '') AS audit,
+  sha256(coalesce(array_to_string(o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+ORACLE = {"op1_minhash_dedup": OP1, "op3_exact_topk": OP3, "op13_conversation_repair": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterlens.llm import decontam, html_text, langid, licenses, minhash, packing, pii, secret_scan, tokenfile, topk
+from meterlens.llm import conversation_repair, decontam, html_text, langid, licenses, minhash, packing, pii, secret_scan, tokenfile, topk
 from meterlens.llm.common import table
 
 #: Folder of the tokenizer files; without it the installed public_tokenizers package names the files.
@@ -63,6 +63,10 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": near_dedup,
     "op2_language_id": language,
@@ -74,4 +78,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": personal_data,
     "op9_license_scan": license_scan,
     "op10_secret_scan": secrets,
+    "op13_conversation_repair": conversations,
 }
