@@ -34,6 +34,33 @@ SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FRO
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
 
+OP11 = r"""
+WITH words AS (
+  SELECT doc_id, k, unnest(terms) AS term FROM (
+    SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents)
+), tfs AS (
+  SELECT doc_id, k, term, count(*) AS tf FROM words GROUP BY ALL
+), lens AS (
+  SELECT k, count(*) AS n FROM words GROUP BY k
+), total AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lens
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tfs, total GROUP BY term, docs
+), items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), scores AS (
+  SELECT item_id, doc_id, k, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total.terms)))) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN tfs USING (term) JOIN lens USING (k), total GROUP BY item_id, doc_id, k
+)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 50
+"""
+
 #: The lattice row by row: the least (cost, audit) of each state after a row, from that before it by inserts and one edit.
 OP13 = r"""
 WITH RECURSIVE crc AS (
@@ -96,4 +123,4 @@ SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id
 """
 
-ORACLE = {"op1_minhash_dedup": OP1, "op3_exact_topk": OP3, "op13_conversation_repair": OP13}
+ORACLE = {"op1_minhash_dedup": OP1, "op3_exact_topk": OP3, "op11_lexical_search": OP11, "op13_conversation_repair": OP13}

@@ -7,7 +7,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterlens.llm import conversation_repair, decontam, html_text, langid, licenses, minhash, packing, pii, secret_scan, tokenfile, topk
+from meterlens.llm import (
+    bestfit,
+    conversation_repair,
+    decontam,
+    html_text,
+    langid,
+    lexical,
+    licenses,
+    minhash,
+    packing,
+    pii,
+    secret_scan,
+    tokenfile,
+    topk,
+)
 from meterlens.llm.common import table
 
 #: Folder of the tokenizer files; without it the installed public_tokenizers package names the files.
@@ -63,6 +77,14 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.packed(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_digest(table(spark, sf_dir, "conversations"))
 
@@ -78,5 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": personal_data,
     "op9_license_scan": license_scan,
     "op10_secret_scan": secrets,
+    "op11_lexical_search": lexical_search,
+    "op12_best_fit_packing": best_fit,
     "op13_conversation_repair": conversations,
 }
