@@ -29,7 +29,7 @@ from meterlens.session import ensure_checkpoint_dir
 TERM_BYTES = byte_classes([b for b in range(128) if not chr(b).isalnum()])
 K = 50
 #: Most documents and postings of a block, and documents of a stratum that are sorted in one task.
-BLOCK_DOCS, BLOCK_POSTINGS, SHARE_DOCS = 4096, 1 << 21, 1 << 16
+BLOCK_DOCS, BLOCK_POSTINGS, SHARE_DOCS = 4096, 1 << 21, 4096
 #: Bytes of blocks that a task holds to visit them in the order of their bounds.
 HELD_BYTES = 64 << 20
 #: Terms of items that are searched for at once; larger sets of items are searched in blocks of about as many.
