@@ -135,7 +135,7 @@ def build(docs: DataFrame) -> tuple[DataFrame, Corpus] | None:
     if not total[0]:
         return None
     corpus = Corpus(*total)
-    m = F.expr(f"50 + (50 * n * {corpus.documents}) div {corpus.terms}")
+    m = F.expr(f"50 + (50 * cast(n as decimal(20, 0)) * {corpus.documents}) div {corpus.terms}")
     strata = found.groupBy(m.alias("m")).agg(F.ceil(F.sum("docs") / SHARE_DOCS).alias("shares"))
     share = F.pmod(F.xxhash64("doc_id", "terms"), F.col("shares"))
     dealt = forward(docs, corpus).join(strata, "m").select("m", share.alias("share"), "doc_id", "terms", "tfs")
