@@ -9,7 +9,8 @@ sets, and confirmed links make groups.
 No group is expanded into all its pairs. Documents with equal sets become one class, and only its smallest doc_id goes
 on. In a band bucket every member is compared with the smallest member; the links found make components; only members
 of different components that still share a bucket and are similar by their bits are then compared, and of these only the
-pairs that share one of their rarest shingles, which linked sets always do.
+pairs that share one of their rarest shingles, which linked sets always do, and that are similar by the bits of eight times as
+many minima: in a group of copies of copies most pairs lie a little below the limit.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from meterlens.llm.common import Words, byte_classes, cut, grams, longs, numbers
 #: Minima in a band, and bands. A link at similarity 0.8 shares no band with probability (1 - 0.8^5)^30 < 7e-6.
 ROWS, BANDS = 5, 30
 BITS = 2
-#: Longs that hold the packed bits.
-LONGS = -(-ROWS * BANDS * BITS // 64)
 SEPARATORS = (0x20, *range(0x09, 0x0E))
 #: Estimates that lie lower than the limit by this much are not confirmed: five standard deviations of 150 minima.
 SLACK = 0.2
+#: Minima of undecided sets only, and five standard deviations of these.
+MORE, MORE_SLACK = 1200, 0.07
+#: Edges of a task while groups are found, and up to which the smallest neighbours are sent to every task.
+EDGES = 250_000
 #: Ids of eight bytes that a broadcast may hold.
 BROADCAST_IDS = 1_000_000
 #: Rarest shingles that are kept beside each of a set's rare shingles.
@@ -49,12 +52,12 @@ def shingles(words: Words, k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The minima of a set that is not empty."""
-    factors = (numbers(6, ROWS * BANDS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    shifts = (numbers(7, ROWS * BANDS) >> np.uint64(32)).astype(np.uint32)
+def minima(hashes: np.ndarray, count: int = ROWS * BANDS, seed: int = 6) -> np.ndarray:
+    """The minima of a set that is not empty, by `count` hash functions."""
+    factors = (numbers(seed, count) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    shifts = (numbers(seed + 1, count) >> np.uint64(32)).astype(np.uint32)
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
+    least = np.full(count, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 256):
         np.minimum(least, (x[i : i + 256, None] * factors + shifts).min(axis=0), out=least)
     return least
@@ -67,12 +70,17 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return h * np.uint64(0x9E3779B97F4A7C15)
 
 
+def longs_of(count: int) -> int:
+    """Longs that hold the packed bits of so many minima."""
+    return -(-count * BITS // 64)
+
+
 def low_bits(least: np.ndarray) -> np.ndarray:
     """The packed low bits; places without a minimum are 0 in every document."""
-    wide = np.zeros(32 * LONGS, np.uint64)
+    wide = np.zeros(32 * longs_of(len(least)), np.uint64)
     wide[: len(least)] = least & np.uint32(3)
     places = np.arange(32, dtype=np.uint64) * np.uint64(BITS)
-    return (wide.reshape(LONGS, 32) << places).sum(axis=1, dtype=np.uint64)
+    return (wide.reshape(-1, 32) << places).sum(axis=1, dtype=np.uint64)
 
 
 def sum_of(hashes: np.ndarray) -> int:
@@ -105,15 +113,15 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def estimate(a: str, b: str):
-    """Similarity of two documents by their packed bits, corrected for agreement by chance."""
+def estimate(a: str, b: str, count: int = ROWS * BANDS):
+    """Similarity of two documents by the packed bits of `count` minima, corrected for agreement by chance."""
     differ = F.lit(0)
-    for i in range(LONGS):
+    for i in range(longs_of(count)):
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
         either = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
         differ = differ + F.bit_count(either)
     chance = 1.0 / (1 << BITS)
-    return (1 - differ / F.lit(float(ROWS * BANDS)) - chance) / (1 - chance)
+    return (1 - differ / F.lit(float(count)) - chance) / (1 - chance)
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -149,12 +157,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def sharing_rare(nodes: DataFrame, docs: DataFrame, words: int, percent: int, limit: float) -> DataFrame:
+def sharing_rare(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b, doc_a, doc_b) of `nodes` in different components that can be linked, by their rarest shingles.
 
     Two sets of which one has n shingles share at least percent * n / 100 of them if they are linked. So if both are
     sorted from rare to common among `nodes`, each has one of the shared ones within the first n + 1 minus that number.
-    A set that is only nearly similar to very many has more shingles of its own than that, and meets nobody here.
+    A set that is only nearly similar to very many has more shingles of its own than that, and meets nobody here. Pairs that
+    meet are held against the bits of `MORE` minima of their sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +175,19 @@ def sharing_rare(nodes: DataFrame, docs: DataFrame, words: int, percent: int, li
             columns = [np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(sizes, sizes), longs(np.concatenate([np.zeros(0, np.uint64), *sets]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "size", "shingle"])
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = byte_classes(SEPARATORS)
+        for batch in batches:
+            sets = shingles(Words(*text_buffers(batch.column(1)), kind), words)
+            known = [(a, s) for a, s in zip(batch.column(0).to_pylist(), sets, strict=True) if len(s) and sum_of(s) == a]
+            bits = [longs(low_bits(minima(s, MORE, 10))) for _, s in known]
+            columns = [pa.array([a for a, _ in known], pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "bits"])
+
     texts = texts_of(docs, nodes.select("doc_id").distinct()).dropDuplicates(["doc_id", "text"])
-    texts = nodes.select("node", "doc_id").join(texts, "doc_id").select("node", "text")
+    texts = cut(nodes.select("node", "doc_id").join(texts, "doc_id").select("node", "text"))
     spread = cut(texts.mapInArrow(run, "node long, size long, shingle long"))
+    signed = cut(texts.mapInArrow(sign, "node long, bits array<long>").dropDuplicates(["node"]))
     common = spread.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     shared = spread.join(common, "shingle")
     own = Window.partitionBy("node")
@@ -185,7 +204,7 @@ def sharing_rare(nodes: DataFrame, docs: DataFrame, words: int, percent: int, li
     prefix = prefix.drop("rank").join(heads, "node")
     prefix = cut(prefix.join(nodes.select("node", "component"), "node"))
     several = prefix.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    prefix = prefix.join(several.filter("low <> high").select("shingle"), "shingle").join(nodes.drop("component"), "node")
+    prefix = prefix.join(several.filter("low <> high").select("shingle"), "shingle").join(nodes.select("node", "doc_id").join(signed, "node"), "node")
     x, y = prefix.alias("x"), prefix.alias("y")
     near = (
         (F.col("x.shingle") == F.col("y.shingle"))
@@ -197,7 +216,7 @@ def sharing_rare(nodes: DataFrame, docs: DataFrame, words: int, percent: int, li
             (1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))) * (100 + percent)
             >= (F.col("x.size") + F.col("y.size")) * percent
         )
-        & (estimate("x.bits", "y.bits") >= limit)
+        & (estimate("x.bits", "y.bits", MORE) >= percent / 100 - MORE_SLACK)
         & (F.coalesce(F.get(F.array_intersect("x.head", "y.head"), F.lit(0)), F.col("x.shingle")) == F.col("x.shingle"))
     )
     ends = {"a": "x.node", "b": "y.node", "doc_a": "x.doc_id", "doc_b": "y.doc_id"}
@@ -214,20 +233,24 @@ def components(edges: DataFrame) -> DataFrame:
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
 
-    def star(df: DataFrame) -> DataFrame:
+    def star(df: DataFrame, few) -> DataFrame:
         """Every (a, b) with the smallest neighbour of a, or a itself if that is smaller."""
         least = df.groupBy("a").agg(F.min("b").alias("least"))
-        return df.join(least, "a").withColumn("least", F.least("a", "least"))
+        return df.join(few(least), "a").withColumn("least", F.least("a", "least"))
 
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = state(edges)
     while before[0]:
+        # Few edges need few tasks, and their smallest neighbours fit into every task; more are joined by a shuffle.
+        tasks = 1 + before[0] // EDGES
+        few = F.broadcast if before[0] <= EDGES else lambda df: df
+        edges = edges.coalesce(tasks)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = star(both).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        large = large.filter("a <> b").distinct()
-        small = star(large)
+        large = star(both, few).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        large = large.filter("a <> b").distinct().coalesce(tasks)
+        small = star(large, few)
         small = small.select(F.col("b").alias("a"), F.col("least").alias("b")).union(small.select("a", "least"))
-        edges = cut(small.filter("a <> b").distinct())
+        edges = cut(small.filter("a <> b").distinct().coalesce(tasks))
         after = state(edges)
         if after == before:
             break
@@ -280,8 +303,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         & (F.col("x.component") != F.col("y.component"))
         & (estimate("x.bits", "y.bits") >= limit)
     )
-    undecided = x.join(y, partner, "left_semi").select("node", "doc_id", "component", "bits").distinct()
-    again = sharing_rare(cut(undecided), known, words, percent, limit)
+    undecided = x.join(y, partner, "left_semi").select("node", "doc_id", "component").distinct()
+    again = sharing_rare(cut(undecided), known, words, percent)
     links = links.union(confirm(again, known, words, percent))
     # A doc_id whose rows hold different sets ties them together.
     several = filled.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
