@@ -137,7 +137,6 @@ QUERIES = {
     "entry_by_id": lambda spark, sf: ingest.entry_by_id(b.audit_entries(spark, sf), 71).select(
         "id", "source_id", "source_line", "model", "token_id", "key_tail", "request_id"
     ),
-    "audit_status": lambda spark, sf: ingest.audit_status(b.audit_entries(spark, sf)),
     "match_token_time": _narrowed(_over_matches(m.match_token_time, window=WINDOW)),
     "match_token_time_topn": _narrowed(_over_matches(m.match_token_time, window=WINDOW, limit=5)),
     "match_request_id": _narrowed(_over_matches(m.match_request_id, limit=3)),

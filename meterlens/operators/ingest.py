@@ -66,16 +66,21 @@ def parse_lines(lines: DataFrame, zone: str = "UTC") -> DataFrame:
     return staged.withColumns(fields).drop("_doc", "_members", "_members_lower", "_headers", "_body")
 
 
-def line_statistics(parsed: DataFrame, *keys: str) -> DataFrame:
-    """Processed, entry, blank and invalid lines and the bytes read, per file or in all."""
+def line_figures() -> list[Column]:
+    """Processed, entry, blank and invalid lines and the bytes read, as aggregates over parsed lines."""
     state = F.col("line_state")
-    return parsed.groupBy(*keys).agg(
+    return [
         F.count("*").alias("processed_lines"),
         F.count_if(state == "entry").alias("entry_lines"),
         F.count_if(state == "blank").alias("blank_lines"),
         F.count_if(state == "invalid").alias("invalid_lines"),
-        F.sum("byte_length").alias("bytes_read"),
-    )
+        F.coalesce(F.sum("byte_length"), F.lit(0).cast("long")).alias("bytes_read"),
+    ]
+
+
+def line_statistics(parsed: DataFrame, *keys: str) -> DataFrame:
+    """`line_figures` per file or in all."""
+    return parsed.groupBy(*keys).agg(*line_figures())
 
 
 def key_candidates(key: Column) -> list[Column]:
@@ -176,15 +181,13 @@ def new_entries(batch: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def audit_status(entries: DataFrame) -> DataFrame:
-    """Tracked files, indexed rows and the newest times."""
+def audit_status(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """Tracked files, also those without an entry, indexed rows and the newest times; `files` has one row a file."""
     zero = F.lit(0).cast("long")
-    return entries.agg(
-        F.countDistinct("source_path").alias("tracked_files"),
-        F.count("*").alias("indexed_rows"),
-        F.coalesce(F.max("created_at"), zero).alias("last_created_at"),
-        F.coalesce(F.max("ingested_at"), zero).alias("last_ingested_at"),
-    )
+    newest = [F.coalesce(F.max(c), zero).alias(f"last_{c}") for c in ("created_at", "ingested_at")]
+    rows = entries.agg(zero.alias("tracked_files"), F.count("*").alias("indexed_rows"), *newest)
+    tracked = files.agg(F.count("*").alias("tracked_files"), *[zero.alias(c) for c in rows.columns[1:]])
+    return rows.union(tracked).agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def entry_by_id(entries: DataFrame, entry_id: int) -> DataFrame:

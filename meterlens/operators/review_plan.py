@@ -49,14 +49,15 @@ class ReviewScope:
         return replace(self, token_ids=ids, models=models, role_mode=mode)
 
 
-def _eligible(entries: DataFrame, scope: ReviewScope) -> DataFrame:
+def eligible(entries: DataFrame, scope: ReviewScope) -> DataFrame:
+    """Requests of the scope's keys and models, at any time."""
     rows = entries.filter(F.col("token_id").isin(scope.token_ids) & F.col("model").isin(scope.models))
     return rows if scope.max_entry_id is None else rows.filter(F.col("id") <= scope.max_entry_id)
 
 
 def in_scope(entries: DataFrame, scope: ReviewScope) -> DataFrame:
     scope = scope.checked()
-    return _eligible(entries, scope).filter(F.col("created_at").between(scope.start, scope.end))
+    return eligible(entries, scope).filter(F.col("created_at").between(scope.start, scope.end))
 
 
 def scope_counts(entries: DataFrame, scope: ReviewScope) -> DataFrame:
@@ -79,7 +80,7 @@ def model_options(entries: DataFrame, token_ids: list[int], start: int, end: int
 def anchors(entries: DataFrame, scope: ReviewScope) -> DataFrame:
     """The newest requests of every key before the scope begins; they can be parents but are not reviewed."""
     scope = scope.checked()
-    earlier = _eligible(entries, scope).filter(F.col("created_at") < scope.start)
+    earlier = eligible(entries, scope).filter(F.col("created_at") < scope.start)
     newest = [F.desc("created_at"), F.desc("id")]
     return top_per_group(earlier, ["token_id"], newest, scope.anchor_entries, "anchor_rank")
 
@@ -171,17 +172,20 @@ def parents(entries: DataFrame, scope: ReviewScope, since: DataFrame | None = No
     ).select("id", "seq")
     ordered = requests.join(places, "id").withColumn("length", F.size("prefixes"))
     # Anchors are never asked about: of their prefixes only the whole request matters.
-    spread = ordered.select(
-        "id",
-        "token_id",
-        "seq",
-        "reviewed",
-        "length",
-        F.posexplode(F.when(F.col("reviewed"), F.col("prefixes")).otherwise(F.slice("prefixes", -1, 1))),
-    )
+    whole = F.when(F.col("reviewed"), F.col("prefixes")).otherwise(F.slice("prefixes", -1, 1))
+    return longest_prefix(ordered.withColumn("prefixes", whole), checked.branch_history)
+
+
+def longest_prefix(ordered: DataFrame, branch_history: int) -> DataFrame:
+    """The parents of the `reviewed` ones among (id, token_id, seq, reviewed, length, prefixes).
+
+    `prefixes` holds the digests of all prefixes of a reviewed request, and of another one only that of the whole request;
+    `seq` is the place among the key's requests.
+    """
+    spread = ordered.select("id", "token_id", "seq", "reviewed", "length", F.posexplode("prefixes"))
     prefix_length = F.when(F.col("reviewed"), F.col("pos") + 1).otherwise(F.col("length"))
     slice_of = F.floor(F.col("seq") / HISTORY_SLICE)
-    last_slice = F.floor((F.col("seq") + checked.branch_history) / HISTORY_SLICE)
+    last_slice = F.floor((F.col("seq") + branch_history) / HISTORY_SLICE)
     placed = spread.select(
         "id",
         "token_id",
@@ -197,11 +201,7 @@ def parents(entries: DataFrame, scope: ReviewScope, since: DataFrame | None = No
             )
         ).alias("slice"),
     )
-    history = (
-        Window.partitionBy("token_id", "length", "digest", "slice")
-        .orderBy("seq")
-        .rangeBetween(-checked.branch_history, -1)
-    )
+    history = Window.partitionBy("token_id", "length", "digest", "slice").orderBy("seq").rangeBetween(-branch_history, -1)
     branch = F.when(F.col("whole"), F.struct("seq", "id"))
     matched = placed.withColumn("branch", F.min(branch).over(history)).filter(
         F.col("reviewed") & (F.col("slice") == F.col("own_slice")) & F.col("branch").isNotNull()
@@ -223,8 +223,12 @@ def review_plan(entries: DataFrame, scope: ReviewScope, since: DataFrame | None
     Without a parent only the last reviewable message counts, not the history before it.
     """
     scope = scope.checked()
-    found = parents(entries, scope, since)
-    requests = reviewed_since(entries, scope, since).select(
+    return planned(reviewed_since(entries, scope, since), parents(entries, scope, since), scope)
+
+
+def planned(requests: DataFrame, found: DataFrame, scope: ReviewScope) -> DataFrame:
+    """The plan of `requests` whose parents were `found`."""
+    requests = requests.select(
         F.col("id").alias("audit_entry_id"), "token_id", "created_at", F.col("model").alias("request_model"), "messages"
     )
     messages = F.col("messages")

@@ -37,12 +37,25 @@ def run_review(
     With `since` (see `parents`) only the later requests of some keys are reviewed; `finished` then gives, for rows
     with `audit_entry_id`, those requests as they were decided before, where the chains of parents go on.
     """
-    plan = cut_lineage(review_plan(entries, scope, since))
-    scored = cut_lineage(rs.score_new(plan, cache, scorer, config, calls))
     before = None
+    plan = cut_lineage(review_plan(entries, scope, since))
     if finished is not None:
         asked = plan.filter("parent_entry_id > 0").select(F.col("parent_entry_id").alias("audit_entry_id")).distinct()
         before = finished(asked.join(plan.select("audit_entry_id"), "audit_entry_id", "left_anti"))
+    return run_plan(plan, cache, scorer, config, created_at, calls, before)
+
+
+def run_plan(
+    plan: DataFrame,
+    cache: DataFrame,
+    scorer: rs.Scorer,
+    config: str,
+    created_at: Column | None = None,
+    calls: int = 10,
+    before: DataFrame | None = None,
+) -> ReviewRun:
+    """Score what a written plan asks for and carry risk down; `before` has finished requests of earlier runs."""
+    scored = cut_lineage(rs.score_new(plan, cache, scorer, config, calls))
     final = rs.inherit_risk(rs.outcomes(plan, cache, scored, config), before)
     stamp = F.unix_timestamp() if created_at is None else created_at
     return ReviewRun(plan, final, rs.new_results(scored, cache, stamp))

@@ -1,21 +1,19 @@
-"""JSONL audit files as a Spark data source: split reading in batch, tailing as a stream.
+"""JSONL audit files as a Spark data source, read in splits with line numbers.
 
-The built-in file source reads a file once and never sees what is appended later; audit files are appended to,
-truncated and rotated. Files must lie on a path that the driver and all executors can open.
+`line_plan` follows files that grow, are truncated and are rotated, which the built-in file source never sees. Files must lie on
+a path that the driver and all executors can open.
 """
 
 from __future__ import annotations
 
 import glob
-import json
 import os
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from meterlens import schemas
 
@@ -62,15 +60,13 @@ def source_id(path: str, identity: str, generation: int) -> str:
 
 @dataclass
 class LineRange(InputPartition):
-    """Bytes of one file. A tailed range starts at a line; a split may start inside one."""
+    """Bytes of one file, which may start inside a line."""
 
     path: str
     source: str
     start: int
     end: int
-    first_line: int
     split: int
-    aligned: bool
     count_only: bool = False
 
 
@@ -79,8 +75,8 @@ def read_range(part: LineRange) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     line = 0
     with open(part.path, "rb", buffering=1 << 20) as file:
-        file.seek(part.start if part.aligned else part.start - 1)
-        if not part.aligned:
+        file.seek(max(0, part.start - 1))
+        if part.start:
             file.readline()
         position = file.tell()
         while position < part.end:
@@ -89,26 +85,26 @@ def read_range(part: LineRange) -> Iterator[pa.RecordBatch]:
                 break
             if not part.count_only:
                 text = raw.rstrip(b"\r\n").decode("utf-8", "replace")
-                number = part.first_line + line + 1 if part.first_line >= 0 else None
-                rows.append((part.path, part.source, part.split, line, number, position, len(raw), text))
+                rows.append((part.path, part.source, part.split, line, None, position, len(raw), text))
                 if len(rows) == BATCH_ROWS:
-                    yield _batch(rows)
+                    yield lines_batch(rows)
                     rows = []
             position += len(raw)
             line += 1
     if part.count_only:
         rows.append((part.path, part.source, part.split, line, None, part.start, position - part.start, None))
     if rows:
-        yield _batch(rows)
+        yield lines_batch(rows)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def lines_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of raw lines as a batch."""
     columns = [pa.array(values, type=field.type) for values, field in zip(zip(*rows), ARROW_SCHEMA)]
     return pa.RecordBatch.from_arrays(columns, schema=ARROW_SCHEMA)
 
 
 class AuditLines(DataSource):
-    """`path`: patterns. Batch: `splitBytes`, `countOnly`. Stream: `maxLinesPerTrigger`, `cursorDir`."""
+    """`path`: patterns. `splitBytes`, `countOnly`."""
 
     @classmethod
     def name(cls) -> str:
@@ -120,9 +116,6 @@ class AuditLines(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return AuditLinesReader(self.options)
 
-    def streamReader(self, schema) -> DataSourceStreamReader:
-        return AuditLinesStreamReader(self.options)
-
 
 class AuditLinesReader(DataSourceReader):
     """Files cut into byte ranges, so that one huge file is read by many tasks."""
@@ -139,113 +132,13 @@ class AuditLinesReader(DataSourceReader):
             source = source_id(path, identity, 1)
             for number, start in enumerate(range(0, size, self.split_bytes)):
                 end = min(start + self.split_bytes, size)
-                parts.append(LineRange(path, source, start, end, -1, number, start == 0, self.count_only))
+                parts.append(LineRange(path, source, start, end, number, self.count_only))
         return parts
 
     def read(self, partition: LineRange) -> Iterator[pa.RecordBatch]:
         return read_range(partition)
 
 
-class AuditLinesStreamReader(DataSourceStreamReader):
-    """Tails files by byte offset.
-
-    An offset holds, per path, the file's identity, its generation, and the byte and line reached. Another file under
-    the same path starts over; the same file made shorter starts a new generation. The engine does not tell a reader
-    where it stood before a restart, so the end of every planned batch is also kept in `cursorDir`. That is safe: the
-    engine has logged the same end by then and repeats the batch itself if it fails.
-    """
-
-    def __init__(self, options) -> None:
-        self.paths = options["path"]
-        self.max_lines = int(options.get("maxLinesPerTrigger", MAX_LINES_PER_TRIGGER))
-        self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
-        folder = options.get("cursorDir", "")
-        self.cursor = os.path.join(folder, "cursor.json") if folder else ""
-        self.position = self._load()
-        self.marks: dict[str, list[tuple[int, int]]] = {}
-
-    def _load(self) -> dict:
-        if self.cursor and os.path.exists(self.cursor):
-            with open(self.cursor) as file:
-                return json.load(file)
-        return {}
-
-    def initialOffset(self) -> dict:
-        return {}
-
-    def latestOffset(self) -> dict:
-        """Advance over at most `maxLinesPerTrigger` complete lines, files in sorted order."""
-        left = self.max_lines
-        reached = dict(self.position)
-        for path in expand_paths(self.paths):
-            if left <= 0:
-                break
-            try:
-                identity, size = file_id(path)
-            except FileNotFoundError:
-                continue
-            state = reached.get(path)
-            if state is None or state["id"] != identity:
-                state = {"id": identity, "generation": 1, "offset": 0, "line": 0}
-            elif size < state["offset"]:
-                state = {"id": identity, "generation": state["generation"] + 1, "offset": 0, "line": 0}
-            if size > state["offset"]:
-                state, taken = self._advance(path, state, left)
-                left -= taken
-            reached[path] = state
-        self.position = reached
-        return reached
-
-    def _advance(self, path: str, state: dict, left: int) -> tuple[dict, int]:
-        """Find the end of the last line to take; only line ends are looked at."""
-        offset, line, taken = state["offset"], state["line"], 0
-        marks = [(offset, line)]
-        with open(path, "rb", buffering=1 << 20) as file:
-            file.seek(offset)
-            for raw in file:
-                if taken == left or not raw.endswith(b"\n"):
-                    break
-                if offset - marks[-1][0] >= self.split_bytes:
-                    marks.append((offset, line))
-                offset, line, taken = offset + len(raw), line + 1, taken + 1
-        self.marks[path] = marks
-        return {**state, "offset": offset, "line": line}, taken
-
-    def partitions(self, start: dict, end: dict) -> list[LineRange]:
-        parts = []
-        for path, to in end.items():
-            since = start.get(path)
-            same = since is not None and since["id"] == to["id"] and since["generation"] == to["generation"]
-            begin, line = (since["offset"], since["line"]) if same else (0, 0)
-            inner = [mark for mark in self.marks.get(path, []) if begin < mark[0] < to["offset"]]
-            cuts = [(begin, line), *inner, (to["offset"], to["line"])]
-            for number, ((low, first), (high, _)) in enumerate(zip(cuts, cuts[1:])):
-                if high > low:
-                    source = source_id(path, to["id"], to["generation"])
-                    parts.append(LineRange(path, source, low, high, first, number, True))
-        for path, since in start.items():
-            known = self.position.get(path)
-            if known and known["id"] == since["id"] and known["generation"] == since["generation"]:
-                if known["offset"] < since["offset"]:
-                    self.position[path] = since
-        self._save(end)
-        return parts
-
-    def read(self, partition: LineRange) -> Iterator[pa.RecordBatch]:
-        return read_range(partition)
-
-    def commit(self, end: dict) -> None:
-        """Nothing to release: files are left as they are."""
-
-    def _save(self, end: dict) -> None:
-        if self.cursor:
-            os.makedirs(os.path.dirname(self.cursor), exist_ok=True)
-            fresh = f"{self.cursor}.{uuid.uuid4().hex}"
-            with open(fresh, "w") as file:
-                json.dump(end, file)
-            os.replace(fresh, self.cursor)
-
-
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(AuditLines)
 
@@ -271,33 +164,3 @@ def read_audit_lines(spark: SparkSession, paths: str, split_bytes: int = SPLIT_B
         .withColumn("line_no", F.col("_before") + F.col("split_line") + 1)
         .select(*[field.name for field in ARROW_SCHEMA])
     )
-
-
-def stream_audit_lines(
-    spark: SparkSession, paths: str, cursor_dir: str, max_lines: int = MAX_LINES_PER_TRIGGER
-) -> DataFrame:
-    """The lines of growing files, from where the stream stood."""
-    register(spark)
-    return (
-        spark.readStream.format(FORMAT)
-        .option("path", paths)
-        .option("cursorDir", cursor_dir)
-        .option("maxLinesPerTrigger", max_lines)
-        .load()
-    )
-
-
-def file_progress(spark: SparkSession, paths: str, cursor_dir: str) -> DataFrame:
-    """One row per matched file: its size, the byte and line reached, and whether bytes are left behind them.
-
-    Bytes are left behind an unfinished last line, or when the line cap was hit.
-    """
-    reader = AuditLinesStreamReader({"path": paths, "cursorDir": cursor_dir})
-    rows = []
-    for path in expand_paths(paths):
-        identity, size = file_id(path)
-        state = reader.position.get(path)
-        same = state is not None and state["id"] == identity and state["offset"] <= size
-        offset, line = (state["offset"], state["line"]) if same else (0, 0)
-        rows.append((path, size, offset, line, size > offset))
-    return spark.createDataFrame(rows, "path string, size long, byte_offset long, line_no long, unread boolean")

@@ -1,46 +1,64 @@
-"""Tailing audit files into the entry table."""
+"""Following audit files into the entry table."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from meterlens import schemas
 from meterlens.operators import ingest
 from meterlens.session import cut_lineage
-from meterlens.sources.audit_lines import MAX_LINES_PER_TRIGGER, file_progress, stream_audit_lines
+from meterlens.sources.audit_lines import MAX_LINES_PER_TRIGGER, SPLIT_BYTES
+from meterlens.sources.line_plan import FIGURE_NAMES, lines_of, plan_lines, planned_steps
 
 from .store import days_in, read_table, write_batch, write_days
 
 SCAN_SECONDS = 10
 
-
-# A single scan has no next batch to leave lines to.
-NO_CAP = 1 << 62
 # Ids that a batch may give out: far more than lines come in one.
 IDS_PER_BATCH = 1 << 40
+# One row a scan: what it met, what the lines were, what came of them.
+SCANS = (
+    "scan long, step long, matched_files long, scanned_files long, unchanged_files long, processed_lines long, "
+    "inserted_entries long, blank_lines long, invalid_lines long, unfinished_lines long, bytes_read long, "
+    "line_limit_hit boolean, duration_ms long"
+)
 
 
 def ingest_batch(
-    lines: DataFrame, batch_id: int, tokens: DataFrame, entries_path: str, stats_path: str = "", zone: str = "UTC"
+    lines: DataFrame,
+    batch_id: int,
+    tokens: DataFrame,
+    entries_path: str,
+    scans_path: str = "",
+    zone: str = "UTC",
+    planned: Row | None = None,
+    now: Callable[[], Column] = F.unix_timestamp,
 ) -> None:
     """Append the entries of one batch of lines, each line once. Ids go up with the batches, with gaps between them.
 
     The lines are read and parsed once and written to the checkpoint folder; keys that are unknown now stay
     unresolved. A line that comes again has the same time, so only the days of this batch are looked through for it.
-    The batch has its own folders, so an attempt that failed half-way is replaced.
+    The batch has its own folders, so an attempt that failed half-way is replaced. The scan's figures are observed as the
+    lines and the new entries are written, beside what `planned` (the row of a plan's step) says of the files.
     """
-    spark = lines.sparkSession
-    parsed = cut_lineage(ingest.parse_lines(lines.drop("split", "split_line"), zone))
-    if stats_path:
-        write_batch(ingest.line_statistics(parsed, "path"), stats_path, batch_id)
-    entries = cut_lineage(ingest.entries_of(parsed, tokens, F.unix_timestamp()))
+    spark, started = lines.sparkSession, time.time()
+    read, new = Observation(), Observation()
+    parsed = ingest.parse_lines(lines.drop("split", "split_line"), zone)
+    parsed = cut_lineage(parsed.observe(read, *ingest.line_figures()))
+    entries = cut_lineage(ingest.entries_of(parsed, tokens, now()))
     days = days_in(entries, F.col("created_at"))
     stored = read_table(spark, entries_path, schemas.AUDIT_ENTRIES, except_batch=batch_id, days=days)
-    fresh = ingest.new_entries(entries, stored)
-    write_days(ingest.assign_ids(fresh, after=batch_id * IDS_PER_BATCH), entries_path, batch_id)
+    fresh = ingest.assign_ids(ingest.new_entries(entries, stored), after=batch_id * IDS_PER_BATCH)
+    write_days(fresh.observe(new, F.count("*").alias("inserted_entries")), entries_path, batch_id)
+    if scans_path:
+        seen = {**read.get, **new.get, "duration_ms": int(1000 * (time.time() - started))}
+        seen |= {n: planned[n] for n in ("scan", "step", *FIGURE_NAMES)} if planned is not None else {"step": batch_id}
+        row = tuple(seen.get(c.split()[0]) for c in SCANS.split(", "))
+        write_batch(spark.createDataFrame([row], SCANS).coalesce(1), scans_path, batch_id)
 
 
 def start_ingest(
@@ -49,35 +67,44 @@ def start_ingest(
     tokens: Callable[[], DataFrame],
     entries_path: str,
     checkpoint: str,
+    plan_dir: str,
     *,
-    stats_path: str = "",
+    scans_path: str = "",
     zone: str = "UTC",
     max_lines: int = MAX_LINES_PER_TRIGGER,
-    cursor_dir: str = "",
-    scan_seconds: int = SCAN_SECONDS,
+    split_bytes: int = SPLIT_BYTES,
+    now: Callable[[], Column] = F.unix_timestamp,
     once: bool = False,
 ) -> StreamingQuery:
-    """Scan now and then every `scan_seconds`, at most `max_lines` in a batch; with `once` read all that is there.
+    """Ingest what is planned in `plan_dir`, at most `max_lines` in a batch; `tokens` is asked anew for every batch.
 
-    `tokens` is asked anew for every batch.
+    With `once` all that is there is planned first and read in as many batches as it takes; otherwise `start_planning` looks
+    for new lines beside this query.
     """
-    lines = stream_audit_lines(spark, paths, cursor_dir, NO_CAP if once else max_lines)
+    plan_lines(spark, paths, plan_dir, max_lines, split_bytes)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, tokens(), entries_path, stats_path, zone)
+    def write(step: DataFrame, batch_id: int) -> None:
+        head = step.filter("path is null").first()
+        ingest_batch(lines_of(step), batch_id, tokens(), entries_path, scans_path, zone, head, now)
 
-    writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    trigger = {"availableNow": True} if once else {"processingTime": f"{scan_seconds} seconds"}
+    writer = planned_steps(spark, plan_dir).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    trigger = {"availableNow": True} if once else {"processingTime": "1 second"}
     return writer.trigger(**trigger).start()
 
 
-def scan_until_read(
-    spark: SparkSession, start: Callable[[], StreamingQuery], paths: str, cursor_dir: str
-) -> None:
-    """Repeat single scans, each up to the line cap, until no file has a complete line left."""
-    while True:
-        before = file_progress(spark, paths, cursor_dir)
-        start().awaitTermination()
-        after = file_progress(spark, paths, cursor_dir)
-        if after.filter("unread").isEmpty() or before.exceptAll(after).isEmpty():
-            return
+def start_planning(
+    spark: SparkSession,
+    paths: str,
+    plan_dir: str,
+    *,
+    max_lines: int = MAX_LINES_PER_TRIGGER,
+    split_bytes: int = SPLIT_BYTES,
+    scan_seconds: int = SCAN_SECONDS,
+) -> StreamingQuery:
+    """Plan new lines at once and then every `scan_seconds`; scans that find nothing leave no step."""
+
+    def plan(_: DataFrame, __: int) -> None:
+        plan_lines(spark, paths, plan_dir, max_lines, split_bytes, idle=False)
+
+    clock = spark.readStream.format("rate").load()
+    return clock.writeStream.foreachBatch(plan).trigger(processingTime=f"{scan_seconds} seconds").start()

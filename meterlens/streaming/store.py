@@ -44,21 +44,34 @@ def write_days(df: DataFrame, path: str, batch_id: int, seconds: str = "created_
     writer.partitionBy("event_date", "batch_id").parquet(path)
 
 
+def write_folders(df: DataFrame, path: str, batch_id: int, folder: str) -> None:
+    """Write the rows of one batch into folders by the column `folder`, then batch; a repeated attempt names the same ones."""
+    writer = df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(folder, "batch_id").parquet(path)
+
+
 def read_table(
-    spark: SparkSession, path: str, schema: str, except_batch: int | None = None, days: list[date] | None = None
+    spark: SparkSession,
+    path: str,
+    schema: str,
+    except_batch: int | None = None,
+    days: list[date] | None = None,
+    keep: str = "",
 ) -> DataFrame:
     """All rows written so far, without those of the batch that is being repeated; empty before the first batch.
 
-    Of a table in day folders only the folders of `days` are read, if given.
+    Of a table in day folders only the folders of `days` are read, if given. `keep` names the folder column that stays.
     """
+    folders = "batch_id long, event_date date" if keep == "event_date" else "batch_id long"
     try:
-        rows = spark.read.schema(f"{schema}, batch_id long").parquet(path)
+        rows = spark.read.schema(f"{schema}, {folders}").parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        empty = spark.createDataFrame([], f"{schema}, {folders}")
+        return empty.drop(*[c for c in ("batch_id", "event_date") if c != keep])
     if days is not None:
         rows = on_days(rows, days)
     if except_batch is not None:
-        rows = rows.filter(F.col("batch_id") != except_batch)
-    return rows.drop("batch_id", "event_date")
+        rows = rows.filter(F.coalesce("batch_id", F.lit(-1).cast("long")) != except_batch)
+    return rows.drop(*[c for c in ("batch_id", "event_date") if c != keep])

@@ -155,8 +155,6 @@ ORACLE = {
     "ingest_dedup": f"WITH {USAGE}{ENTRIES} SELECT source_id, source_line, created_at FROM entries WHERE source_id <> 'src-0'",
     "entry_by_id": f"""WITH {USAGE}{ENTRIES} SELECT id, source_id, source_line, model, token_id, key_tail, request_id
         FROM entries WHERE id = 71""",
-    "audit_status": f"""WITH {USAGE}{ENTRIES} SELECT count(DISTINCT source_path) AS tracked_files, count(*) AS indexed_rows,
-        max(created_at) AS last_created_at, max(ingested_at) AS last_ingested_at FROM entries""",
     "match_token_time": f"""WITH {USAGE}{ENTRIES} SELECT log_id, 'token_time' AS matched_by, {NOTE} AS matched_note, rank, {HIT}
         FROM timed WHERE rank = 1""",
     "match_token_time_topn": f"""WITH {USAGE}{ENTRIES} SELECT log_id, 'token_time' AS matched_by, {NOTE} AS matched_note,
