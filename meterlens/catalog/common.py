@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
+from meterlens.session import ensure_checkpoint_dir
+
 
 # Moves amounts that end exactly on half a unit off the tie, which engines round differently.
 NUDGE = 1.23456789e-10
@@ -18,3 +22,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
             for f in df.schema.fields
         ]
     )
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder next to the session's checkpoints."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}".removeprefix("file:")

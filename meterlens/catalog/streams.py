@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from meterlens import bindings as b, schemas
 from meterlens.operators import ingest, review_plan as rp
-from meterlens.session import cut_lineage, ensure_checkpoint_dir
+from meterlens.session import cut_lineage
 from meterlens.sources.audit_lines import expand_paths, read_audit_lines
 from meterlens.sources.line_plan import file_states, lines_of, plan_lines, planned_steps
 from meterlens.sources.usage import conform
@@ -18,6 +16,7 @@ from meterlens.streaming.review import reviewed, start_review, write_results
 from meterlens.streaming.store import read_table, write_days
 
 from .audit import WINDOW
+from .common import new_folder
 from .review import CONFIG, SCOPE, scorer, stored_results
 
 # Lines in a step of a scan, so that the files take several steps.
@@ -26,14 +25,9 @@ LINES_PER_STEP, LINES_PER_SCAN = 400, 3000
 RANGE_BYTES = 20_000
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder next to the session's checkpoints."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}".removeprefix("file:")
-
-
 def _written_lines(spark: SparkSession, lines: DataFrame) -> str:
     """Write audit lines as text files and return the pattern that finds them."""
-    folder = _folder(spark, "lines")
+    folder = new_folder(spark, "lines")
     lines.select("path", "value").write.partitionBy("path").text(folder)
     return f"{folder}/path=*/part-*"
 
@@ -51,20 +45,20 @@ def _scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tail(spark: SparkSession, sf: str) -> DataFrame:
-    pattern, out = _written_lines(spark, b.raw_lines(spark, sf)), _folder(spark, "tailed")
-    plans = _folder(spark, "plans")
+    pattern, out = _written_lines(spark, b.raw_lines(spark, sf)), new_folder(spark, "tailed")
+    plans = new_folder(spark, "plans")
     plan_lines(spark, pattern, plans, LINES_PER_STEP, RANGE_BYTES)
     writer = lines_of(planned_steps(spark, plans)).writeStream.format("parquet")
-    writer.option("checkpointLocation", _folder(spark, "checkpoint")).trigger(availableNow=True).start(out).awaitTermination()
+    writer.option("checkpointLocation", new_folder(spark, "checkpoint")).trigger(availableNow=True).start(out).awaitTermination()
     return _summary(spark.read.schema(schemas.RAW_LINES).parquet(out))
 
 
 def _ingested(spark: SparkSession, sf: str, pattern: str, **options) -> tuple[str, str]:
     """Stream the lines of files into an entry table; its folder and that of the plans."""
-    entries, plans = _folder(spark, "entries"), _folder(spark, "plans")
+    entries, plans = new_folder(spark, "entries"), new_folder(spark, "plans")
     options = {"zone": b.LINE_ZONE, "max_lines": LINES_PER_STEP, "split_bytes": RANGE_BYTES, "once": True, **options}
     keys = lambda: b.tokens(spark, sf)
-    start_ingest(spark, pattern, keys, entries, _folder(spark, "checkpoint"), plans, **options).awaitTermination()
+    start_ingest(spark, pattern, keys, entries, new_folder(spark, "checkpoint"), plans, **options).awaitTermination()
     return entries, plans
 
 
@@ -98,7 +92,7 @@ def _scans(spark: SparkSession, sf: str) -> DataFrame:
     pattern = _written_lines(spark, lines.repartition(3, "path").sortWithinPartitions("path", "event_id"))
     with open(expand_paths(pattern.replace("path=*", "path=f1"))[0], "a") as file:
         file.write('{"time":')
-    entries, plans, scans, checkpoint = (_folder(spark, n) for n in ("entries", "plans", "scans", "checkpoint"))
+    entries, plans, scans, checkpoint = (new_folder(spark, n) for n in ("entries", "plans", "scans", "checkpoint"))
     keys = lambda: b.tokens(spark, sf)
     for _ in range(2):
         options = {"scans_path": scans, "max_lines": LINES_PER_SCAN, "split_bytes": RANGE_BYTES, "once": True}
@@ -113,7 +107,7 @@ def _scans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream_match(spark: SparkSession, sf: str) -> DataFrame:
-    entries, matches = _folder(spark, "entries"), _folder(spark, "matches")
+    entries, matches = new_folder(spark, "entries"), new_folder(spark, "matches")
     filled = b.audit_entries(spark, sf).withColumns(
         {"body": F.lit(""), "messages": F.expr(f"cast(array() as {schemas.MESSAGES})")}
     )
@@ -124,7 +118,7 @@ def _stream_match(spark: SparkSession, sf: str) -> DataFrame:
         lambda: b.usage_logs(spark, sf),
         lambda: b.tokens(spark, sf),
         matches,
-        _folder(spark, "checkpoint"),
+        new_folder(spark, "checkpoint"),
         window=WINDOW,
         once=True,
     ).awaitTermination()
@@ -133,11 +127,11 @@ def _stream_match(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stream_review(spark: SparkSession, sf: str) -> DataFrame:
     """The review requests arrive in four batches that cut all conversations; the rows are those of one run."""
-    entries, results, final, index = (_folder(spark, name) for name in ("entries", "results", "final", "index"))
+    entries, results, final, index = (new_folder(spark, name) for name in ("entries", "results", "final", "index"))
     fields = T.StructType.fromDDL(schemas.AUDIT_ENTRIES).fields
     requests = conform(b.review_requests(spark, sf), schemas.AUDIT_ENTRIES).select(*[f.name for f in fields])
     requests = cut_lineage(requests.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(4))))
-    checkpoint = _folder(spark, "checkpoint")
+    checkpoint = new_folder(spark, "checkpoint")
     # The results of an earlier run under the same settings are there already.
     write_results(stored_results(rp.review_plan(b.review_requests(spark, sf), SCOPE)), results, -1)
     for batch in range(4):

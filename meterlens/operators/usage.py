@@ -55,7 +55,7 @@ def _count(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
 
-def _token_sums() -> list[Column]:
+def token_sums() -> list[Column]:
     """Partial sums that can be summed again; a row with one side NULL adds nothing to the total."""
     return [
         F.count("*").alias("requests"),
@@ -70,7 +70,7 @@ def _token_sums() -> list[Column]:
     ]
 
 
-def _summed_again() -> dict[str, Column]:
+def summed_again() -> dict[str, Column]:
     return {
         "request_count": _zero(F.sum("requests")),
         "success_count": _zero(F.sum("successes")),
@@ -110,13 +110,18 @@ def _summary(rows: DataFrame, extra_sums: list[str]) -> DataFrame:
     exact distinct counts then run on that table instead of on three copies of every fact row.
     """
     grouped = rows.groupBy("token_id", "user_id", "model_name").agg(
-        *_token_sums(), *[F.sum(name).alias(name) for name in extra_sums]
+        *token_sums(), *[F.sum(name).alias(name) for name in extra_sums]
     )
+    return summed_totals(grouped, extra_sums)
+
+
+def summed_totals(grouped: DataFrame, extra_sums: list[str]) -> DataFrame:
+    """One row over partial sums by key, user and model."""
     return grouped.agg(
         F.countDistinct("token_id").alias("token_count"),
         F.countDistinct("user_id").alias("user_count"),
         F.countDistinct(F.nullif(F.col("model_name"), F.lit(""))).alias("model_count"),
-        *[column.alias(name) for name, column in _summed_again().items()],
+        *[column.alias(name) for name, column in summed_again().items()],
         *[_zero(F.sum(name)).alias(name) for name in extra_sums],
     )
 
@@ -126,7 +131,6 @@ def usage_summary(logs: DataFrame, options: DataFrame | None = None, start: int
 
     Only rows whose `other` mentions cache_tokens are parsed: the text test is part of the meaning.
     """
-    rates = rates_from(options)
     rows = usage_rows(logs, start, end).select(
         "type",
         "token_id",
@@ -138,24 +142,31 @@ def usage_summary(logs: DataFrame, options: DataFrame | None = None, start: int
         "created_at",
         F.when(F.col("other").contains('"cache_tokens"'), F.col("other")).alias("other"),
     )
-    meta = F.col("meta")
-    prompt = _zero(F.col("prompt_tokens"))
-    adjusted = (
+    rows = with_billing_meta(rows).withColumns(
+        {"cache_read_tokens": F.col("meta.cache_read_tokens"), "input_adjustment": input_adjustment()}
+    )
+    return finished_summary(_summary(rows, ["cache_read_tokens", "input_adjustment"]), options)
+
+
+def input_adjustment() -> Column:
+    """What the cache fields in `meta` add to a row's input tokens."""
+    meta, prompt = F.col("meta"), _zero(F.col("prompt_tokens"))
+    return (
         F.when(meta["input_tokens_total"] > prompt, meta["input_tokens_total"] - prompt)
         .when(meta["anthropic_semantic"], meta["cache_read_tokens"] + meta["cache_write_tokens"])
         .otherwise(F.lit(0).cast("long"))
     )
-    rows = with_billing_meta(rows).withColumns(
-        {"cache_read_tokens": meta["cache_read_tokens"], "input_adjustment": adjusted}
-    )
-    totals = _summary(rows, ["cache_read_tokens", "input_adjustment"])
+
+
+def finished_summary(totals: DataFrame, options: DataFrame | None) -> DataFrame:
+    """The summary's columns from its totals."""
     input_tokens = F.col("input_tokens") + F.col("input_adjustment")
     rate = F.least(F.greatest(F.col("cache_read_tokens") / F.col("input_tokens") * 100, F.lit(0.0)), F.lit(100.0))
     return (
         totals.withColumn("input_tokens", input_tokens)
         .withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
         .withColumn("cache_rate", F.when(F.col("input_tokens") > 0, rate).otherwise(F.lit(0.0)))
-        .withColumn("quota_cny", quota_to_cny(F.col("quota"), rates))
+        .withColumn("quota_cny", quota_to_cny(F.col("quota"), rates_from(options)))
         .select(*SUMMARY_COLUMNS)
     )
 
@@ -215,13 +226,20 @@ def key_usage(
         rows = rows.join(names, "token_id", "left").filter(
             tx.matches_any(query, F.col("_name"), F.col("token_name"), F.col("username"), F.col("model_name"))
         )
-    per_name = rows.groupBy("token_id", "model_name", "token_name", "user_id", "username").agg(*_token_sums())
+    per_name = rows.groupBy("token_id", "model_name", "token_name", "user_id", "username").agg(*token_sums())
+    return summed_keys(per_name, tokens, options, sort, limit, show_full_keys)
+
+
+def summed_keys(
+    per_name: DataFrame, tokens: DataFrame, options: DataFrame | None, sort: str, limit: int, show_full_keys: bool
+) -> DataFrame:
+    """Usage by key from partial sums by key, model and the names in the logs."""
     per_key = per_name.groupBy("token_id").agg(
         F.max("token_name").alias("token_name"),
         _zero(F.max("user_id")).alias("user_id"),
         F.coalesce(F.max("username"), F.lit("")).alias("username"),
         F.countDistinct(F.nullif(F.col("model_name"), F.lit(""))).alias("model_count"),
-        *[column.alias(name) for name, column in _summed_again().items()],
+        *[column.alias(name) for name, column in summed_again().items()],
     )
     keys = tokens.select(F.col("id").alias("token_id"), "name", "key")
     full_key = F.coalesce(F.col("key"), F.lit("")) if show_full_keys else F.lit("")
@@ -286,7 +304,7 @@ def _model_name() -> Column:
     return tx.first_nonempty(F.col("model_name"), F.lit("unknown"))
 
 
-def _model_order() -> list[Column]:
+def model_order() -> list[Column]:
     return [F.desc("total_tokens"), F.desc("request_count"), F.asc("model_name")]
 
 
@@ -296,7 +314,7 @@ def model_usage(
     """Usage and cost by model for one key, largest first."""
     rows = usage_rows(logs.filter(F.col("token_id") == token_id), start, end)
     billed = _billed(rows, options).withColumn("model_name", _model_name())
-    return _model_totals(billed, ["model_name"]).orderBy(*_model_order()).limit(limit_or(limit, 500, 100))
+    return _model_totals(billed, ["model_name"]).orderBy(*model_order()).limit(limit_or(limit, 500, 100))
 
 
 def model_usage_by_key(logs: DataFrame, options: DataFrame | None = None, *, start: int = 0, end: int = 0) -> DataFrame:
