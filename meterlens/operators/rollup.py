@@ -188,7 +188,7 @@ def _models(partials: DataFrame, keys: list[str], options: DataFrame | None) ->
         return F.coalesce(F.sum(name), zero)
 
     def priced(name: str) -> Column:
-        return quota_to_cny(F.sum(name), rates)
+        return quota_to_cny(F.coalesce(F.sum(name), F.lit(0)), rates)
 
     rows = partials.withColumn("model_name", tx.first_nonempty(F.col("model_name"), F.lit("unknown")))
     return rows.groupBy(*keys).agg(
