@@ -242,15 +242,14 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         # Few edges need few tasks, and their smallest neighbours fit into every task; more are joined by a shuffle.
-        tasks = 1 + before[0] // EDGES
         few = F.broadcast if before[0] <= EDGES else lambda df: df
-        edges = edges.coalesce(tasks)
+        edges = edges.coalesce(1 + before[0] // EDGES)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = star(both, few).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        large = large.filter("a <> b").distinct().coalesce(tasks)
+        large = large.filter("a <> b").distinct()
         small = star(large, few)
         small = small.select(F.col("b").alias("a"), F.col("least").alias("b")).union(small.select("a", "least"))
-        edges = cut(small.filter("a <> b").distinct().coalesce(tasks))
+        edges = cut(small.filter("a <> b").distinct())
         after = state(edges)
         if after == before:
             break
