@@ -119,6 +119,14 @@ def _content_text(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _log_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The messages of the entries that belong to one log."""
+    asked = F.concat(F.lit('{"messages":[{"role":"system","content":" be brief "},{"content":"ask '), F.col("source_line"), F.lit('"}]}'))
+    entries = b.audit_entries(spark, sf).withColumn("body", asked)
+    found = log_views.log_audit(b.usage_logs(spark, sf), b.tokens(spark, sf), entries, b.stored_matches(spark, sf), 2, WINDOW)
+    return log_views.audit_messages(found)
+
+
 QUERIES = {
     "parse_audit": _fields(
         "created_at", "has_timestamp", "method", "request_path", "model", "request_id", "user_agent"
@@ -155,6 +163,7 @@ QUERIES = {
         log_views.LogFilter(page_size=500),
         WINDOW,
     ).select("id", "key_name", "client_name", "client_version", "client_variant", "user_agent"),
+    "log_audit_messages": _log_messages,
     "log_audit": lambda spark, sf: log_views.log_audit(
         b.usage_logs(spark, sf),
         b.tokens(spark, sf),

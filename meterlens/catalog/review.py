@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from meterlens import bindings as b
+from meterlens import bindings as b, schemas
 from meterlens.functions.decisions import BLOCK, PASS, REVIEW, reply_text, with_decision
 from meterlens.operators import review_plan as rp, review_results as rr, review_score as rs
 from meterlens.operators.review_plan import ReviewScope
-from meterlens.plans.review_run import run_review
+from meterlens.plans.review_run import run_review, write_plan
 from meterlens.session import cut_lineage
 
-from .common import rounded
+from .common import new_folder, rounded
 
 ALL_KEYS, ALL_MODELS = [5, 4, 3, 2, 1, 0, -1], [" gpt-test", "other-model", ""]
 END = 2_000_000_000
@@ -170,6 +170,16 @@ def _runs(spark: SparkSession, sf: str) -> DataFrame:
     return rr.recent_runs(runs, 100)
 
 
+def _plan_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Two jobs' plans are stored, then that of one is replaced by a smaller one; the other stays."""
+    plan, path = rp.review_plan(b.review_requests(spark, sf), SCOPE), new_folder(spark, "plans")
+    write_plan(plan, path)
+    write_plan(plan.withColumn("job_id", F.lit(2).cast("long")), path)
+    write_plan(plan.filter("content_hash <> ''"), path)
+    stored = spark.read.schema(f"{schemas.REVIEW_PLAN}, job_id long").parquet(path)
+    return stored.select("job_id", "audit_entry_id", "parent_entry_id", "delta_start", "content_hash")
+
+
 QUERIES = {
     "message_hashes": _hashes,
     "model_options": lambda spark, sf: rp.model_options(b.review_requests(spark, sf), ALL_KEYS, 1, END),
@@ -179,6 +189,7 @@ QUERIES = {
     ),
     "review_plan": _plan,
     "review_plan_anchored": lambda spark, sf: _plan(spark, sf, LATER_SCOPE).drop("content"),
+    "review_plan_sink": _plan_sink,
     "review_plan_totals": lambda spark, sf: rp.plan_totals(_plan(spark, sf)),
     "review_cache_hits": lambda spark, sf: rs.cache_hits(
         _plan(spark, sf), stored_results(_plan(spark, sf)), CONFIG

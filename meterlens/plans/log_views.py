@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from meterlens.functions.messages import with_messages
 from meterlens.operators import matching, usage
 from meterlens.operators.filters import limit_or
 from meterlens.operators.ranking import page_of
@@ -48,3 +49,9 @@ def log_audit(
         "log_id", "rank", "matched_by", "matched_note", F.col("entry_id").alias("id")
     )
     return found.join(entries, "id").orderBy("rank")
+
+
+def audit_messages(found: DataFrame) -> DataFrame:
+    """Role and content of each message in the bodies of `log_audit`'s entries; an entry without messages gives no row."""
+    rows = with_messages(found).select("log_id", "rank", "id", F.posexplode("messages").alias("position", "message"))
+    return rows.select("log_id", "rank", "id", "position", "message.role", "message.content")

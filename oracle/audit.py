@@ -116,8 +116,8 @@ ORACLE = {
         CASE shape WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'claude-3' ELSE '' END AS model,
         CASE shape WHEN 0 THEN 'a,' || line_no WHEN 2 THEN 'req-' || line_no WHEN 3 THEN 't' || line_no ELSE '' END
           AS request_id,
-        CASE shape WHEN 0 THEN 'codex-tui/0.135.0 (Mac OS 26.2.0; arm64)'
-          WHEN 1 THEN 'claude-cli/2.1.170 (external, cli, agent-sdk/0.2.123)'
+        CASE shape WHEN 0 THEN 'codex-tui/0.98.4 (Linux 6.8.1; x86_64)'
+          WHEN 1 THEN 'claude-cli/1.7.33 (external, cli, agent-sdk/0.4.8)'
           WHEN 4 THEN 'Mozilla Claude-VSCode CLAUDE-CLI/1.0;x' ELSE '' END AS user_agent
         FROM lines WHERE is_entry""",
     "parse_timestamp": f"""WITH {USAGE}{LINES} SELECT line_no, CASE WHEN shape = 7 THEN 0 ELSE sent END AS created_at,
@@ -125,13 +125,13 @@ ORACLE = {
     "parse_api_key": f"WITH {USAGE}{LINES} SELECT line_no, {KEY} AS api_key FROM lines WHERE is_entry",
     "parse_client": f"""WITH {USAGE}{LINES} SELECT line_no,
         CASE shape WHEN 0 THEN 'codex' WHEN 1 THEN 'claude' WHEN 4 THEN 'claude' ELSE 'unknown' END AS client_name,
-        CASE shape WHEN 0 THEN '0.135.0' WHEN 1 THEN '2.1.170' WHEN 4 THEN '1.0' ELSE '' END AS client_version,
+        CASE shape WHEN 0 THEN '0.98.4' WHEN 1 THEN '1.7.33' WHEN 4 THEN '1.0' ELSE '' END AS client_version,
         CASE shape WHEN 0 THEN 'tui' WHEN 1 THEN 'cli-agent' WHEN 4 THEN 'vscode' ELSE '' END AS client_variant
         FROM lines WHERE is_entry""",
     "parse_headers": f"""WITH {USAGE}{LINES}
         SELECT line_no, 'authorization' AS name, 'Bearer sk-' || key AS text FROM lines WHERE shape = 0
         UNION ALL SELECT line_no, 'x-request-id', 'a,' || line_no FROM lines WHERE shape = 0
-        UNION ALL SELECT line_no, 'user-agent', 'claude-cli/2.1.170 (external, cli, agent-sdk/0.2.123)' FROM lines
+        UNION ALL SELECT line_no, 'user-agent', 'claude-cli/1.7.33 (external, cli, agent-sdk/0.4.8)' FROM lines
           WHERE shape = 1
         UNION ALL SELECT line_no, 'x-api-key', key FROM lines WHERE shape = 1
         UNION ALL SELECT line_no, 'x-api-key', '[REDACTED]' FROM lines WHERE shape = 2
@@ -172,6 +172,9 @@ ORACLE = {
         SELECT p.id, key_name, coalesce(client_name, '') AS client_name, coalesce(client_version, '') AS client_version,
           coalesce(client_variant, '') AS client_variant, coalesce(user_agent, '') AS user_agent
         FROM page p LEFT JOIN (SELECT * FROM hit QUALIFY tier = min(tier) OVER (PARTITION BY log_id)) h ON h.log_id = p.id""",
+    "log_audit_messages": f"""WITH {USAGE}{ENTRIES}{TIERED.replace('<= 3', '<= 10')} SELECT log_id, rank, entry_id AS id, position, role,
+        CASE position WHEN 0 THEN 'be brief' ELSE 'ask ' || source_line END AS content
+        FROM chosen JOIN entries ON entries.id = entry_id, (VALUES (0, 'system'), (1, 'message')) m(position, role) WHERE log_id = 2""",
     "log_audit": f"""WITH {USAGE}{ENTRIES}{TIERED.replace('<= 3', '<= 10')} SELECT log_id, rank, matched_by, matched_note,
         entry_id AS id, model, source_path, source_line FROM chosen JOIN entries ON entries.id = entry_id
         WHERE log_id = 2""",

@@ -168,8 +168,8 @@ ORACLE = {
         GROUP BY 1""",
     "quota_attach": f"""{P}, m AS (SELECT *, s % 4 IN (0, 1) AS hit, s % 5 = 4 AS bad FROM p WHERE s % 10 <> 9)
         SELECT s AS account_id, CASE WHEN hit THEN CASE WHEN bad THEN '' ELSE 'u' || s END END AS quota_username,
-          CASE WHEN hit THEN CASE WHEN bad THEN 0 ELSE 245047897 + s * 1000003 END END AS quota,
-          round(CASE WHEN hit THEN CASE WHEN bad THEN 0 ELSE round((245047897 + s * 1000003) / 500000 * 100) / 100 END END, 6)
+          CASE WHEN hit THEN CASE WHEN bad THEN 0 ELSE 318200450 + s * 1000003 END END AS quota,
+          round(CASE WHEN hit THEN CASE WHEN bad THEN 0 ELSE round((318200450 + s * 1000003) / 500000 * 100) / 100 END END, 6)
             AS balance_cny,
           round(CASE WHEN hit THEN CASE WHEN bad THEN 0 ELSE 2409.8 END END, 6) AS used_cny,
           CASE WHEN hit THEN CASE WHEN bad THEN 0 ELSE s END END AS request_count,

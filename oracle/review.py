@@ -110,6 +110,8 @@ ORACLE = {
     "review_anchors": f"WITH {LATER} SELECT * FROM anchors",
     "review_plan": f"WITH {PLAN} SELECT * FROM plan",
     "review_plan_anchored": f"WITH {LATER} SELECT * EXCLUDE (content) FROM plan",
+    "review_plan_sink": f"""WITH {PLAN} SELECT cast(2 AS BIGINT) AS job_id, audit_entry_id, parent_entry_id, delta_start, content_hash FROM plan
+        UNION ALL SELECT 1, audit_entry_id, parent_entry_id, delta_start, content_hash FROM plan WHERE content_hash <> ''""",
     "review_plan_totals": f"""WITH {PLAN} SELECT count(*) AS total_entries, count(*) FILTER (content_hash <> '') AS review_units,
         cast(coalesce(sum(content_chars) FILTER (content_hash <> ''), 0) AS BIGINT) AS estimated_chars FROM plan""",
     "review_cache_hits": f"""{RUN} SELECT audit_entry_id, content_hash, known AS cached_before,

@@ -20,8 +20,8 @@ def test_percent(spark):
 
 
 def test_external_quota_in_cny(spark):
-    frame = spark.createDataFrame([(245047897,), (1204898553,)], "v long").select(qf.quota_cny(F.col("v")).alias("c"))
-    assert [r.c for r in frame.collect()] == [490.1, 2409.8]
+    frame = spark.createDataFrame([(318200450,), (96321750,)], "v long").select(qf.quota_cny(F.col("v")).alias("c"))
+    assert [r.c for r in frame.collect()] == [636.4, 192.64]
 
 
 def test_sub2api_accounts(spark):
@@ -39,8 +39,8 @@ def test_sub2api_accounts(spark):
     assert len(windows) == 2 and windows["7d 预估"].resets_at == ""
     states = {s.snapshot: s.error for s in q.sub2api_snapshots(frame).collect()}
     assert states == {0: "", 1: "accounts code 7: no", 2: "decode accounts"}
-    quotas = q.external_quota(docs(spark, {"success": True, "data": {"id": 5, "quota": 245047897}}))
-    assert q.attach_quota(accounts, quotas).first().balance_cny == 490.1
+    quotas = q.external_quota(docs(spark, {"success": True, "data": {"id": 5, "quota": 318200450}}))
+    assert q.attach_quota(accounts, quotas).first().balance_cny == 636.4
     assert q.attach_quota(accounts, quotas, account_id=8).first().balance_cny is None
 
 
@@ -99,7 +99,7 @@ def test_pool(spark):
 
 
 def test_xfyun_limit(spark):
-    row = {"name": "p", "codingPlanUsageDTO": {"packageLimit": 90000, "packageUsage": 4258, "packageLeft": 85742}}
+    row = {"name": "p", "codingPlanUsageDTO": {"packageLimit": 40000, "packageUsage": 2350, "packageLeft": 37650}}
     frame = docs(
         spark,
         {"code": 0, "succeed": True, "data": {"rows": [row]}},
@@ -109,7 +109,7 @@ def test_xfyun_limit(spark):
     accounts = q.xfyun_accounts(frame)
     assert {a.account_id: a.status for a in accounts.collect()} == {1: "ok", 2: "expired"}
     window = q.xfyun_windows(accounts).first()
-    assert window.remaining_percent == pytest.approx(95.27, abs=0.05) and window.remaining_value == 85742
+    assert window.remaining_percent == pytest.approx(94.125, abs=0.05) and window.remaining_value == 37650
 
 
 def test_balances_stay_text(spark):
