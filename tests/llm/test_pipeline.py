@@ -20,7 +20,7 @@ def test_stages_are_registered():
 
     names = set(entry.queries())
     assert {"pipeline", *queries.QUERIES} <= names
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_run_equals_brute_force(spark):
