@@ -8,7 +8,7 @@ from meterlens import bindings as b, schemas
 from meterlens.operators import ingest, review_plan as rp
 from meterlens.session import cut_lineage
 from meterlens.sources.audit_lines import expand_paths, read_audit_lines
-from meterlens.sources.line_plan import file_states, lines_of, plan_lines, planned_steps
+from meterlens.sources.line_plan import file_states, lines_of, plan_lines, planned_steps, steps_per_batch
 from meterlens.sources.usage import conform
 from meterlens.streaming.ingest import SCANS, ingest_batch, start_ingest
 from meterlens.streaming.match import current_matches, start_matching
@@ -47,7 +47,7 @@ def _scan(spark: SparkSession, sf: str) -> DataFrame:
 def _tail(spark: SparkSession, sf: str) -> DataFrame:
     pattern, out = _written_lines(spark, b.raw_lines(spark, sf)), new_folder(spark, "tailed")
     plans = new_folder(spark, "plans")
-    plan_lines(spark, pattern, plans, LINES_PER_STEP, RANGE_BYTES)
+    plan_lines(spark, pattern, plans, LINES_PER_STEP, RANGE_BYTES, steps_per_file=steps_per_batch(LINES_PER_STEP))
     writer = lines_of(planned_steps(spark, plans)).writeStream.format("parquet")
     writer.option("checkpointLocation", new_folder(spark, "checkpoint")).trigger(availableNow=True).start(out).awaitTermination()
     return _summary(spark.read.schema(schemas.RAW_LINES).parquet(out))

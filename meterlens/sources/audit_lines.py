@@ -19,8 +19,12 @@ from meterlens import schemas
 
 FORMAT = "audit_lines"
 SPLIT_BYTES = 128 << 20
+# Small splits share a task: as many as make up a two-hundredth of all bytes, at most `SPLIT_BYTES`.
+TASKS = 200
 MAX_LINES_PER_TRIGGER = 50_000
 BATCH_ROWS = 4096
+# Lines of a split that stay together when they are numbered.
+PART_LINES = 50_000
 ARROW_SCHEMA = pa.schema(
     [
         ("path", pa.string()),
@@ -59,7 +63,7 @@ def source_id(path: str, identity: str, generation: int) -> str:
 
 
 @dataclass
-class LineRange(InputPartition):
+class LineRange:
     """Bytes of one file, which may start inside a line."""
 
     path: str
@@ -70,6 +74,26 @@ class LineRange(InputPartition):
     count_only: bool = False
 
 
+@dataclass
+class LineRanges(InputPartition):
+    """Ranges that one task reads one after another."""
+
+    ranges: list[LineRange]
+
+
+def tasks_of(ranges: list[LineRange]) -> list[LineRanges]:
+    """The ranges in order, put together until they are worth a task."""
+    worth = min(SPLIT_BYTES, sum(r.end - r.start for r in ranges) // TASKS)
+    tasks, held = [], 0
+    for part in ranges:
+        if not tasks or held + part.end - part.start > worth:
+            tasks.append(LineRanges([]))
+            held = 0
+        tasks[-1].ranges.append(part)
+        held += part.end - part.start
+    return tasks
+
+
 def read_range(part: LineRange) -> Iterator[pa.RecordBatch]:
     """The complete lines that begin inside the range; an unfinished last line is left for later."""
     rows: list[tuple] = []
@@ -125,7 +149,7 @@ class AuditLinesReader(DataSourceReader):
         self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
         self.count_only = options.get("countOnly", "false").lower() == "true"
 
-    def partitions(self) -> list[LineRange]:
+    def partitions(self) -> list[LineRanges]:
         parts = []
         for path in expand_paths(self.paths):
             identity, size = file_id(path)
@@ -133,10 +157,11 @@ class AuditLinesReader(DataSourceReader):
             for number, start in enumerate(range(0, size, self.split_bytes)):
                 end = min(start + self.split_bytes, size)
                 parts.append(LineRange(path, source, start, end, number, self.count_only))
-        return parts
+        return tasks_of(parts)
 
-    def read(self, partition: LineRange) -> Iterator[pa.RecordBatch]:
-        return read_range(partition)
+    def read(self, partition: LineRanges) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges:
+            yield from read_range(part)
 
 
 def register(spark: SparkSession) -> None:
@@ -147,7 +172,8 @@ def read_audit_lines(spark: SparkSession, paths: str, split_bytes: int = SPLIT_B
     """All complete lines with their line numbers.
 
     A split does not know how many lines come before it, so the lines of every split are counted first; the counts,
-    one row per split, turn the position inside the split into the line number.
+    one row per split, turn the position inside the split into the line number. A split of many lines meets its count in
+    parts, so that what follows does not run in one task a split.
     """
     register(spark)
     reader = spark.read.format(FORMAT).option("path", paths).option("splitBytes", split_bytes)
@@ -157,10 +183,12 @@ def read_audit_lines(spark: SparkSession, paths: str, split_bytes: int = SPLIT_B
         "path",
         "split",
         F.coalesce(F.sum("split_line").over(earlier), F.lit(0).cast("long")).alias("_before"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("split_line") / PART_LINES))).alias("_part"),
     )
     lines = spark.read.format(FORMAT).option("path", paths).option("splitBytes", split_bytes).load()
     return (
-        lines.join(firsts, ["path", "split"])
+        lines.withColumn("_part", F.floor(F.col("split_line") / PART_LINES))
+        .join(firsts, ["path", "split", "_part"])
         .withColumn("line_no", F.col("_before") + F.col("split_line") + 1)
         .select(*[field.name for field in ARROW_SCHEMA])
     )

@@ -3,9 +3,9 @@
 A scan looks at the files' sizes, has tasks count the line ends of the new bytes range by range, and sums the counts up. The
 driver sees one row a file and one a range; it opens no file. A step of the plan takes at most a given number of lines over the
 files in sorted order, and cuts a range where it has to: a row of the plan is (file, first byte of a range, lines to skip, lines
-to take). The states of all files and the steps of a scan are written as one file first, and then each step as a file of its own,
-which Spark's file source picks up one by one. So a scan that was broken off is published in full by the next one, and a restart
-needs nothing but this folder.
+to take). The states of all files and the steps of a scan are written as one file first, and then each step, or each so many steps
+in a row, as a file of its own, which Spark's file source picks up one by one. So a scan that was broken off is published in full by
+the next one, and a restart needs nothing but this folder.
 """
 
 from __future__ import annotations
@@ -29,17 +29,20 @@ from meterlens.sources.audit_lines import (
     source_id,
 )
 
-#: Most tasks of a count.
-COUNT_TASKS = 10_000
+#: Bytes that a task counts, at least where files are large.
+COUNT_BYTES = 32 << 20
 CHUNK = 8 << 20
+#: Lines that a micro-batch may take. A backlog of many small steps then needs few batches.
+LINES_PER_BATCH = 1_000_000
 
 ROWS = "path string, identity string, source_id string, split long, start long, skip long, take long, first_line long"
 FIGURES = "matched_files long, scanned_files long, unchanged_files long, unfinished_lines long, line_limit_hit boolean"
 FIGURE_NAMES = [c.split()[0] for c in FIGURES.split(", ")]
-#: A step's file: its rows, and one with the figures and no path.
+#: Rows of a step: those of its ranges, and one with the figures and no path.
 STEP = f"scan long, step long, planned_at double, {FIGURES}, {ROWS}"
 STATES = "path string, identity string, generation int, size long, byte_offset long, line_no long, seen_at long"
-SNAPSHOT = f"scan long, first_step long, {STATES}, steps array<struct<figures struct<{FIGURES}>, rows array<struct<{ROWS}>>>>"
+STEPS = f"steps array<struct<figures struct<{FIGURES}>, rows array<struct<{ROWS}>>>>"
+SNAPSHOT = f"scan long, first_step long, {STATES}, {STEPS}, steps_per_file long"
 
 
 @dataclass(frozen=True)
@@ -115,12 +118,15 @@ def counted(spark: SparkSession, files: list[FileState], split_bytes: int) -> di
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines, last = count_lines(path, start, end)
-                columns = [pa.array([path]), *(pa.array([x], pa.int64()) for x in (start, lines, last))]
-                yield pa.RecordBatch.from_arrays(columns, ["path", "start", "lines", "last"])
-
-    table = spark.createDataFrame(ranges, "path string, start long, end long").repartition(min(len(ranges), COUNT_TASKS))
+            paths, starts, ends = (c.to_pylist() for c in batch.columns)
+            found = [count_lines(*part) for part in zip(paths, starts, ends, strict=True)]
+            columns = [pa.array(x, pa.int64()) for x in (starts, [n for n, _ in found], [last for _, last in found])]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *columns], ["path", "start", "lines", "last"])
+
+    # Ranges may be far smaller than what is worth a task.
+    size = sum(end - start for _, start, end in ranges)
+    tasks = min(len(ranges), max(4 * spark.sparkContext.defaultParallelism, -(-size // COUNT_BYTES)))
+    table = spark.createDataFrame(ranges, "path string, start long, end long").repartition(tasks)
     found: dict[str, list[tuple[int, int]]] = {}
     rows = table.mapInArrow(run, "path string, start long, lines long, last long").filter("lines > 0").collect()
     for r in sorted(rows, key=lambda r: (r["path"], r["start"])):
@@ -221,20 +227,22 @@ def _known(rows: list[Row]) -> dict[str, FileState]:
 
 
 def _publish(spark: SparkSession, folder: str, rows: list[Row]) -> None:
-    """Write the steps of a snapshot that are not there yet, each as one file, in order."""
+    """Write the steps of a snapshot that are not there yet, in order; a file has as many as the snapshot says."""
+    names = [c.split()[0] for c in STEP.split(", ")]
     for r in rows:
-        for k, step in enumerate(r["steps"] or ()):
-            number = r["first_step"] + k
-            path = f"{folder}/steps/{number:012d}"
+        steps, size = r["steps"] or (), r["steps_per_file"] or 1
+        for first in range(0, len(steps), size):
+            path = f"{folder}/steps/{r['first_step'] + first:012d}"
             try:
                 if not spark.read.schema(STEP).json(path).isEmpty():
                     continue
             except AnalysisException as error:
                 if error.getCondition() != "PATH_NOT_FOUND":
                     raise
-            head = {"scan": r["scan"], "step": number, "planned_at": float(r["seen_at"])}
-            out = [{**head, **step["figures"].asDict()}, *({**head, **x.asDict()} for x in step["rows"])]
-            names = [c.split()[0] for c in STEP.split(", ")]
+            out = []
+            for number, step in enumerate(steps[first : first + size], r["first_step"] + first):
+                head = {"scan": r["scan"], "step": number, "planned_at": float(r["seen_at"])}
+                out += [{**head, **step["figures"].asDict()}, *({**head, **x.asDict()} for x in step["rows"])]
             table = spark.createDataFrame([tuple(x.get(n) for n in names) for x in out], STEP)
             table.coalesce(1).write.mode("overwrite").json(path)
 
@@ -246,10 +254,12 @@ def plan_lines(
     max_lines: int = MAX_LINES_PER_TRIGGER,
     split_bytes: int = SPLIT_BYTES,
     idle: bool = True,
+    steps_per_file: int = 1,
 ) -> int:
     """Plan all complete lines that no scan has planned yet, and give the number of steps.
 
     A file that is gone keeps its state. With `idle` a scan that finds nothing new is a step without lines, else none.
+    `steps_per_file` steps go into one file and so into one micro-batch.
     """
     rows = last_snapshot(spark, folder)
     _publish(spark, folder, rows)
@@ -266,11 +276,11 @@ def plan_lines(
     met = {f.path for f in after}
     before = {r["path"]: r["seen_at"] for r in rows}
     table = [
-        (scan, first, f.path, f.identity, f.generation, f.size, f.byte_offset, f.line_no, now if f.path in met else before[f.path], None)
+        (scan, first, f.path, f.identity, f.generation, f.size, f.byte_offset, f.line_no, now if f.path in met else before[f.path], None, None)
         for f in states.values()
     ]
     planned = [{"figures": {"matched_files": len(files), **s.figures()}, "rows": s.rows} for s in steps]
-    table.append((scan, first, None, None, None, None, None, None, now, planned))
+    table.append((scan, first, None, None, None, None, None, None, now, planned, steps_per_file))
     snapshot = spark.createDataFrame(table, SNAPSHOT)
     snapshot.coalesce(1).write.mode("overwrite").parquet(_slot(folder, scan))
     _publish(spark, folder, [r for r in last_snapshot(spark, folder) if r["path"] is None])
@@ -304,20 +314,28 @@ def read_planned(path: str, identity: str, source: str, split: int, start: int,
         yield lines_batch(rows)
 
 
-def lines_of(plan: DataFrame) -> DataFrame:
-    """The lines of a plan's rows, each range by one task."""
+def lines_of(plan: DataFrame, with_step: bool = False) -> DataFrame:
+    """The lines of a plan's rows, each range by one task; `with_step` adds the number of the step that takes the line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield from read_planned(*row)
+            for step, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for lines in read_planned(*row):
+                    yield lines.append_column("step", pa.array([step] * len(lines), pa.int64())) if with_step else lines
 
     names = [c.split()[0] for c in ROWS.split(", ")]
-    rows = plan.filter(F.col("path").isNotNull()).select(*names).repartition("path", "start", "skip")
-    return rows.mapInArrow(run, schemas.RAW_LINES)
+    # The plan is tiny and what it names is not: the number of tasks must not follow from its size.
+    tasks = 2 * plan.sparkSession.sparkContext.defaultParallelism
+    rows = plan.filter(F.col("path").isNotNull()).select("step", *names).repartition(tasks, "path", "start", "skip")
+    return rows.mapInArrow(run, f"{schemas.RAW_LINES}, step long" if with_step else schemas.RAW_LINES)
+
+
+def steps_per_batch(max_lines: int) -> int:
+    """How many steps of at most `max_lines` lines a micro-batch takes."""
+    return max(1, LINES_PER_BATCH // max(1, max_lines))
 
 
 def planned_steps(spark: SparkSession, folder: str) -> DataFrame:
-    """The steps as a stream, one in each micro-batch."""
+    """The files of steps as a stream, one in each micro-batch."""
     stream = spark.readStream.schema(STEP).option("recursiveFileLookup", "true")
     return stream.option("maxFilesPerTrigger", 1).json(f"{folder}/steps")
