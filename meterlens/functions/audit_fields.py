@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import loose_json as lj
+from .stage import pinned
 from .text import blank_to_null, trim
 from .timestamps import parse_timestamp
 
@@ -103,7 +104,10 @@ def _header_entries(value: Column) -> Column:
 
 
 def with_headers(df: DataFrame, members: str, out: str = "headers") -> DataFrame:
-    """Add the header map: all header objects merged, names in lower case, the last one wins."""
+    """Add the header map: all header objects merged, names in lower case, the last one wins.
+
+    The map is pinned: exploding it filters by its size, which would merge all headers again for each line.
+    """
     entries = F.flatten(members_by_alias(members, "headers", _header_entries))
     names = F.array_distinct(F.transform("_header_entries", lambda e: e["name"]))
     last = F.transform(
@@ -113,7 +117,9 @@ def with_headers(df: DataFrame, members: str, out: str = "headers") -> DataFrame
         ),
     )
     return (
-        df.withColumn("_header_entries", entries).withColumn(out, F.map_from_entries(last)).drop("_header_entries")
+        df.withColumn("_header_entries", pinned(entries))
+        .withColumn(out, pinned(F.map_from_entries(last)))
+        .drop("_header_entries")
     )
 
 
