@@ -16,8 +16,10 @@ from .ranking import top_per_group
 
 DEFAULT_WINDOW = 120
 ONE_DAY = 86400
-# Width in windows of the time chunks in which neighbours are searched.
-CHUNK_WINDOWS = 30
+# Width in windows of the time chunks in which neighbours are searched: what a task sorts at once for the hottest key.
+CHUNK_WINDOWS = 6
+# Logs and entries for each task that searches neighbours.
+ROWS_PER_TASK = 50_000
 MAX_HITS, DEFAULT_HITS = 50, 10
 # Logs of one page; only pages are small enough to be broadcast.
 MAX_PAGE = 500
@@ -98,6 +100,11 @@ def _hit_lists(ranked: DataFrame, keys: list[str], rank: str = "rank") -> DataFr
     return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
 
 
+def search_tasks(rows: int, least: int) -> int:
+    """Tasks of a search over so many rows: more rows take more tasks, not larger ones."""
+    return max(least, -(-rows // ROWS_PER_TASK))
+
+
 PROBE = ["token_id", "key_tail", "model", "centre", "shifted"]
 # Streams in which neighbours are searched: all entries of an identity, and those of one model.
 ANY_MODEL = "*"
@@ -116,11 +123,12 @@ def _seen_once() -> Column:
     return (F.col("stream") != ANY_MODEL) | (_model_mismatch() == 1) | (F.col("model") == "")
 
 
-def _neighbours(probes: DataFrame, hits: DataFrame, window: int, n: int) -> DataFrame:
+def _neighbours(probes: DataFrame, hits: DataFrame, window: int, n: int, tasks: int) -> DataFrame:
     """For every probe the `n` hits at or before its centre and the `n` after it, per identity and stream.
 
     Both sides are cut into time chunks; a hit near a chunk border is also put into the neighbouring chunk. Within a
-    stream and second only `n` hits can matter, so a chunk holds a bounded number of rows however hot the key is.
+    stream and second only `n` hits can matter, so a chunk holds a bounded number of rows however hot the key is. The
+    chunks are dealt to `tasks` tasks, since each sorts all that it gets.
     """
     width = window * CHUNK_WINDOWS
     group = ["identity", "stream", "chunk"]
@@ -128,8 +136,9 @@ def _neighbours(probes: DataFrame, hits: DataFrame, window: int, n: int) -> Data
     streamed = hits.filter(F.col("has_timestamp") & F.col("identity").isNotNull()).withColumn(
         "stream", F.explode(_streams(F.col("entry_model")))
     )
+    second = ["identity", "stream", "entry_created_at"]
     kept = top_per_group(
-        streamed, ["identity", "stream", "entry_created_at"], [F.desc("entry_id")], n, "_second_rank"
+        streamed.repartition(tasks, *second), second, [F.desc("entry_id")], n, "_second_rank"
     ).drop("_second_rank")
     chunked = kept.withColumn(
         "chunk",
@@ -155,7 +164,7 @@ def _neighbours(probes: DataFrame, hits: DataFrame, window: int, n: int) -> Data
     ).unionByName(
         asked.select(*group, "t", F.lit(1).alias("is_probe"), F.struct(*PROBE).alias("probe")),
         allowMissingColumns=True,
-    )
+    ).repartition(tasks, *group)
     rows_so_far = (Window.unboundedPreceding, Window.currentRow)
     rising = Window.partitionBy(*group).orderBy("t", "is_probe", "tie").rowsBetween(*rows_so_far)
     falling_ties = Window.partitionBy(*group).orderBy("t", "is_probe", F.desc("tie")).rowsBetween(*rows_so_far)
@@ -183,13 +192,15 @@ def nearest_lists(asked: DataFrame, entries: DataFrame, window: int, n: int) ->
     """
     usable = asked.filter((F.col("token_id") > 0) & (F.col("created_at") > 0) & (F.col("centre") > 0))
     probes = usable.select(*PROBE).distinct()
-    near = _neighbours(probes, _as_hits(entries), window, n).filter(
+    least = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = search_tasks(usable.count() + entries.filter("has_timestamp").count(), least)
+    near = _neighbours(probes, _as_hits(entries), window, n, tasks).filter(
         (F.abs(F.col("entry_created_at") - F.col("centre")) <= window) & _seen_once()
     )
     mismatch = _model_mismatch()
     later_first = F.when(F.col("shifted") & (F.col("entry_created_at") > F.col("centre")), 0).otherwise(1)
     order = [mismatch, F.abs(F.col("entry_created_at") - F.col("centre")), later_first, F.desc("entry_id")]
-    return _hit_lists(top_per_group(near, PROBE, order, n), PROBE)
+    return _hit_lists(top_per_group(near.repartition(tasks, *PROBE), PROBE, order, n), PROBE)
 
 
 def request_id_lists(entries: DataFrame, n: int) -> DataFrame:

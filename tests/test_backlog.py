@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from meterlens import schemas
 from meterlens.functions import audit_fields as af
+from meterlens.llm import bytelevel, queries, tokens
+from meterlens.operators import matching
 from meterlens.sources.audit_lines import LineRange, read_audit_lines, tasks_of
 from meterlens.sources.line_plan import lines_of, plan_lines, planned_steps
+from meterlens.sources.usage import conform
 from meterlens.streaming.ingest import start_ingest
 from meterlens.streaming.store import read_table
 
@@ -69,3 +72,31 @@ def test_headers_are_merged_once_a_line(spark):
     assert dict(found.collect())["a"] == "2"
     filters = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x]
     assert not [x for x in filters if "map_from_entries" in x]
+
+
+def test_a_search_takes_tasks_by_its_rows(spark, monkeypatch):
+    log = "id long, created_at long, use_time long, token_id long, model_name string, request_id string"
+    entry = "id long, created_at long, has_timestamp boolean, token_id long, model string"
+    logs = conform(spark.createDataFrame([(i, 10_000 + 40 * i, 0, 7, "m", "") for i in range(30)], log), schemas.USAGE_LOGS)
+    rows = [(i, 10_003 + 40 * i, True, 7, "m" if i % 3 else "n") for i in range(30)]
+    entries = conform(spark.createDataFrame(rows, entry), schemas.AUDIT_ENTRIES)
+    keys = spark.createDataFrame(KEYS, schemas.TOKENS)
+
+    def found():
+        frame = matching.match_token_time(logs, keys, entries, 60, 3)
+        got = sorted((r.log_id, r["rank"], r.entry_id) for r in frame.collect())
+        return got, frame._jdf.queryExecution().executedPlan().toString()
+
+    plain, _ = found()
+    assert plain and plain[0] == (0, 1, 1)
+    monkeypatch.setattr(matching, "ROWS_PER_TASK", 3)
+    monkeypatch.setattr(matching, "CHUNK_WINDOWS", 1)
+    cut, plan = found()
+    assert cut == plain and ", 20)" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_both_encoders_of_one_tokenizer_live_in_one_worker():
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    texts = ["Plain words, 12 of them.", "more\n\nand more"]
+    one, two = bytelevel.ByteEncoder(path).encode(texts), tokens.Encoder(path).encode(texts)
+    assert [x.tolist() for x in one] == [x.tolist() for x in two]
