@@ -7,16 +7,16 @@ itself follows in 16-bit digits. The orders are mixed by their standing: for eve
 of the three orders have held, a block has one adaptive distribution of the symbols, and that drives a carry-less range coder
 with 16-bit output digits.
 
-Numpy advances all blocks by one id at a time; elementwise sums and products of 32-bit floats give the same
-numbers in the encoder and the decoder.
+Numpy advances all blocks by one id at a time. A distribution is four 16-bit shares in one 64-bit number, so elementwise sums
+and shifts of integers move all four; they give the same numbers in the encoder and the decoder.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Entries of a context table, weight of the newest symbol in a distribution.
-SLOTS, RATE = 1024, np.float32(1 / 24)
+#: Entries of a context table.
+SLOTS = 1024
 #: How often a prediction held, up to 7; how these are told apart when the orders are mixed; symbols.
 HELD, LEVELS = 8, np.array([0, 1, 2, 2, 3, 3, 3, 3])
 MIXED, SYMBOLS = 64, 4
@@ -25,6 +25,41 @@ TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 DIGIT, WIDE = np.uint64(16), np.uint64(32)
 
 
+def four(*shares: int) -> np.uint64:
+    return np.uint64(sum(x << 16 * k for k, x in enumerate(shares)))
+
+
+#: A share loses 1 / 32 with every symbol and the newest symbol's share gains NEWEST, so shares stay below 2^16, and their sum
+#: below 2^16 + 128. Of their parts 1 / 256 is left for LEAST parts more of each symbol; the last symbol has the rest.
+LOST, LOST_BITS = np.uint64(5), four(*[0x07FF] * 4)
+NEWEST = np.array([four(*[0] * k, 2046) for k in range(SYMBOLS)])
+SPARED, SPARED_BITS = np.uint64(8), four(*[0x00FF] * 4)
+LEAST, EVEN = four(0, 16, 32, 48), four(*[WHOLE // SYMBOLS] * 4)
+SUMS, END = four(1, 1, 1, 1), four(0, 0, 0, WHOLE - 1)
+LOW = np.uint64(WHOLE - 1)
+
+
+def held_next() -> tuple[np.ndarray, np.ndarray]:
+    """By order, whether the prediction came true and how often it had held: what is added to an entry, and whether it is a new
+    one for the id.
+
+    A prediction that fails while it is not well established gives way; order 0 changes its mind last.
+    """
+    change, fresh = np.zeros((3, 2, HELD), np.int64), np.zeros((3, 2, HELD), bool)
+    for held in range(HELD):
+        change[:, 1, held] = held < HELD - 1
+        change[:2, 0, held], fresh[:2, 0, held] = (held >> 1) - held if held > 1 else 0, held <= 1
+        change[2, 0, held], fresh[2, 0, held] = -1 if held else 1, held == 0
+    return change.ravel(), fresh.ravel()
+
+
+CHANGE, FRESH = held_next()
+#: The mixed state for how often the predictions of orders 2, 1 and 0 have held.
+STATES = np.array([LEVELS[a] << 4 | LEVELS[b] << 2 | LEVELS[c] for a in range(HELD) for b in range(HELD) for c in range(HELD)])
+#: The symbol for which of the predictions came true: order 2 counts 4, order 1 2 and order 0 1.
+SYMBOL = np.array([3, 2, 1, 1, 0, 0, 0, 0])
+
+
 class Model:
     """Predictions and symbol distributions of `n` blocks.
 
@@ -32,61 +67,80 @@ class Model:
     and 1 have an entry for each context, order 0 has one. Blocks lie one after another in every table.
     """
 
-    def __init__(self, n: int):
-        self.rows = np.arange(n)
-        self.slots, self.states, self.flat = self.rows * SLOTS, self.rows * MIXED, self.rows * SYMBOLS
-        self.tables = [np.zeros(n * SLOTS, np.int64) for _ in range(2)] + [np.zeros(n, np.int64)]
-        # Four 32-bit shares are moved as one 128-bit number.
-        self.shares = np.full(n * MIXED * SYMBOLS, 1 / SYMBOLS, np.float32).view(np.complex128)
+    def __init__(self, n: int, digits: int):
+        self.kind = np.dtype(np.int32 if digits == 1 else np.int64)
+        self.n, rows = n, np.arange(n)
+        self.slots, self.states = rows * SLOTS, rows * MIXED
+        self.tables = [np.zeros(n * SLOTS, self.kind) for _ in range(2)]
+        self.common = np.zeros(n, self.kind)
+        self.shares = np.full(n * MIXED, EVEN)
         self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.change, self.orders = CHANGE.astype(self.kind), np.array([[0], [2 * HELD], [4 * HELD]])
 
     def narrow(self, n: int) -> None:
         """Go on with the first `n` blocks."""
-        for name in ("rows", "slots", "states", "flat", "one", "two"):
+        self.n = n
+        for name in ("slots", "states", "common", "one", "two"):
             setattr(self, name, getattr(self, name)[:n])
 
-    def predict(self) -> np.ndarray:
-        """Where symbols 0 to 3 begin among 2^16 parts (one row each); keeps what `learn` needs."""
+    def predict(self) -> None:
+        """Look up what `symbol_at`, `parts_of` and `learn` need."""
         one = self.one * 0x9E3779B1
         two = (self.two * 0x85EBCA77 ^ one) * 0x2545F491
-        self.at = [self.slots + (two >> 13 & SLOTS - 1), self.slots + (one >> 13 & SLOTS - 1), self.rows]
-        self.entry = [t.take(a) for t, a in zip(self.tables, self.at, strict=True)]
-        self.held = [e & HELD - 1 for e in self.entry]
-        self.guess = [e >> 3 for e in self.entry]
-        levels = [LEVELS.take(h) for h in self.held]
-        self.state = self.states + ((levels[0] << 4) + (levels[1] << 2) + levels[2])
-        self.told = self.shares.take(self.state).view(np.float32)
-        size = (self.told * np.float32(WHOLE - 64)).astype(np.int64).reshape(-1, SYMBOLS)
-        begin = np.empty((SYMBOLS, len(size)), np.int64)
-        begin[0] = 0
-        begin[1] = size[:, 0] + 16
-        begin[2] = begin[1] + size[:, 1] + 16
-        begin[3] = begin[2] + size[:, 2] + 16
-        return begin
-
-    def symbol_of(self, ids: np.ndarray) -> np.ndarray:
-        stored = ids + 1
-        symbol = np.where(stored == self.guess[2], 2, 3)
-        symbol[stored == self.guess[1]] = 1
-        symbol[stored == self.guess[0]] = 0
+        self.at = [self.slots + (two >> 13 & SLOTS - 1), self.slots + (one >> 13 & SLOTS - 1)]
+        entry = self.entry = np.empty((3, self.n), self.kind)
+        for order in range(2):
+            self.tables[order].take(self.at[order], out=entry[order], mode="clip")
+        entry[2] = self.common
+        held = self.held = entry & HELD - 1
+        self.guess = entry >> 3
+        self.state = self.states + STATES.take((held[0] << 6) + (held[1] << 3) + held[2])
+        told = self.told = self.shares.take(self.state)
+        sums = (told - (told >> SPARED & SPARED_BITS)) * SUMS
+        # Where the symbols begin, 16 bits each, and where they end.
+        self.begin = (sums << DIGIT) + LEAST
+        self.end = (self.begin >> DIGIT) | END
+
+    def symbol_at(self, place: np.ndarray) -> np.ndarray:
+        """The symbol that the part of 2^16 belongs to."""
+        symbol = (place >= (self.end & LOW)).astype(np.int64)
+        symbol += place >= (self.end >> np.uint64(16) & LOW)
+        symbol += place >= (self.end >> np.uint64(32) & LOW)
         return symbol
 
-    def learn(self, ids: np.ndarray, symbol: np.ndarray) -> None:
-        stored = ids + 1
-        self.told *= 1 - RATE
-        self.told[self.flat + symbol] += RATE
-        self.shares[self.state] = self.told.view(np.complex128)
-        fresh = stored << 3
-        for order in range(3):
-            # A prediction that fails while it is not well established gives way; order 0 changes its mind last.
-            entry, held = self.entry[order], self.held[order]
-            if order < 2:
-                failed = np.where(held > 1, entry - held + (held >> 1), fresh)
-            else:
-                failed = np.where(held > 0, entry - 1, fresh | 1)
-            new = np.where(self.guess[order] == stored, entry + (held < HELD - 1), failed)
-            self.tables[order][self.at[order]] = new
+    def parts_of(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the symbols' parts begin among 2^32, and their sizes."""
+        shift = symbol.view(np.uint64) << np.uint64(4)
+        first = self.begin >> shift & LOW
+        return first << DIGIT, ((self.end >> shift & LOW) - first) << DIGIT
+
+    def learn(self, ids: np.ndarray) -> np.ndarray:
+        """Which symbols the ids were."""
+        stored = ids.astype(self.kind) + self.kind.type(1)
+        right = self.guess == stored
+        as_bits = right.view(np.uint8)
+        symbol = SYMBOL.take((as_bits[0] << 2) + (as_bits[1] << 1) + as_bits[2])
+        self.shares[self.state] = self.told - (self.told >> LOST & LOST_BITS) + NEWEST.take(symbol)
+        how = self.orders + self.held
+        how += as_bits << 3
+        new = self.entry
+        np.copyto(new, stored << 3, where=FRESH.take(how))
+        new += self.change.take(how)
+        for order in range(2):
+            self.tables[order][self.at[order]] = new[order]
+        self.common[:] = new[2]
         self.two, self.one = self.one, ids
+        return symbol
+
+
+def settled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first digit is known, or has to be made known because the range is small, and the range that is left: one that
+    lies across a border is cut back to end there."""
+    known, small = (low ^ (low + span)) < TOP, span < BOTTOM
+    across = small > known
+    if across.any():
+        span = np.where(across, (np.uint64(0) - low) & (BOTTOM - np.uint64(1)), span)
+    return known | small, span
 
 
 class Writer:
@@ -97,22 +151,30 @@ class Writer:
         self.out, self.used = np.zeros(n * digits, np.uint16), np.arange(n) * digits
         self.digits = digits
 
-    def put(self, rows: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+    def put(self, rows: slice | np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
         """Code the part of the range from `begin` on, of `size` of 2^32 parts."""
-        part = self.range.take(rows) >> WIDE
-        low = self.low.take(rows) + part * begin.view(np.uint64)
-        span = part * size.view(np.uint64)
-        ready = settled(low, span)
+        part = self.range[rows] >> WIDE
+        low = self.low[rows] + part * begin
+        span = part * size
+        ready, span = settled(low, span)
+        if isinstance(rows, slice):
+            # Most blocks put out a digit, so all write one, and it stays where it is ready; further digits are few.
+            used = self.used[rows]
+            self.out[used] = low >> np.uint64(48)
+            used += ready
+            shift = ready * DIGIT
+            low, span = low << shift, span << shift
+            ready, span = settled(low, span)
         self.low[rows], self.range[rows] = low, span
-        while len(ready):
-            at, low, span = rows.take(ready), low.take(ready), span.take(ready)
-            # Where the range lies across a border, it is cut back to end there.
-            span = np.where((low ^ (low + span)) < TOP, span, (np.uint64(0) - low) & (BOTTOM - np.uint64(1)))
-            self.out[self.used[at]] = low >> np.uint64(48)
-            self.used[at] += 1
-            low, span, rows = low << DIGIT, span << DIGIT, at
-            self.low[at], self.range[at] = low, span
-            ready = settled(low, span)
+        rows = np.flatnonzero(ready) if isinstance(rows, slice) else rows[ready]
+        while len(rows):
+            low, span = self.low[rows], self.range[rows]
+            self.out[self.used[rows]] = low >> np.uint64(48)
+            self.used[rows] += 1
+            low = low << DIGIT
+            ready, span = settled(low, span << DIGIT)
+            self.low[rows], self.range[rows] = low, span
+            rows = rows[ready]
 
     def end(self) -> list[bytes]:
         n = len(self.low)
@@ -120,61 +182,51 @@ class Writer:
             self.out[self.used] = (self.low >> np.uint64(shift)).astype(np.uint16)
             self.used += 1
         first = (np.arange(n) * self.digits).tolist()
-        data = self.out.astype("<u2")
+        data = self.out.astype("<u2", copy=False)
         return [data[a:b].tobytes() for a, b in zip(first, self.used.tolist(), strict=True)]
 
 
-def settled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Where the first digit is known, or has to be made known because the range is small."""
-    return np.flatnonzero(((low ^ (low + span)) < TOP) | (span < BOTTOM))
-
-
 class Reader:
     """The range coder's state of blocks that are read."""
 
     def __init__(self, blocks: list[bytes]):
         sizes = np.array([len(b) // 2 for b in blocks], np.int64)
         # Damaged blocks may ask for more than there is; then they get zeros, and their checksums tell.
-        self.data = np.concatenate([np.frombuffer(b"".join(blocks), "<u2"), np.zeros(4, np.uint16)]).astype(np.uint64)
+        self.data = np.concatenate([np.frombuffer(b"".join(blocks), "<u2"), np.zeros(4, np.uint16)])
         self.at = np.cumsum(sizes) - sizes
         n = len(blocks)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.code = np.zeros(n, np.uint64)
         for _ in range(4):
-            self.code = self.code << DIGIT | self.next(np.arange(n))
-
-    def next(self, rows: np.ndarray) -> np.ndarray:
-        digit = self.data[np.minimum(self.at[rows], len(self.data) - 1)]
-        self.at[rows] += 1
-        return digit
+            self.code = self.code << DIGIT | self.data.take(self.at, mode="clip")
+            self.at += 1
 
-    def scaled(self, rows: np.ndarray) -> np.ndarray:
+    def scaled(self, rows: slice | np.ndarray) -> np.ndarray:
         """Which of the 2^32 parts of the range the code lies in."""
         parts = (self.code[rows] - self.low[rows]) // (self.range[rows] >> WIDE)
-        return np.minimum(parts, np.uint64(0xFFFFFFFF)).astype(np.int64)
-
-    def take(self, rows: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        part = self.range.take(rows) >> WIDE
-        low = self.low.take(rows) + part * begin.view(np.uint64)
-        span = part * size.view(np.uint64)
-        ready = settled(low, span)
+        return np.minimum(parts, np.uint64(0xFFFFFFFF))
+
+    def take(self, rows: slice | np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        part = self.range[rows] >> WIDE
+        low = self.low[rows] + part * begin
+        span = part * size
+        ready, span = settled(low, span)
+        if isinstance(rows, slice):
+            at, code, shift = self.at[rows], self.code[rows], ready * DIGIT
+            self.code[rows] = code << shift | self.data.take(at, mode="clip") * ready
+            at += ready
+            low, span = low << shift, span << shift
+            ready, span = settled(low, span)
         self.low[rows], self.range[rows] = low, span
-        while len(ready):
-            at, low, span = rows.take(ready), low.take(ready), span.take(ready)
-            span = np.where((low ^ (low + span)) < TOP, span, (np.uint64(0) - low) & (BOTTOM - np.uint64(1)))
-            self.code[at] = self.code[at] << DIGIT | self.next(at)
-            low, span, rows = low << DIGIT, span << DIGIT, at
-            self.low[at], self.range[at] = low, span
-            ready = settled(low, span)
-
-
-def parts_of(begin: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the symbols' parts begin among 2^32, and their sizes."""
-    n = len(symbol)
-    place = symbol * n + np.arange(n)
-    edges = np.concatenate([begin.ravel(), np.full(n, WHOLE)])
-    first = edges.take(place)
-    return first << 16, (edges.take(place + n) - first) << 16
+        rows = np.flatnonzero(ready) if isinstance(rows, slice) else rows[ready]
+        while len(rows):
+            low, span, at = self.low[rows], self.range[rows], self.at[rows]
+            self.code[rows] = self.code[rows] << DIGIT | self.data.take(at, mode="clip")
+            self.at[rows] = at + 1
+            low = low << DIGIT
+            ready, span = settled(low, span << DIGIT)
+            self.low[rows], self.range[rows] = low, span
+            rows = rows[ready]
 
 
 def active(lengths: np.ndarray) -> np.ndarray:
@@ -187,26 +239,28 @@ def encode(blocks: list[np.ndarray], digits: int = 1) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks], np.int64)
     order = np.argsort(-lengths, kind="stable")
     n, longest = len(blocks), int(lengths.max(initial=0))
-    grid = np.zeros((longest, n), np.int64)
+    model, writer = Model(n, digits), Writer(n, (digits + 2) * longest + 64)
+    lanes = np.zeros((n, longest), "<u2" if digits == 1 else "<i8")
     for lane, i in enumerate(order):
-        grid[: lengths[i], lane] = blocks[i]
-    model, writer = Model(n), Writer(n, (digits + 2) * longest + 64)
-    for t, going in enumerate(active(lengths[order])):
-        if going < len(model.rows):
-            model.narrow(int(going))
-        rows, ids = model.rows, grid[t, :going]
-        begin = model.predict()
-        symbol = model.symbol_of(ids)
-        first, size = parts_of(begin, symbol)
-        new = np.flatnonzero(symbol == 3)
+        lanes[lane, : lengths[i]] = blocks[i]
+    grid = np.ascontiguousarray(lanes.T)
+    for t, going in enumerate(active(lengths[order]).tolist()):
+        if going < model.n:
+            model.narrow(going)
+        ids = grid[t, :going].astype(np.int64)
+        model.predict()
+        symbol = model.learn(ids)
+        first, size = model.parts_of(symbol)
         # A new id's highest digit takes an equal share of its symbol's part.
-        share = size[new] >> 16
-        first[new] += share * (ids[new] >> 16 * (digits - 1))
-        size[new] = share
-        writer.put(rows, first, size)
-        for shift in range(16 * (digits - 2), -1, -16):
-            writer.put(new, (ids[new] >> shift & 0xFFFF) << 16, np.full(len(new), 1 << 16))
-        model.learn(ids, symbol)
+        new = symbol == 3
+        values = ids.view(np.uint64)
+        first += (size >> DIGIT) * (values >> np.uint64(16 * (digits - 1))) * new
+        size >>= new * DIGIT
+        writer.put(slice(0, going), first, size)
+        if digits > 1:
+            rows = np.flatnonzero(new)
+            for shift in range(16 * (digits - 2), -1, -16):
+                writer.put(rows, (values[rows] >> np.uint64(shift) & LOW) << DIGIT, np.full(len(rows), 1 << 16, np.uint64))
     found = writer.end()
     out: list[bytes] = [b""] * n
     for lane, i in enumerate(order):
@@ -219,34 +273,34 @@ def decode(blocks: list[bytes], lengths: list[int], digits: int = 1) -> list[np.
     sizes = np.array(lengths, np.int64)
     order = np.argsort(-sizes, kind="stable")
     n = len(blocks)
-    grid = np.zeros((int(sizes.max(initial=0)), n), np.int64)
-    model, reader = Model(n), Reader([blocks[i] for i in order])
-    for t, going in enumerate(active(sizes[order])):
-        if going < len(model.rows):
-            model.narrow(int(going))
-        rows = model.rows
-        begin = model.predict()
+    grid = np.zeros((int(sizes.max(initial=0)), n), np.int32 if digits == 1 else np.int64)
+    model, reader = Model(n, digits), Reader([blocks[i] for i in order])
+    for t, going in enumerate(active(sizes[order]).tolist()):
+        if going < model.n:
+            model.narrow(going)
+        rows = slice(0, going)
+        model.predict()
         place = reader.scaled(rows)
-        wide = place >> 16
-        symbol = (wide >= begin[1]).astype(np.int64)
-        symbol += wide >= begin[2]
-        symbol += wide >= begin[3]
-        first, size = parts_of(begin, symbol)
-        ids = np.where(symbol == 0, model.guess[0], np.where(symbol == 1, model.guess[1], model.guess[2])) - 1
-        new = np.flatnonzero(symbol == 3)
-        share = size[new] >> 16
-        value = np.minimum((place[new] - first[new]) // share, 0xFFFF)
-        first[new] += share * value
-        size[new] = share
+        symbol = model.symbol_at(place >> DIGIT)
+        first, size = model.parts_of(symbol)
+        new = symbol == 3
+        guess = model.guess
+        ids = np.where(symbol == 0, guess[0], np.where(symbol == 1, guess[1], guess[2])).astype(np.int64) - 1
+        value = np.minimum((place - first) // (size >> DIGIT), LOW)
+        first += (size >> DIGIT) * value * new
+        size >>= new * DIGIT
         reader.take(rows, first, size)
-        for _ in range(digits - 1):
-            digit = reader.scaled(new) >> 16
-            reader.take(new, digit << 16, np.full(len(new), 1 << 16))
-            value = value << 16 | digit
-        ids[new] = value
-        model.learn(ids, symbol)
+        if digits > 1:
+            rows = np.flatnonzero(new)
+            for _ in range(digits - 1):
+                digit = reader.scaled(rows) >> DIGIT
+                reader.take(rows, digit << DIGIT, np.full(len(rows), 1 << 16, np.uint64))
+                value[rows] = value[rows] << DIGIT | digit
+        ids = np.where(new, value.view(np.int64), ids)
+        model.learn(ids)
         grid[t, :going] = ids
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
+    lanes = np.ascontiguousarray(grid.T)
     for lane, i in enumerate(order):
-        out[i] = grid[: sizes[i], lane].copy()
+        out[i] = lanes[lane, : sizes[i]].astype(np.int64)
     return out

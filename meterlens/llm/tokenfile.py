@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from meterlens.llm import coder
 from meterlens.llm.common import prepare
-from meterlens.llm.tokens import Encoder
+from meterlens.llm.tokens import Encoder, grouped
 from meterlens.session import ensure_checkpoint_dir
 
-MAGIC, VERSION = b"TKRC", 1
+MAGIC, VERSION = b"TKRC", 2
 HEAD = "<4sBBHIIQ"
 HEAD_BYTES = struct.calcsize(HEAD)
 #: Ids of a block, and of a segment; a document is never split, so a segment with a very long one is longer.
-BLOCK, SEGMENT = 2048, 1 << 22
+BLOCK, SEGMENT = 2048, 1 << 23
 
 
 class Corrupt(ValueError):
@@ -109,9 +109,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -
             names.clear()
             return pa.RecordBatch.from_arrays(row, ["part", "segment", "start", "tokens", "doc_ids", "payload"])
 
-        for batch in batches:
+        for batch in grouped(batches):
             first = 0
-            for i, ids in enumerate(encoder.encode(batch.column(1).to_pylist())):
+            for i, ids in enumerate(encoder.encode(batch.column(1))):
                 waiting.append(np.append(ids, np.array(end_id, ids.dtype)))
                 size += len(ids) + 1
                 if size >= SEGMENT:

@@ -2,6 +2,7 @@ import random
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -32,6 +33,29 @@ def test_words_give_the_tokenizers_ids(monkeypatch):
     assert [ids.tolist() for ids in encoder.encode(TEXTS)] == [direct(t) for t in TEXTS]
 
 
+def test_words_and_marks_cut_at_once_give_the_tokenizers_ids():
+    rng = random.Random(12)
+    signs = ["a", "The", "B", "é", "É", "\u0301", "h\u0331", "H\u0331", "'", "'s", "'LL", "x's.", " ", "  ", "\n", "\t", "\xa0", "\x85", "\x1c", "1", "½"]
+    signs += [".", ",", "..", "&", "*-", "|", "=\u0338", "<", "_", "İ", "K", "ﬁ", "日本", "😀", "<|endoftext|>", "<|EndOfText|>", "ß", "ΣΑΣ", "word"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(25))) for _ in range(5000)]
+    encoder = tokens.Encoder(PATH)
+    expected = [e.ids for e in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
+    found = [ids.tolist() for low in range(0, 5000, 700) for ids in encoder.encode(texts[low : low + 700])]
+    assert found == expected
+    assert [len(ids) for ids in encoder.encode(pa.array([None, "", "a b", None]))] == [0, 0, 2, 0] and encoder.encode([]) == []
+
+
+def test_words_are_looked_up_once_for_many_texts():
+    encoder, asked = tokens.Encoder(PATH), []
+    look_up = encoder._look_up
+    encoder._look_up = lambda words: asked.extend(words) or look_up(words)
+    texts = pa.array(["Some words, some WORDS. Words: words some words"] * 500)
+    batches = [pa.record_batch([texts.slice(low, 100)], ["text"]) for low in range(0, 500, 100)]
+    for batch in tokens.grouped(iter(batches)):
+        encoder.encode(batch.column(0))
+    assert sorted(asked) == sorted(["some", " some", " words", ",", ".", ":"])
+
+
 def test_other_tokenizers_encode_whole_texts():
     path = queries.tokenizer_path("byte_bpe_50k.json")
     encoder = tokens.Encoder(path)
@@ -53,6 +77,23 @@ def test_coder_round_trip():
     assert coder.encode([]) == [] and coder.decode([], []) == []
 
 
+def test_every_symbol_keeps_a_part_of_the_range():
+    rng = np.random.default_rng(3)
+    model = coder.Model(40, 1)
+    symbols = np.arange(4)
+    for step in range(1500):
+        # Some blocks repeat themselves for ever, others never, the rest change.
+        ids = np.where(np.arange(40) < 10, 7, np.where(np.arange(40) < 20, step, rng.integers(0, 3, 40)))
+        model.predict()
+        parts = np.array([model.parts_of(np.full(40, s)) for s in symbols]).astype(np.int64) >> 16
+        first, size = parts[:, 0], parts[:, 1]
+        assert (size >= 15).all() and (first[0] == 0).all() and (first[1:] == (first + size)[:-1]).all()
+        assert (first[3] + size[3] == 65535).all()
+        places = np.concatenate([first, first + size - 1])
+        assert (np.array([model.symbol_at(p.astype(np.uint64)) for p in places]) == np.tile(symbols, 2)[:, None]).all()
+        model.learn(ids)
+
+
 def test_segments_are_checked():
     rng = np.random.default_rng(8)
     documents = [rng.integers(0, 300, n).astype(np.uint16) for n in (1, 0, 5000, 17)]
