@@ -35,6 +35,8 @@ HEAD = "<4sBBHIIQ"
 HEAD_BYTES = struct.calcsize(HEAD)
 #: Ids of a block, and of a segment; a document is never split, so a segment with a very long one is longer.
 BLOCK, SEGMENT = 2048, 1 << 23
+#: Words that a worker remembers: more than elsewhere, since the coder takes most of the time there is.
+WORDS = 1_000_000
 
 
 class Corrupt(ValueError):
@@ -93,7 +95,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer_path)
+        encoder = Encoder(tokenizer_path, WORDS)
         waiting: list[np.ndarray] = []
         names: list[pa.Array] = []
         size = start = segment = 0
