@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from meterlens import schemas
+from meterlens.functions.stage import pinned
 from meterlens.operators.ranking import running_total, top_per_group
 from meterlens.operators.review_plan import ReviewScope, eligible, in_scope, longest_prefix, planned, prefix_digests
 from meterlens.operators.review_score import Scorer
@@ -89,7 +90,7 @@ def _last() -> Column:
 
 def digests(entries: DataFrame) -> DataFrame:
     """Requests with the digests of their prefixes; one without messages has none, and is known by its id."""
-    rows = entries.withColumn("prefixes", prefix_digests(F.col("messages"))).withColumn("length", F.size("prefixes"))
+    rows = entries.withColumn("prefixes", pinned(prefix_digests(F.col("messages")))).withColumn("length", F.size("prefixes"))
     own = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     return rows.withColumn("digest", F.when(F.col("length") > 0, F.try_element_at("prefixes", F.lit(-1))).otherwise(own))
 
@@ -145,8 +146,9 @@ def review_batch(
         stored = stored.filter(F.col("event_date") >= day_of(F.lit(first_late["created_at"])))
         again = in_scope(stored, scope).dropDuplicates(["id"]).join(late, "token_id")
         again = digests(again.filter(F.struct("created_at", "id") >= F.col("first"))).select(*names)
-        # What was stored after this batch was formed comes with a batch of its own.
-        reviewed_ids = read_buckets(spark, prefixes_path, INDEX, again, "digest", batch_id).select("id").distinct()
+        # What was stored after this batch was formed comes with a batch of its own. Only the digests are written for the look-up.
+        named = cut_lineage(again.select("digest").distinct())
+        reviewed_ids = read_buckets(spark, prefixes_path, INDEX, named, "digest", batch_id).select("id").distinct()
         again = again.join(fresh.select("id"), "id", "left_anti").join(reviewed_ids, "id", "left_semi")
         asked = fresh.unionByName(again)
     asked = cut_lineage(asked)
@@ -185,7 +187,7 @@ def review_batch(
     cache = read_buckets(spark, results_path, schemas.REVIEW_RESULTS, contents, "content_hash", batch_id).drop("batch_id")
     standing = earlier.select(F.col("id").alias("audit_entry_id"), *[c.split()[0] for c in FINAL.split(", ")[1:]])
     run = run_plan(plan, cache, scorer, config, before=standing)
-    write_results(cut_lineage(run.results), results_path, batch_id)
+    write_results(run.results, results_path, batch_id)
     final = cut_lineage(run.final)
     write_batch(final, final_path, batch_id)
     decided = final.select(F.col("audit_entry_id").alias("id"), *[c for c in final.columns if c.startswith("effective_")])

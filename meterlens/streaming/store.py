@@ -9,6 +9,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from meterlens.operators.filters import DAY
+from meterlens.session import cut_lineage
+
+# Rows of a batch in folders that one file of a folder is for.
+FILE_ROWS = 1_000_000
 
 
 def day_of(seconds: Column) -> Column:
@@ -45,8 +49,18 @@ def write_days(df: DataFrame, path: str, batch_id: int, seconds: str = "created_
 
 
 def write_folders(df: DataFrame, path: str, batch_id: int, folder: str) -> None:
-    """Write the rows of one batch into folders by the column `folder`, then batch; a repeated attempt names the same ones."""
-    writer = df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+    """Write the rows of one batch into folders by the column `folder`, then batch; a repeated attempt names the same ones.
+
+    The rows of a folder meet in one task, which writes one file, since every reader opens all files of a folder. Only a batch
+    of more than `FILE_ROWS` rows is dealt into shares, each with a file of its own, so that no folder's rows are too many for
+    a task. The number of tasks is fixed: Spark would join small ones, and one task would write all folders in turn.
+    """
+    rows = cut_lineage(df)
+    shares = max(1, -(-rows.count() // FILE_ROWS))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.pmod(F.xxhash64(*rows.columns), F.lit(shares))
+    placed = rows.repartition(tasks, F.col(folder), share)
+    writer = placed.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(folder, "batch_id").parquet(path)
 
 

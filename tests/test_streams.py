@@ -20,7 +20,8 @@ from meterlens.streaming.ingest import ingest_batch, start_ingest
 from meterlens.sources.usage import conform, write_usage_logs
 from meterlens.streaming.match import current_matches, match_batch, start_log_matching
 from meterlens.streaming.review import bucket_of, review_batch, reviewed, start_review
-from meterlens.streaming.store import days_in, read_table, widened, write_days
+from meterlens.streaming import store
+from meterlens.streaming.store import days_in, read_table, widened, write_days, write_folders
 
 from test_review import keyword_scorer
 
@@ -326,6 +327,20 @@ def test_batch_reads_what_it_names(spark, tmp_path):
     assert {r.audit_entry_id: r.parent_entry_id for r in rows} == {40: 7, 41: 0, 50: 9}
 
 
+@pytest.mark.parametrize(("limit", "files"), [(1000, 1), (100, 4)])
+def test_a_batch_adds_one_file_to_a_folder(spark, tmp_path, monkeypatch, limit, files):
+    monkeypatch.setattr(store, "FILE_ROWS", limit)
+    path, rows = str(tmp_path / "t"), spark.range(0, 400, 1, 8).withColumn("bucket", (F.col("id") % 3).cast("int"))
+    for _ in range(2):
+        write_folders(rows, path, 5, "bucket")
+    for n in range(3):
+        assert 1 <= len(list(parquet_files(f"{path}/bucket={n}", lambda _: True))) <= files
+    got = read_table(spark, path, "id long, bucket int").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(i, i % 3) for i in range(400)]
+    if files > 1:
+        assert len(list(parquet_files(path, lambda _: True))) > 3
+
+
 def prefixes_of(spark, request):
     frame = spark.createDataFrame([(request[4],)], f"messages {schemas.MESSAGES}")
     return frame.select(prefix_digests(F.col("messages"))).first()[0]
