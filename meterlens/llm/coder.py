@@ -39,9 +39,9 @@ SUMS, END = four(1, 1, 1, 1), four(0, 0, 0, WHOLE - 1)
 LOW = np.uint64(WHOLE - 1)
 
 
-def held_next() -> tuple[np.ndarray, np.ndarray]:
-    """By order, whether the prediction came true and how often it had held: what is added to an entry, and whether it is a new
-    one for the id.
+def held_next() -> np.ndarray:
+    """By order, whether the prediction came true and how often it had held: how often it has held now, and above that all bits
+    set unless a new prediction of the id takes its place.
 
     A prediction that fails while it is not well established gives way; order 0 changes its mind last.
     """
@@ -50,10 +50,10 @@ def held_next() -> tuple[np.ndarray, np.ndarray]:
         change[:, 1, held] = held < HELD - 1
         change[:2, 0, held], fresh[:2, 0, held] = (held >> 1) - held if held > 1 else 0, held <= 1
         change[2, 0, held], fresh[2, 0, held] = -1 if held else 1, held == 0
-    return change.ravel(), fresh.ravel()
+    return (np.where(fresh, 0, np.arange(HELD)) + change + np.where(fresh, 0, -HELD)).ravel()
 
 
-CHANGE, FRESH = held_next()
+NEXT = held_next()
 #: The mixed state for how often the predictions of orders 2, 1 and 0 have held.
 STATES = np.array([LEVELS[a] << 4 | LEVELS[b] << 2 | LEVELS[c] for a in range(HELD) for b in range(HELD) for c in range(HELD)])
 #: The symbol for which of the predictions came true: order 2 counts 4, order 1 2 and order 0 1.
@@ -70,32 +70,37 @@ class Model:
     def __init__(self, n: int, digits: int):
         self.kind = np.dtype(np.int32 if digits == 1 else np.int64)
         self.n, rows = n, np.arange(n)
-        self.slots, self.states = rows * SLOTS, rows * MIXED
-        self.tables = [np.zeros(n * SLOTS, self.kind) for _ in range(2)]
+        self.slots, self.states = np.array([rows, rows + n]) * SLOTS, rows * MIXED
+        self.tables = np.zeros(2 * n * SLOTS, self.kind)
         self.common = np.zeros(n, self.kind)
         self.shares = np.full(n * MIXED, EVEN)
         self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.change, self.orders = CHANGE.astype(self.kind), np.array([[0], [2 * HELD], [4 * HELD]])
+        self.next, self.orders = NEXT.astype(self.kind), np.array([[0], [2 * HELD], [4 * HELD]])
 
     def narrow(self, n: int) -> None:
         """Go on with the first `n` blocks."""
         self.n = n
         for name in ("slots", "states", "common", "one", "two"):
-            setattr(self, name, getattr(self, name)[:n])
+            setattr(self, name, getattr(self, name)[..., :n])
 
     def predict(self) -> None:
         """Look up what `symbol_at`, `parts_of` and `learn` need."""
-        one = self.one * 0x9E3779B1
-        two = (self.two * 0x85EBCA77 ^ one) * 0x2545F491
-        self.at = [self.slots + (two >> 13 & SLOTS - 1), self.slots + (one >> 13 & SLOTS - 1)]
+        at = self.at = np.empty((2, self.n), np.int64)
+        two, one = at
+        np.multiply(self.one, 0x9E3779B1, out=one)
+        np.multiply(self.two, 0x85EBCA77, out=two)
+        two ^= one
+        two *= 0x2545F491
+        at >>= 13
+        at &= SLOTS - 1
+        at += self.slots
         entry = self.entry = np.empty((3, self.n), self.kind)
-        for order in range(2):
-            self.tables[order].take(self.at[order], out=entry[order], mode="clip")
+        self.tables.take(at, out=entry[:2], mode="clip")
         entry[2] = self.common
         held = self.held = entry & HELD - 1
         self.guess = entry >> 3
-        self.state = self.states + STATES.take((held[0] << 6) + (held[1] << 3) + held[2])
-        told = self.told = self.shares.take(self.state)
+        self.state = self.states + STATES.take((held[0] << 6) + (held[1] << 3) + held[2], mode="clip")
+        told = self.told = self.shares.take(self.state, mode="clip")
         sums = (told - (told >> SPARED & SPARED_BITS)) * SUMS
         # Where the symbols begin, 16 bits each, and where they end.
         self.begin = (sums << DIGIT) + LEAST
@@ -119,15 +124,18 @@ class Model:
         stored = ids.astype(self.kind) + self.kind.type(1)
         right = self.guess == stored
         as_bits = right.view(np.uint8)
-        symbol = SYMBOL.take((as_bits[0] << 2) + (as_bits[1] << 1) + as_bits[2])
-        self.shares[self.state] = self.told - (self.told >> LOST & LOST_BITS) + NEWEST.take(symbol)
+        symbol = SYMBOL.take((as_bits[0] << 2) + (as_bits[1] << 1) + as_bits[2], mode="clip")
+        self.shares[self.state] = self.told - (self.told >> LOST & LOST_BITS) + NEWEST.take(symbol, mode="clip")
         how = self.orders + self.held
         how += as_bits << 3
+        # The entry's id where it is kept, else the stored one, and how often it has held.
+        stored <<= 3
         new = self.entry
-        np.copyto(new, stored << 3, where=FRESH.take(how))
-        new += self.change.take(how)
-        for order in range(2):
-            self.tables[order][self.at[order]] = new[order]
+        new ^= stored
+        new |= HELD - 1
+        new &= self.next.take(how, mode="clip")
+        new ^= stored
+        self.tables[self.at] = new[:2]
         self.common[:] = new[2]
         self.two, self.one = self.one, ids
         return symbol
@@ -160,7 +168,7 @@ class Writer:
         if isinstance(rows, slice):
             # Most blocks put out a digit, so all write one, and it stays where it is ready; further digits are few.
             used = self.used[rows]
-            self.out[used] = low >> np.uint64(48)
+            self.out[used] = (low >> np.uint64(48)).astype(np.uint16)
             used += ready
             shift = ready * DIGIT
             low, span = low << shift, span << shift
@@ -254,8 +262,8 @@ def encode(blocks: list[np.ndarray], digits: int = 1) -> list[bytes]:
         # A new id's highest digit takes an equal share of its symbol's part.
         new = symbol == 3
         values = ids.view(np.uint64)
-        first += (size >> DIGIT) * (values >> np.uint64(16 * (digits - 1))) * new
         size >>= new * DIGIT
+        first += size * ((values >> np.uint64(16 * (digits - 1)) if digits > 1 else values) * new)
         writer.put(slice(0, going), first, size)
         if digits > 1:
             rows = np.flatnonzero(new)
@@ -285,9 +293,11 @@ def decode(blocks: list[bytes], lengths: list[int], digits: int = 1) -> list[np.
         first, size = model.parts_of(symbol)
         new = symbol == 3
         guess = model.guess
-        ids = np.where(symbol == 0, guess[0], np.where(symbol == 1, guess[1], guess[2])).astype(np.int64) - 1
-        value = np.minimum((place - first) // (size >> DIGIT), LOW)
-        first += (size >> DIGIT) * value * new
+        ids = np.where(symbol == 0, guess[0], np.where(symbol == 1, guess[1], guess[2])).astype(np.int64)
+        ids -= 1
+        share = size >> DIGIT
+        value = np.minimum((place - first) // share, LOW)
+        first += share * value * new
         size >>= new * DIGIT
         reader.take(rows, first, size)
         if digits > 1:

@@ -198,3 +198,11 @@ def test_packing_cases(spark):
     groups = packing.pack(packing.pieces(df, PATH, 1), group=2).collect()
     assert len(groups) == len(found) and len({r.sequence_id >> 32 for r in groups}) > 1
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_coded_bytes_stay_as_they_are():
+    """Written files stay readable: the coder's passes may be merged, but its bytes are those of version 2."""
+    numbers = np.arange(3000, dtype=np.int64)
+    blocks = [numbers * numbers % 997 % 61, numbers[:500] % 7 * 9000, numbers[:0], numbers[:1200] * 7919 % 65521]
+    assert [crc32(b) for b in coder.encode(blocks)] == [2794070124, 2305761521, 1696784233, 391824848]
+    assert [crc32(b) for b in coder.encode([b * 60000 for b in blocks], 2)] == [3353228392, 2927930651, 1696784233, 2136021647]
