@@ -22,7 +22,7 @@ HELD, LEVELS = 8, np.array([0, 1, 2, 2, 3, 3, 3, 3])
 MIXED, SYMBOLS = 64, 4
 WHOLE = 1 << 16
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-DIGIT, WIDE = np.uint64(16), np.uint64(32)
+FOUR, DIGIT, WIDE = np.uint64(4), np.uint64(16), np.uint64(32)
 
 
 def four(*shares: int) -> np.uint64:
@@ -75,7 +75,7 @@ class Model:
         self.common = np.zeros(n, self.kind)
         self.shares = np.full(n * MIXED, EVEN)
         self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.next, self.orders = NEXT.astype(self.kind), np.array([[0], [2 * HELD], [4 * HELD]])
+        self.next, self.orders = NEXT.astype(self.kind), np.array([[0], [2 * HELD], [4 * HELD]], np.uint8)
 
     def narrow(self, n: int) -> None:
         """Go on with the first `n` blocks."""
@@ -98,7 +98,8 @@ class Model:
         self.tables.take(at, out=entry[:2], mode="clip")
         entry[2] = self.common
         held = self.held = entry & HELD - 1
-        self.guess = entry >> 3
+        self.known = np.empty((4, self.n), self.kind)
+        self.guess = np.right_shift(entry, 3, out=self.known[:3])
         self.state = self.states + STATES.take((held[0] << 6) + (held[1] << 3) + held[2], mode="clip")
         told = self.told = self.shares.take(self.state, mode="clip")
         sums = (told - (told >> SPARED & SPARED_BITS)) * SUMS
@@ -108,14 +109,14 @@ class Model:
 
     def symbol_at(self, place: np.ndarray) -> np.ndarray:
         """The symbol that the part of 2^16 belongs to."""
-        symbol = (place >= (self.end & LOW)).astype(np.int64)
-        symbol += place >= (self.end >> np.uint64(16) & LOW)
-        symbol += place >= (self.end >> np.uint64(32) & LOW)
-        return symbol
+        symbol = (place >= (self.end & LOW)).view(np.uint8)
+        symbol += (place >= (self.end >> DIGIT & LOW)).view(np.uint8)
+        symbol += (place >= (self.end >> WIDE & LOW)).view(np.uint8)
+        return symbol.astype(np.int64)
 
     def parts_of(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the symbols' parts begin among 2^32, and their sizes."""
-        shift = symbol.view(np.uint64) << np.uint64(4)
+        shift = symbol.view(np.uint64) << FOUR
         first = self.begin >> shift & LOW
         return first << DIGIT, ((self.end >> shift & LOW) - first) << DIGIT
 
@@ -126,8 +127,9 @@ class Model:
         as_bits = right.view(np.uint8)
         symbol = SYMBOL.take((as_bits[0] << 2) + (as_bits[1] << 1) + as_bits[2], mode="clip")
         self.shares[self.state] = self.told - (self.told >> LOST & LOST_BITS) + NEWEST.take(symbol, mode="clip")
-        how = self.orders + self.held
-        how += as_bits << 3
+        how = as_bits << 3
+        how |= self.held.astype(np.uint8)
+        how |= self.orders
         # The entry's id where it is kept, else the stored one, and how often it has held.
         stored <<= 3
         new = self.entry
@@ -169,8 +171,9 @@ class Writer:
             # Most blocks put out a digit, so all write one, and it stays where it is ready; further digits are few.
             used = self.used[rows]
             self.out[used] = (low >> np.uint64(48)).astype(np.uint16)
-            used += ready
-            shift = ready * DIGIT
+            moved = ready.astype(np.int64)
+            used += moved
+            shift = moved.view(np.uint64) << FOUR
             low, span = low << shift, span << shift
             ready, span = settled(low, span)
         self.low[rows], self.range[rows] = low, span
@@ -220,9 +223,13 @@ class Reader:
         span = part * size
         ready, span = settled(low, span)
         if isinstance(rows, slice):
-            at, code, shift = self.at[rows], self.code[rows], ready * DIGIT
-            self.code[rows] = code << shift | self.data.take(at, mode="clip") * ready
-            at += ready
+            at, code, moved = self.at[rows], self.code[rows], ready.astype(np.int64)
+            digit = self.data.take(at, mode="clip").astype(np.uint64)
+            digit *= moved.view(np.uint64)
+            shift = moved.view(np.uint64) << FOUR
+            code <<= shift
+            code |= digit
+            at += moved
             low, span = low << shift, span << shift
             ready, span = settled(low, span)
         self.low[rows], self.range[rows] = low, span
@@ -261,9 +268,9 @@ def encode(blocks: list[np.ndarray], digits: int = 1) -> list[bytes]:
         first, size = model.parts_of(symbol)
         # A new id's highest digit takes an equal share of its symbol's part.
         new = symbol == 3
-        values = ids.view(np.uint64)
-        size >>= new * DIGIT
-        first += size * ((values >> np.uint64(16 * (digits - 1)) if digits > 1 else values) * new)
+        as_number, values = new.astype(np.uint64), ids.view(np.uint64)
+        size >>= as_number << FOUR
+        first += size * ((values >> np.uint64(16 * (digits - 1)) if digits > 1 else values) * as_number)
         writer.put(slice(0, going), first, size)
         if digits > 1:
             rows = np.flatnonzero(new)
@@ -282,7 +289,7 @@ def decode(blocks: list[bytes], lengths: list[int], digits: int = 1) -> list[np.
     order = np.argsort(-sizes, kind="stable")
     n = len(blocks)
     grid = np.zeros((int(sizes.max(initial=0)), n), np.int32 if digits == 1 else np.int64)
-    model, reader = Model(n, digits), Reader([blocks[i] for i in order])
+    model, reader, lane = Model(n, digits), Reader([blocks[i] for i in order]), np.arange(n)
     for t, going in enumerate(active(sizes[order]).tolist()):
         if going < model.n:
             model.narrow(going)
@@ -292,13 +299,13 @@ def decode(blocks: list[bytes], lengths: list[int], digits: int = 1) -> list[np.
         symbol = model.symbol_at(place >> DIGIT)
         first, size = model.parts_of(symbol)
         new = symbol == 3
-        guess = model.guess
-        ids = np.where(symbol == 0, guess[0], np.where(symbol == 1, guess[1], guess[2])).astype(np.int64)
-        ids -= 1
         share = size >> DIGIT
         value = np.minimum((place - first) // share, LOW)
-        first += share * value * new
-        size >>= new * DIGIT
+        as_number = new.astype(np.uint64)
+        size >>= as_number << FOUR
+        as_number *= value
+        as_number *= share
+        first += as_number
         reader.take(rows, first, size)
         if digits > 1:
             rows = np.flatnonzero(new)
@@ -306,11 +313,16 @@ def decode(blocks: list[bytes], lengths: list[int], digits: int = 1) -> list[np.
                 digit = reader.scaled(rows) >> DIGIT
                 reader.take(rows, digit << DIGIT, np.full(len(rows), 1 << 16, np.uint64))
                 value[rows] = value[rows] << DIGIT | digit
-        ids = np.where(new, value.view(np.int64), ids)
+        # The predictions are ids plus 1, and so is the last row, which the new ids are read from.
+        np.add(value, np.uint64(1), out=model.known[3], casting="unsafe")
+        symbol *= going
+        symbol += lane[:going]
+        ids = model.known.take(symbol, mode="clip").astype(np.int64)
+        ids -= 1
         model.learn(ids)
         grid[t, :going] = ids
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
     lanes = np.ascontiguousarray(grid.T)
-    for lane, i in enumerate(order):
-        out[i] = lanes[lane, : sizes[i]].astype(np.int64)
+    for row, i in zip(lanes, order, strict=True):
+        out[i] = row[: sizes[i]].astype(np.int64)
     return out

@@ -56,6 +56,20 @@ def test_words_are_looked_up_once_for_many_texts():
     assert sorted(asked) == sorted(["some", " some", " words", ",", ".", ":"])
 
 
+def test_letters_go_to_the_model_itself():
+    rng = random.Random(4)
+    letters = [c for c in map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]) if c not in "×÷"]
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 15))) + rng.choice(["", "", ",", "..", "!?", "***"]) for _ in range(3000)]
+    encoder, asked = tokens.Encoder(PATH), []
+    encode = encoder._encode
+    encoder.words, encoder.parts, encoder.bare = {}, {}, None
+    encoder._encode = lambda texts: asked.extend(texts) or encode(texts)
+    texts = [" ".join(words[low : low + 30]) for low in range(0, 3000, 30)]
+    assert [ids.tolist() for ids in encoder.encode(texts)] == [direct(t) for t in texts]
+    # Nothing with a letter in it is left to the whole tokenizer.
+    assert len(encoder.parts) > 1000 and not [t for t in asked if any(c.isalpha() for c in t)]
+
+
 def test_other_tokenizers_encode_whole_texts():
     path = queries.tokenizer_path("byte_bpe_50k.json")
     encoder = tokens.Encoder(path)
