@@ -29,7 +29,8 @@ VARIANT_MAP = "map<string,variant>"
 def with_members(df: DataFrame, document: str, out: str) -> DataFrame:
     """Add `out`, the members of a document by name, and `<out>_lower`, the same by lower-case name.
 
-    Where names differ only by case, the lower-case map keeps the alphabetically first one.
+    Where names differ only by case, the lower-case map keeps the alphabetically first one. Names without a capital, by far
+    the most, are their own lower-case names.
     """
     names = f"_{out}_names"
     members = F.try_variant_get(document, "$[0]", VARIANT_MAP)
@@ -37,26 +38,35 @@ def with_members(df: DataFrame, document: str, out: str) -> DataFrame:
         F.array_distinct(F.transform(names, F.lower)),
         lambda low: F.struct(low, F.try_element_at(F.filter(names, lambda n: F.lower(n) == low), F.lit(1))),
     )
+    joined = F.array_join(names, "\n")
     return (
         df.withColumn(out, members)
         .withColumn(names, F.array_sort(F.map_keys(out)))
-        .withColumn(f"{out}_lower", F.map_from_entries(first_spelling))
+        .withColumn(
+            f"{out}_lower",
+            F.when(F.lower(joined) == joined, F.map_from_arrays(names, names)).otherwise(F.map_from_entries(first_spelling)),
+        )
         .drop(names)
     )
 
 
 def members_by_alias(members: str, field: str, read) -> Column:
-    """`read` applied to the member under each alias of a field, in order of preference.
+    """`read` applied to the members that a field's aliases name, in order of preference; missing ones are left out.
 
-    A member with exactly the alias as its name comes before one whose name differs by case only.
+    A member with exactly the alias as its name comes before one whose name differs by case only. The result is NULL for a
+    line that has none of them, so that nothing is looked up there.
     """
 
-    def one(alias: Column) -> Column:
-        spelled = F.try_element_at(F.col(f"{members}_lower"), F.lower(alias))
-        exact = F.try_element_at(F.col(members), alias)
-        return read(F.coalesce(exact, F.try_element_at(F.col(members), spelled)))
+    lower, names = f"{members}_lower", {alias.lower(): alias for alias in ALIASES[field]}
+    aliases = F.create_map(*[F.lit(text) for pair in names.items() for text in pair])
+    lows = F.array(*[F.lit(low) for low in names])
 
-    return F.transform(F.array(*[F.lit(alias) for alias in ALIASES[field]]), one)
+    def one(low: Column) -> Column:
+        exact = F.try_element_at(F.col(members), F.try_element_at(aliases, low))
+        return F.coalesce(exact, F.try_element_at(F.col(members), F.try_element_at(F.col(lower), low)))
+
+    named = F.transform(F.array_intersect(lows, F.map_keys(lower)), one)
+    return F.when(F.arrays_overlap(F.map_keys(lower), lows), F.transform(named, read))
 
 
 def _first(values: Column) -> Column:
@@ -108,7 +118,8 @@ def with_headers(df: DataFrame, members: str, out: str = "headers") -> DataFrame
 
     The map is pinned: exploding it filters by its size, which would merge all headers again for each line.
     """
-    entries = F.flatten(members_by_alias(members, "headers", _header_entries))
+    none = F.array().cast("array<struct<name:string,text:string>>")
+    entries = F.coalesce(F.flatten(members_by_alias(members, "headers", _header_entries)), none)
     names = F.array_distinct(F.transform("_header_entries", lambda e: e["name"]))
     last = F.transform(
         names,
@@ -118,7 +129,10 @@ def with_headers(df: DataFrame, members: str, out: str = "headers") -> DataFrame
     )
     return (
         df.withColumn("_header_entries", pinned(entries))
-        .withColumn(out, pinned(F.map_from_entries(last)))
+        .withColumn(
+            out,
+            pinned(F.when(F.size("_header_entries") > 0, F.map_from_entries(last)).otherwise(F.map_from_entries(none))),
+        )
         .drop("_header_entries")
     )
 
@@ -127,7 +141,7 @@ def first_header(headers: Column, names: list[str]) -> Column:
     texts = F.transform(
         F.array(*[F.lit(name) for name in names]), lambda n: blank_to_null(F.try_element_at(headers, n))
     )
-    return F.coalesce(_first(texts), F.lit(""))
+    return F.coalesce(F.when(F.size(headers) > 0, _first(texts)), F.lit(""))
 
 
 def without_bearer(key: Column) -> Column:
@@ -151,7 +165,8 @@ def api_key(headers: Column, path: Column) -> Column:
     usable = F.filter(
         F.array(*candidates), lambda key: key.isNotNull() & ~F.array_contains(F.array(*masked), F.lower(trim(key)))
     )
-    return F.coalesce(F.try_element_at(usable, F.lit(1)), F.lit(""))
+    given = (F.size(headers) > 0) | path.contains("key=")
+    return F.coalesce(F.when(given, F.try_element_at(usable, F.lit(1))), F.lit(""))
 
 
 def key_hash(key: Column) -> Column:

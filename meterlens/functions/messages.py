@@ -45,38 +45,41 @@ def _candidate(dialect: int, role: Column, content: Column, spare: Column | None
     )
 
 
-def _objects(document: Column, name: str) -> Column:
+def _objects(member: Column) -> Column:
     """The objects of a list member; other items say nothing."""
-    items = F.try_variant_get(document, lj.path(name), "array<variant>")
+    items = F.try_variant_get(member, "$", "array<variant>")
     objects = F.filter(items, lambda m: F.try_variant_get(m, "$", "map<string,variant>").isNotNull())
     return F.coalesce(objects, F.expr("cast(array() as array<variant>)"))
 
 
-def _candidates(document: Column) -> Column:
-    """All messages that the body could mean, dialect by dialect: chat, responses, contents with parts, prompt."""
+def _candidates(members: Column) -> Column:
+    """All messages that a body with these members could mean, dialect by dialect: chat, responses, contents with parts,
+    prompt."""
 
     def top(name: str) -> Column:
-        return F.try_variant_get(document, lj.path(name), "variant")
+        return F.try_element_at(members, F.lit(name))
 
     def one(dialect: int, role: str, content: Column, spare: Column | None = None) -> Column:
-        return F.array(_candidate(dialect, F.lit(role), content, spare)).cast(CANDIDATE)
+        given = content.isNotNull() if spare is None else content.isNotNull() | spare.isNotNull()
+        said = F.array(_candidate(dialect, F.lit(role), content, spare)).cast(CANDIDATE)
+        return F.when(given, said).otherwise(F.array().cast(CANDIDATE))
 
     def role(m: Column, names: list[str], default: str) -> Column:
         return F.coalesce(*[_string(_field(m, name)) for name in names], F.lit(default))
 
     chat = F.transform(
-        _objects(document, "messages"),
+        _objects(top("messages")),
         lambda m: _candidate(CHAT, role(m, ["role"], "message"), _field(m, "content"), _field(m, "tool_calls")),
     )
     spoken = F.transform(
-        _objects(document, "input"),
+        _objects(top("input")),
         lambda m: _candidate(RESPONSES, role(m, ["role", "type"], "input"), _field(m, "content")),
     )
     contents = F.transform(
-        _objects(document, "contents"), lambda m: _candidate(CONTENTS, role(m, ["role"], "user"), _field(m, "parts"))
+        _objects(top("contents")), lambda m: _candidate(CONTENTS, role(m, ["role"], "user"), _field(m, "parts"))
     )
     plain_input = F.when(F.schema_of_variant(top("input")) == "STRING", top("input"))
-    return F.concat(
+    said = F.concat(
         one(CHAT, "system", top("system")),
         chat.cast(CANDIDATE),
         one(RESPONSES, "user", plain_input),
@@ -84,6 +87,8 @@ def _candidates(document: Column) -> Column:
         contents.cast(CANDIDATE),
         one(PROMPT, "user", top("prompt"), top("query")),
     )
+    names = F.array(*[F.lit(name) for name in ("system", "messages", "input", "contents", "prompt", "query")])
+    return F.when(F.arrays_overlap(F.map_keys(members), names), said).otherwise(F.array().cast(CANDIDATE))
 
 
 def _object_text(value: Column) -> Column:
@@ -137,7 +142,9 @@ def with_messages(df: DataFrame, body: str = "body", out: str = "messages") -> D
     Contents become text first and the first dialect with any text wins. Bodies with deeper nesting than one list
     of parts are rare; they are the only ones handed to Python.
     """
-    staged = lj.with_object(df, body, "_body").withColumn("_said", _candidates(F.col("_body")))
+    staged = lj.with_object(df, body, "_body")
+    staged = staged.withColumn("_body", F.try_variant_get("_body", "$[0]", "map<string,variant>"))
+    staged = staged.withColumn("_said", _candidates(F.col("_body")))
     texts = F.transform(
         "_said",
         lambda c: F.struct(

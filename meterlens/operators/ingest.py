@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from meterlens import schemas
 from meterlens.functions import audit_fields as af
@@ -90,25 +92,36 @@ def key_candidates(key: Column) -> list[Column]:
     return [F.nullif(given, F.lit("")), F.nullif(bare, F.lit(""))]
 
 
-def resolve_keys(rows: DataFrame, tokens: DataFrame, key: str = "api_key") -> DataFrame:
+#: Distinct keys, or sources, of a batch up to which a table of them is broadcast.
+FEW = 10_000
+
+
+def has_few(df: DataFrame) -> bool:
+    return df.limit(FEW + 1).count() <= FEW
+
+
+def resolve_keys(rows: DataFrame, tokens: DataFrame, key: str = "api_key", few_keys: bool = False) -> DataFrame:
     """Add `token_id`, `token_name` and `key_tail` of each row's key; an unknown key has token 0 and its own tail.
 
     The distinct keys are looked up first, so the key table meets a small table whatever the number of rows; the
     answers then come back by key. Rows without a key, which may be many, find no answer: they are spread by their
-    place in the input instead of meeting in one task.
+    place in the input instead of meeting in one task. With `few_keys` (`has_few`) neither the rows nor the key table
+    are shuffled.
     """
+    small = F.broadcast if few_keys else lambda df: df
     place = [name for name in ("path", "line_no") if name in rows.columns] or rows.columns[:1]
     own = F.when(F.col(key) == "", F.xxhash64(*place)).otherwise(F.lit(0).cast("long"))
-    known = tokens.groupBy(F.col("key").alias("_known")).agg(
-        F.min(F.struct(F.col("id").alias("id"), F.coalesce("name", F.lit("")).alias("name"))).alias("_token")
-    )
+    token = F.struct(F.col("id").alias("id"), F.coalesce("name", F.lit("")).alias("name")).alias("_token")
+    known = tokens.select(F.col("key").alias("_known"), token)
+    if not few_keys:
+        known = known.groupBy("_known").agg(F.min("_token").alias("_token"))
     asked = rows.select(F.col(key).alias("_asked")).filter(F.col("_asked") != "").distinct()
     ranked = asked.select(
         "_asked",
         F.posexplode(F.array_compact(F.array(*key_candidates(F.col("_asked"))))).alias("_position", "_known"),
     )
     answers = (
-        ranked.join(known, "_known")
+        known.join(small(ranked), "_known")
         .groupBy("_asked")
         .agg(F.min(F.struct("_position", "_token", "_known")).alias("_best"))
         .select(
@@ -121,7 +134,7 @@ def resolve_keys(rows: DataFrame, tokens: DataFrame, key: str = "api_key") -> Da
     )
     return (
         rows.withColumn("_own", own)
-        .join(answers, [key, "_own"], "left")
+        .join(small(answers), [key, "_own"], "left")
         .withColumns(
             {
                 "token_id": F.coalesce("_id", F.lit(0).cast("long")),
@@ -138,9 +151,9 @@ def audit_entries(lines: DataFrame, tokens: DataFrame, ingested_at: Column, zone
     return entries_of(parse_lines(lines, zone), tokens, ingested_at)
 
 
-def entries_of(parsed: DataFrame, tokens: DataFrame, ingested_at: Column) -> DataFrame:
-    """Entries of parsed lines."""
-    resolved = resolve_keys(parsed.filter(F.col("line_state") == "entry"), tokens)
+def entries_of(parsed: DataFrame, tokens: DataFrame, ingested_at: Column, few_keys: bool = False) -> DataFrame:
+    """Entries of parsed lines; `few_keys` as in `resolve_keys`."""
+    resolved = resolve_keys(parsed.filter(F.col("line_state") == "entry"), tokens, few_keys=few_keys)
     shaped = resolved.withColumns(
         {
             "source_path": F.col("path"),
@@ -154,26 +167,59 @@ def entries_of(parsed: DataFrame, tokens: DataFrame, ingested_at: Column) -> Dat
     return with_messages(shaped).select(*names)
 
 
-def assign_ids(entries: DataFrame, after: int = 0) -> DataFrame:
+def assign_ids(entries: DataFrame, after: int = 0, sources: DataFrame | None = None) -> DataFrame:
     """Number entries in (source_path, source_line) order, going on after the id `after`.
 
     Every source gets as many ids as its lines span, so only one row per source has to be ordered and the entries
-    themselves are neither sorted nor shuffled. Lines without an entry leave gaps.
+    themselves are not sorted. Lines without an entry leave gaps. `sources` are rows with the same sources and lines that
+    are read at less cost than `entries`; they are counted at once, and where sources are few nothing is shuffled.
     """
-    spans = entries.groupBy("source_path", "source_id").agg(
+    spans = (entries if sources is None else sources).groupBy("source_path", "source_id").agg(
         F.min("source_line").alias("_first"), (F.max("source_line") - F.min("source_line") + 1).alias("_span")
     )
-    placed = running_total(
-        spans.withColumn("_all", F.lit(0)),
-        ["_all"],
-        [F.col("source_path"), F.col("source_id")],
-        F.col("_span"),
-        "_before",
-    ).select("source_path", "source_id", "_first", "_before")
+    few = [] if sources is None else spans.limit(FEW + 1).collect()
+    if sources is not None and len(few) <= FEW:
+        # Strings of Python and of Spark sort alike, nulls come first.
+        few.sort(key=lambda r: [(text is not None, text or "") for text in (r["source_path"], r["source_id"])])
+        before = accumulate((r["_span"] or 0 for r in few), initial=0)
+        rows = [(r["source_path"], r["source_id"], r["_first"], b) for r, b in zip(few, before)]
+        schema = "source_path string, source_id string, _first long, _before long"
+        placed = F.broadcast(entries.sparkSession.createDataFrame(rows, schema))
+    else:
+        placed = running_total(
+            spans.withColumn("_all", F.lit(0)),
+            ["_all"],
+            [F.col("source_path"), F.col("source_id")],
+            F.col("_span"),
+            "_before",
+        ).select("source_path", "source_id", "_first", "_before")
     number = F.col("_before") + F.col("source_line") - F.col("_first") + 1 + after
     return entries.join(placed, ["source_path", "source_id"]).select(number.alias("id"), *entries.columns)
 
 
+#: Lines of a source that stay together when new ones are looked for.
+BLOCK_LINES = 4096
+
+
+def new_lines(parsed: DataFrame, stored: DataFrame) -> DataFrame:
+    """The parsed lines (source_id, line_no, step) without a stored entry, each once, as of its first step.
+
+    Lines and stored entries meet in blocks of neighbouring lines, with one shuffle and one sort. Neighbours are of the same
+    days, by and large, so a task has rows of few days to write.
+    """
+    known = stored.select("source_id", F.col("source_line").alias("line_no")).dropna()
+    both = parsed.withColumn("_new", F.lit(True)).unionByName(known.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+    # The number of tasks is fixed: Spark would join small ones, and what is worked out for the new lines takes long.
+    tasks = int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.withColumn("_block", F.floor(F.col("line_no") / BLOCK_LINES)).repartition(tasks, "source_id", "_block")
+    # A stored entry comes before the lines of its number, so a line is left out if the row before it has that number.
+    order = Window.partitionBy("source_id", "_block").orderBy("line_no", "_new", "step")
+    before = F.lag(F.struct("line_no")).over(order)
+    marked = both.withColumn("_before", before)
+    fresh = marked.filter(F.col("_new") & (F.col("_before").isNull() | ~F.col("_before.line_no").eqNullSafe(F.col("line_no"))))
+    return fresh.select(*parsed.columns)
+
+
 def new_entries(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """Entries whose (source_id, source_line) is not stored yet, each once."""
     return batch.dropDuplicates(["source_id", "source_line"]).join(

@@ -179,12 +179,10 @@ def read_audit_lines(spark: SparkSession, paths: str, split_bytes: int = SPLIT_B
     reader = spark.read.format(FORMAT).option("path", paths).option("splitBytes", split_bytes)
     earlier = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     counts = reader.option("countOnly", "true").load()
-    firsts = counts.select(
-        "path",
-        "split",
-        F.coalesce(F.sum("split_line").over(earlier), F.lit(0).cast("long")).alias("_before"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("split_line") / PART_LINES))).alias("_part"),
-    )
+    before = F.coalesce(F.sum("split_line").over(earlier), F.lit(0).cast("long")).alias("_before")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("split_line") / PART_LINES))).alias("_part")
+    # In two steps: in one, the sum would run over the parts, and so add up a split of several parts to its own start.
+    firsts = counts.select("path", "split", "split_line", before).select("path", "split", "_before", part)
     lines = spark.read.format(FORMAT).option("path", paths).option("splitBytes", split_bytes).load()
     return (
         lines.withColumn("_part", F.floor(F.col("split_line") / PART_LINES))

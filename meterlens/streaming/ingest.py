@@ -41,7 +41,8 @@ def ingest_batch(
     """Append the entries of one batch of lines, each line once. Ids go up with the batches, with gaps between them.
 
     The lines are read and parsed once and written to the checkpoint folder; keys that are unknown now stay
-    unresolved. A line that comes again has the same time, so only the days of this batch are looked through for it.
+    unresolved. A line that comes again has the same time, so only the days of this batch are looked through for it, and
+    it is left out before its key and its messages are worked out.
     The batch has its own folders, so an attempt that failed half-way is replaced. A batch may take several steps of a
     plan, whose `step` the lines name; each is a scan with figures of its own, beside what `planned` (the steps' rows
     without a path) says of the files.
@@ -50,24 +51,24 @@ def ingest_batch(
     if "step" not in lines.columns:
         lines = lines.withColumn("step", F.lit(batch_id).cast("long"))
     parsed = cut_lineage(ingest.parse_lines(lines.drop("split", "split_line"), zone))
-    entries = cut_lineage(ingest.entries_of(parsed, tokens, now()))
-    days = days_in(entries, F.col("created_at"))
+    found = parsed.filter(F.col("line_state") == "entry")
+    days = days_in(found, F.col("created_at"))
     stored = read_table(spark, entries_path, schemas.AUDIT_ENTRIES, except_batch=batch_id, days=days)
-    fresh = ingest.assign_ids(ingest.new_entries(entries, stored), after=batch_id * IDS_PER_BATCH)
-    write_days(fresh, entries_path, batch_id)
+    fresh = cut_lineage(ingest.new_lines(found, stored))
+    few_keys = ingest.has_few(fresh.select("api_key").distinct())
+    entries = ingest.entries_of(fresh, tokens, now(), few_keys)
+    sources = fresh.select(F.col("path").alias("source_path"), "source_id", F.col("line_no").alias("source_line"))
+    write_days(ingest.assign_ids(entries, batch_id * IDS_PER_BATCH, sources), entries_path, batch_id)
     if scans_path:
         if planned is None:
             planned = spark.createDataFrame([(batch_id,)], "step long")
-        write_batch(_scan_rows(planned, parsed, stored, started).coalesce(1), scans_path, batch_id)
+        write_batch(_scan_rows(planned, parsed, fresh, started).coalesce(1), scans_path, batch_id)
 
 
-def _scan_rows(planned: DataFrame, parsed: DataFrame, stored: DataFrame, started: float) -> DataFrame:
+def _scan_rows(planned: DataFrame, parsed: DataFrame, fresh: DataFrame, started: float) -> DataFrame:
     """One row a step: what the plan says, what its lines were, and how many entries were new; a step's time is its share."""
     met = ingest.line_statistics(parsed, "step")
-    lines = parsed.filter(F.col("line_state") == "entry").select("source_id", F.col("line_no").alias("source_line"), "step")
-    # A line that comes twice counts where it came first.
-    once = lines.groupBy("source_id", "source_line").agg(F.min("step").alias("step"))
-    inserted = ingest.new_entries(once, stored).groupBy("step").agg(F.count("*").alias("inserted_entries"))
+    inserted = fresh.groupBy("step").agg(F.count("*").alias("inserted_entries"))
     found = cut_lineage(planned.join(met, "step", "left").join(inserted, "step", "left"))
     share = int(1000 * (time.time() - started)) // max(1, found.count())
     found = found.withColumn("duration_ms", F.lit(share))

@@ -13,6 +13,8 @@ from meterlens.session import cut_lineage
 
 # Rows of a batch in folders that one file of a folder is for.
 FILE_ROWS = 1_000_000
+# Days up to which the folders are named; of more days all folders are listed.
+NAMED_DAYS = 1000
 
 
 def day_of(seconds: Column) -> Column:
@@ -74,11 +76,13 @@ def read_table(
 ) -> DataFrame:
     """All rows written so far, without those of the batch that is being repeated; empty before the first batch.
 
-    Of a table in day folders only the folders of `days` are read, if given. `keep` names the folder column that stays.
+    Of a table in day folders only the folders of `days` are listed and read, if given. `keep` names the folder column that
+    stays.
     """
-    folders = "batch_id long, event_date date" if keep == "event_date" else "batch_id long"
+    folders = "batch_id long, event_date date" if keep == "event_date" or days is not None else "batch_id long"
+    named = f"{path}/event_date={{{','.join(map(str, days))}}}" if days and len(days) <= NAMED_DAYS else path
     try:
-        rows = spark.read.schema(f"{schema}, {folders}").parquet(path)
+        rows = spark.read.schema(f"{schema}, {folders}").option("basePath", path).parquet(named)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -13,7 +13,7 @@ from meterlens.operators.review_plan import ReviewScope, prefix_digests
 from meterlens.functions.decisions import PASS
 from meterlens.operators.review_score import config_hash
 from meterlens.plans.review_run import run_review
-from meterlens.sources import line_plan
+from meterlens.sources import audit_lines, line_plan
 from meterlens.sources.audit_lines import expand_paths, read_audit_lines
 from meterlens.sources.line_plan import STEP, file_states, last_snapshot, lines_of, plan_lines, planned_steps
 from meterlens.streaming.ingest import ingest_batch, start_ingest
@@ -376,3 +376,48 @@ def mend(path, wanted):
         data = open(file, "rb").read()
         if not data.endswith(b"PAR1"):
             open(file, "wb").write(data + b"1")
+
+
+def test_a_split_of_several_parts_keeps_its_line_numbers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(audit_lines, "PART_LINES", 3)
+    for name, count in (("a", 20), ("b", 7)):
+        put(tmp_path / f"{name}.jsonl", "".join(line(1000 + i) for i in range(count)))
+    for split_bytes in (1 << 20, 500):
+        rows = read_audit_lines(spark, str(tmp_path), split_bytes).collect()
+        found = sorted((os.path.basename(r.path), r.line_no, json.loads(r.value)["time"]) for r in rows)
+        assert found == [(f"{n}.jsonl", i + 1, 1000 + i) for n, count in (("a", 20), ("b", 7)) for i in range(count)]
+
+
+def test_a_file_of_long_splits_that_is_read_again_adds_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(audit_lines, "PART_LINES", 3)
+    put(tmp_path / "a.jsonl", "".join(line(1000 + i) for i in range(20)))
+    out, scans, keys = str(tmp_path / "out"), str(tmp_path / "scans"), spark.createDataFrame(KEYS, schemas.TOKENS)
+    start_ingest(
+        spark, str(tmp_path), lambda: keys, out, str(tmp_path / "c"), str(tmp_path / "plans"), scans_path=scans, once=True
+    ).awaitTermination()
+    ingest_batch(read_audit_lines(spark, str(tmp_path)), 1, keys, out, scans)
+    rows = read_table(spark, out, schemas.AUDIT_ENTRIES).orderBy("id").collect()
+    assert [(r.source_line, r.token_id, r.messages[0].content) for r in rows] == [(i + 1, 7, "x") for i in range(20)]
+    figures = [(r.step, r.processed_lines, r.inserted_entries) for r in spark.read.parquet(scans).orderBy("step").collect()]
+    assert figures == [(0, 20, 20), (1, 20, 0)]
+
+
+def test_new_lines_are_those_without_an_entry_once_and_of_their_first_step(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "BLOCK_LINES", 4)
+    rows = [(s, n, step) for step in (3, 2, 5) for s in ("a", "b") for n in range(1, 12)]
+    rows += [("a", None, 9), ("a", None, 8), (None, 4, 7)]
+    lines = spark.createDataFrame(rows, "source_id string, line_no long, step long")
+    stored = [("a", n) for n in (1, 4, 8, 11, 50)] + [("c", 2), ("b", 3), ("b", 3), ("a", None), (None, 4)]
+    found = ingest.new_lines(lines, spark.createDataFrame(stored, "source_id string, source_line long")).collect()
+    known = {x for x in stored if None not in x}
+    expected = {(s, n, 2) for s, n, _ in rows if s and n and (s, n) not in known} | {("a", None, 8), (None, 4, 7)}
+    assert len(found) == len(expected) and {tuple(r) for r in found} == expected
+
+
+def test_ids_do_not_depend_on_how_many_sources_there_are(spark, monkeypatch):
+    lines = [(f"p{k % 5}", f"s{k % 7}", k // 3 + 1) for k in range(90)]
+    frame = spark.createDataFrame(lines, "source_path string, source_id string, source_line long")
+    expected = sorted(ingest.assign_ids(frame, 10).collect())
+    assert sorted(ingest.assign_ids(frame, 10, frame).collect()) == expected
+    monkeypatch.setattr(ingest, "FEW", 3)
+    assert sorted(ingest.assign_ids(frame, 10, frame).collect()) == expected

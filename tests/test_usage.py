@@ -147,6 +147,15 @@ def test_key_resolution(spark, tables):
     }
 
 
+def test_key_resolution_with_few_keys(spark, tables):
+    _, keys = tables()
+    twice = keys.union(keys.withColumn("id", F.col("id") + 100)).union(keys.limit(1).withColumn("key", F.lit(None).cast("string")))
+    texts = ["sk-abcdef1234567890", "Bearer  xyz9876543210000", "nope-12345678", "", "", "sk-abcdef1234567890", None]
+    asked = spark.createDataFrame([(t, k) for k, t in enumerate(texts)], "api_key string, n int")
+    found = [sorted(resolve_keys(asked, twice, few_keys=few).select("n", "token_id", "key_tail").collect()) for few in (False, True)]
+    assert found[0] == found[1] and [r.token_id for r in found[1]] == [1, 2, 0, 0, 0, 1, 0]
+
+
 RATIOS = (
     '{"model_ratio": 2, "group_ratio": 1, "completion_ratio": 4, "cache_ratio": 0.1, "cache_creation_ratio": 1.25,'
     ' "cache_tokens": 30, "cache_write_tokens": 20}'
